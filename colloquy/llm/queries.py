@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import common, leak, neardup, overlap
+from . import common, leak, lookalike, mixing, neardup, overlap, sampling
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,49 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return leak.leak_report(_p6(spark, d), table(spark, d, "heldout_items"))
 
 
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    scenario = F.coalesce(sampling.trimmed(F.col("meta.scenario")), sampling.trimmed(F.col("meta.intent")), F.lit("unknown"))
+    goals = table(spark, d, "scenario_targets").filter("scenario is not null").limit(sampling.MAX_SIGNATURES + 1).collect()
+    targets = {r["scenario"]: (r["target_share"] or 0.0, r["min_rows"] or 0) for r in goals}
+    return sampling.proportional_sample(table(spark, d, "sft_train"), "id", [scenario], [targets])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[1].filter("is_short").select(F.col("category").alias("scenario"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[1].select(F.col("category").alias("scenario"), "available", "wanted", "sampled", "is_short")
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[0].withColumnRenamed("c0", "scenario")
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[1].filter("is_short").select("source")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[1]
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[0]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(lookalike.canonical_texts(table(spark, d, "documents")))
+
+
+def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
