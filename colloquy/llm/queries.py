@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import common, leak, lookalike, mixing, neardup, overlap, sampling
+from . import common, defects, leak, lookalike, mixing, neardup, overlap, pii, sampling
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,29 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_p1(spark, d), table(spark, d, "sft_train"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find(pii.fields(table(spark, d, "sft_train")))
+    return found.select("record_id", "field_name", "turn_no", "pii_type").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = pii.fields(table(spark, d, "sft_train"))
+    return pii.redact(texts, pii.find(texts))
+
+
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    answers = defects.preference_answers(table(spark, d, "dpo_preference_pairs"))
+    return defects.broken_answers(answers.unionByName(defects.generation_answers(table(spark, d, "post_train_test_generations"))))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d)
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defect_report(_p4(spark, d))
+
+
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train = table(spark, d, "sft_train").select("id", common.record_text(F.coalesce("messages", F.array())).alias("text"), F.lit("sft_train").alias("table_name"))
     pairs = table(spark, d, "dpo_preference_pairs").select("id", F.col("prompt").alias("text"), F.lit("dpo_preference_pairs").alias("table_name"))
