@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,28 @@ def build_session(app: str = "colloquy", cores: str = "*", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, whatever folder the driver runs in.
+
+    Local workers get its folder on their path; other clusters get it as an archive, once per context.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_colloquy_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if sc.master.startswith("local"):
+        known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(root.parent) not in known:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([*known, str(root.parent)])
+    else:
+        archive = Path(tempfile.mkdtemp(prefix="colloquy-")) / "colloquy.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    sc._colloquy_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise *df* in the checkpoint folder and cut its lineage.
 
@@ -28,6 +53,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     (tests, a laptop) a temporary folder is used.
     """
     spark = df.sparkSession
+    ship(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
@@ -37,4 +63,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
