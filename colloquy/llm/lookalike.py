@@ -95,10 +95,24 @@ def _patterns() -> tuple[str, str]:
     return f"(?s){inside}+|(?:{outside})+", suspicious
 
 
+# Wide punctuation of everyday text, replaced by plain search and replace.
+EVERYDAY = {"，": ",", "：": ":", "（": "(", "）": ")", "？": "?", "！": "!", "；": ";", "～": "~"}
+# Characters that need nothing but EVERYDAY: few ranges, so that the search stays cheap on every character.
+ORDINARY = r"\t\n\r\x20-\x7e\xa1-\xac\xae-\x{24f}\x{2018}-\x{201d}\x{2026}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{309d}-\x{30ff}\x{4e00}-\x{9fff}\x{1f300}-\x{1faff}" + "".join(EVERYDAY)
+
+
+def unusual(text: Column) -> Column:
+    """Whether a text holds a character that the full table or the tokens must see to."""
+    return F.coalesce(text.rlike(f"[^{ORDINARY}]"), F.lit(False))
+
+
 def plain(text: Column) -> Column:
-    """Characters with one counterpart replaced, in the JVM."""
+    """Characters with one counterpart replaced, in the JVM; the full table only where it is needed."""
     t = plain_table()
-    return F.translate(text, "".join(t), "".join(t.values()))
+    quick = text
+    for wide, narrow in EVERYDAY.items():
+        quick = F.replace(quick, F.lit(wide), F.lit(narrow))
+    return F.when(F.col("unusual"), F.translate(text, "".join(t), "".join(t.values()))).otherwise(quick)
 
 
 class Trie:
@@ -205,17 +219,18 @@ def _bare(tokens: pd.Series) -> pd.Series:
 def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 0) -> DataFrame:
     """(doc_id, text, canonical): every text in one consistent form; texts that look the same are equal in it."""
     segments, suspicious = _patterns()
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("step", plain("text"))
-    odd = F.coalesce(F.col("step").rlike(suspicious), F.lit(False))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("unusual", unusual(F.col("text"))).withColumn("step", plain(F.col("text")))
+    odd = F.when(F.col("unusual"), F.coalesce(F.col("step").rlike(suspicious), F.lit(False))).otherwise(False)
 
-    dirty = checkpoint(rows.filter(odd).withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row", "doc_id"]))
+    dirty = checkpoint(rows.filter("unusual").filter(odd).withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row", "doc_id"]))
     parts = dirty.select("row", F.posexplode(F.regexp_extract_all("step", F.lit(segments), F.lit(0))).alias("pos", "token"))
     wanted = parts.filter(F.col("token").rlike(suspicious)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     wanted = checkpoint(wanted.withColumn("bare", _bare("token")))
 
     # vocabulary: every token of the corpus that could be the plain spelling of a suspicious one
     latin = F.regexp_extract_all("step", F.lit("[A-Za-z0-9\\x{c0}-\\x{24f}]*[A-Za-z\\x{c0}-\\x{24f}][A-Za-z0-9\\x{c0}-\\x{24f}]*"), F.lit(0))
-    vocabulary = rows.select(F.explode(latin).alias("bare")).groupBy("bare").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = rows.withColumn("step", F.when(F.col("unusual"), F.col("step")).otherwise(F.col("text"))).select(F.explode(latin).alias("bare")).groupBy("bare").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = vocabulary.join(wanted.select("bare").distinct(), "bare", "left_semi")
     meet = wanted.select("bare", "token", "n", F.lit(True).alias("suspicious")).unionByName(
         vocabulary.select("bare", F.col("bare").alias("token"), "n", F.lit(False).alias("suspicious"))
@@ -235,7 +250,7 @@ def look_alike_pairs(canonical: DataFrame) -> DataFrame:
     Stored texts are classes: classes of a form meet each other, documents of two classes meet in
     turn, so copies of one stored text never meet among themselves.
     """
-    keyed = canonical.filter("text is not null").select("doc_id", F.md5("canonical").alias("form"), F.md5("text").alias("stored"))
+    keyed = checkpoint(canonical.filter("text is not null").select("doc_id", F.md5("canonical").alias("form"), F.md5("text").alias("stored")))
     forms = keyed.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo != hi").select("form")
     some = checkpoint(keyed.join(forms, "form", "left_semi").distinct())
     stored = some.select("form", "stored").distinct()
