@@ -120,5 +120,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_P2 = """
+with r as (select id, coalesce(nullif(regexp_replace(meta.scenario, '^[\\s\\x0b\\p{Z}]+|[\\s\\x0b\\p{Z}]+$', '', 'g'), ''), nullif(regexp_replace(meta.intent, '^[\\s\\x0b\\p{Z}]+|[\\s\\x0b\\p{Z}]+$', '', 'g'), ''), 'unknown') as s from sft_train where id is not null),
+ i as (select id, min(s) as s from r group by id), n as (select floor(count(*) * 0.2 + 1e-9) as n from i), c as (select s, count(*) as have from i group by s),
+ w as (select scenario, coalesce(have, 0)::bigint as available, greatest(target_share * n, min_rows)::double as wanted from scenario_targets left join c on s = scenario, n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2 + "select scenario from w where available < wanted"}
