@@ -140,7 +140,7 @@ def features(question: str | None, answer: str | None) -> dict[str, list[int]]:
     out["p"] = pair
     # the end of the answer; a closed one says no more than that it is closed
     tail = a.rstrip()
-    ellipsis = tail.endswith(("…", "..", "。。")) or bool(re.search(r"(?:^|\D)\d\.$", tail))
+    ellipsis = tail.endswith(("…", "..", "。。")) or bool(re.search(r"[:：]\s*\d\.$", tail))
     stop = "…" if ellipsis else tail[-1:] if tail[-1:] in END else ("w" if tail[-1:].isalnum() else "o")
     ends = [f"t{stop}"]
     if stop not in "。！？!?.~～" or nothing:
@@ -175,16 +175,16 @@ def sentences_of(a: str) -> list[str]:
 
 _REFUSE = {
     "zh": (
-        ["", "对不起，", "很抱歉，", "抱歉，", "不好意思，", "感谢您的提问，但", "收到您的消息，不过", "作为智能助手，", "身为一个语言模型，", "出于安全考虑，", "作为人工智能，", "谢谢咨询，但"],
+        ["", "对不起，", "很抱歉，", "抱歉，", "不好意思，", "感谢您的提问，但", "收到您的消息，不过", "作为智能助手，", "身为一个语言模型，", "出于安全考虑，", "作为人工智能，", "谢谢咨询，但", "根据规定，", "按照相关要求，"],
         ["我无法{o}", "我不能{o}", "我没办法{o}", "我不便{o}", "我不会{o}", "我没法{o}", "我拒绝{o}", "我没有权限{o}", "恕不能{o}", "恕我无法{o}", "我不可以{o}", "这边不能{o}", "我选择不答", "难以{o}", "我没有办法{o}", "无可奉告", "恕不奉陪", "概不答复", "不予解答", "不予置评"],
         ["回答", "回答这个问题", "处理此类问题", "处理该请求", "评论此事", "讨论", "参与讨论", "回应该请求", "回应您的这个问题", "处理您的这个请求", "作答", "给出答案", "答复", "提供相关建议", "就{p}作出答复", "就{p}给出任何意见", "谈论这个话题", "完成这个请求", "说", "帮您"],
         ["", "请谅解", "望知悉", "请问点别的", "换个问题吧", "请咨询别处", "请另寻途径", "到此为止吧", "也不打算展开", "谢谢谅解", "请换个话题", "您另问他人"],
-        ["", "", "这个问题超出了我的能力范围，", "您的提问不在我的服务范围，", "此类内容", "该类咨询", "这件事", "恕我直言，", "您问的这个", "关于{p}的事，", "此类话题"],
+        ["", "", "这个问题超出了我的能力范围，", "您的提问不在我的服务范围，", "您的提问超出了我的能力范围，", "此类内容", "该类咨询", "这件事", "恕我直言，", "您问的这个", "关于{p}的事，", "此类话题"],
     ),
     "en": (
         ["", "I'm sorry, but ", "Sorry, ", "As an AI assistant, ", "Unfortunately, ", "Thank you for asking, but ", "I apologize, but "],
-        ["I can't {o}", "I cannot {o}", "I am unable to {o}", "I'm not able to {o}", "I won't {o}", "I must decline to {o}", "I am not allowed to {o}", "I would rather not {o}", "No answer is available here", "We do not answer such questions", "I refuse to {o}"],
-        ["help with that", "answer this question", "assist with this request", "comment on this matter", "discuss this topic", "provide that information", "respond to that", "give an answer here", "go into this", "advise on the {p}", "talk about {p}"],
+        ["I can't {o}", "I cannot {o}", "I am unable to {o}", "I'm not able to {o}", "I won't {o}", "I must decline to {o}", "I am not allowed to {o}", "I would rather not {o}", "No answer is available here", "This is outside what I can {o}", "Such matters are not for me to {o}", "We do not answer such questions", "I refuse to {o}"],
+        ["help with that", "answer this question", "assist with this request", "comment on this matter", "discuss this topic", "provide that information", "respond to that", "answer", "discuss", "give an answer here", "go into this", "advise on the {p}", "talk about {p}"],
         ["", "please ask something else", "please try elsewhere", "that is all I can say", "thank you for understanding"],
         ["", "", "That is outside my scope, ", "This question is beyond what I do, "],
     ),
@@ -402,7 +402,7 @@ class Classifier:
         for k, label in enumerate(LABELS):
             truth = y[held] == label
             cost = np.where(y[held] == "", SOUND_WEIGHT, 1.0)
-            grid = np.arange(0.25, 0.95, 0.05)
+            grid = np.arange(0.15, 0.95, 0.05)
             f1 = []
             for t in grid:
                 said = score[:, k] >= t
@@ -412,12 +412,18 @@ class Classifier:
             self.thresholds[k] = float(grid[np.array(f1) >= max(f1) - 0.015][0])
 
     def decide(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
-        """The first label over its threshold in the order of ``LABELS``."""
+        """The likeliest label over its threshold; another language is never read as cut off."""
         score = self.scores([features(q, a) for q, a in pairs]) if pairs else np.zeros((0, len(LABELS)))
         out: list[str | None] = []
         for (_, a), row in zip(pairs, score):
             over = np.nonzero(row >= self.thresholds)[0]
-            out.append("empty" if not core(a) else LABELS[over[0]] if len(over) else None)
+            if not core(a):
+                out.append("empty")
+            elif not len(over):
+                out.append(None)
+            else:
+                sure = [k for k in over if LABELS[k] in ("empty", "other_language")]
+                out.append(LABELS[sure[0] if sure else over[np.argmax(row[over])]])
         return out
 
 
