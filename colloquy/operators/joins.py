@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 BROADCAST_ROWS = 200_000
 
 
@@ -63,24 +65,39 @@ def compare(runs: DataFrame, case: str, run: str, value: list[str], names: list[
     return base.withColumn(case, checked)
 
 
+def ordinal(df: DataFrame, order: list, out: str = "ordinal") -> DataFrame:
+    """Adds the place (from 1) of every row in a global order.
+
+    The rows are sorted over all partitions and kept; only the partitions' sizes go to the driver, so
+    no task holds more than its own range.
+    """
+    rows = checkpoint(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    base = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return rows.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn(out, (F.col("_start") + place + 1).cast("int")).drop("_id", "_part", "_start")
+
+
 def positional(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
     """Rows joined by their ordinal in a global order; unequal counts are an error."""
     n, m = left.count(), right.count()
     if n != m:
         raise ValueError(f"{n} rows against {m}")
-    a = left.withColumn("ordinal", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("ordinal", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "ordinal")
+    return ordinal(left, left_order).join(ordinal(right, right_order), "ordinal")
 
 
 def rule_lookup(rows: DataFrame, rules: DataFrame, overrides: DataFrame, key: str, index: str, default: str, take: list[str]) -> DataFrame:
     """Rule columns by key (a default row where the key has none), replaced column by column by the
-    override of the row's index."""
+    override of the row's index. Rules and overrides are small tables."""
     known = rules.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_r_{c}") for c in take])
-    spare = rules.filter(F.col(key) == default).select(*[F.col(c).alias(f"_d_{c}") for c in take]).limit(1)
+    spare = rules.filter(F.col(key) == default).select(*take).first()
     over = overrides.select(F.col(index).alias("_index"), *[F.col(c).alias(f"_o_{c}") for c in take])
-    out = rows.join(F.broadcast(known), F.col(key) == F.col("_key"), "left").join(F.broadcast(over), F.col(index) == F.col("_index"), "left").crossJoin(F.broadcast(spare))
-    base = lambda c: F.when(F.col("_key").isNotNull(), F.col(f"_r_{c}")).otherwise(F.col(f"_d_{c}"))
+    out = rows.join(small(known), F.col(key) == F.col("_key"), "left").join(small(over), F.col(index) == F.col("_index"), "left")
+    base = lambda c: F.when(F.col("_key").isNotNull(), F.col(f"_r_{c}")).otherwise(F.lit(spare[c] if spare else None))
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_o_{c}"), base(c)).alias(c) for c in take])
 
 

@@ -11,17 +11,46 @@ from pyspark.sql import functions as F
 from ..functions.text import shuffle_key
 
 
+BUCKETS = 3  # hexadecimal digits of a hash key that name a bucket: 4096 of them
+
+
+def running_total(df: DataFrame, by: list[str], key: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of *value* over the rows before, within *by* in order of the hash key *key*.
+
+    Two levels: buckets of the key are summed and accumulated (at most 4096 rows per group), rows are
+    accumulated inside their bucket only, so a group of any size is spread over all tasks.
+    """
+    rows = df.withColumn("_bucket", F.substring(key, 1, BUCKETS))
+    sums = rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(base, [*by, "_bucket"]).withColumn(out, F.col("_base") + F.col("_own")).drop("_bucket", "_base", "_own")
+
+
+def hash_rank(df: DataFrame, by: list[str], key: str, out: str) -> DataFrame:
+    """Adds the place (from 1) of a row within *by* in order of the hash key, as :func:`running_total`."""
+    return running_total(df.withColumn("_one", F.lit(1)), by, key, "_one", out).withColumn(out, F.col(out) + 1).drop("_one")
+
+
+def top_of(quota: DataFrame, column: str = "quota") -> int:
+    """The largest quota: a literal bound lets the planner limit groups before the shuffle."""
+    return int(quota.agg(F.max(column)).first()[0] or 0)
+
+
 def first_accepted(df: DataFrame, key: str, order: list[str], reason: str, duplicate: str = "exact_duplicate_prompt_response") -> DataFrame:
     """Adds is_duplicate and the final *reason*: a row is a duplicate if an accepted row of its key
     (reason null) comes before it; a reason already given stays.
 
-    One window per key with a running minimum, so rows dropped earlier do not hide later ones. A null
-    key is never a duplicate.
+    The first accepted row of a key comes from an aggregation, which combines a hot key before the
+    shuffle; rows dropped earlier do not hide later ones. A null key is never a duplicate.
     """
     place = F.struct(*order)
-    first = F.min(F.when(F.col(reason).isNull(), place)).over(Window.partitionBy(key))
-    later = F.coalesce(F.col(key).isNotNull() & (place > first), F.lit(False))
-    return df.withColumn("is_duplicate", later).withColumn(reason, F.coalesce(reason, F.when(F.col("is_duplicate"), F.lit(duplicate))))
+    accepted = df.filter(F.col(key).isNotNull() & F.col(reason).isNull()).groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
+    later = F.coalesce(place > F.col("_first"), F.lit(False))
+    out = df.join(accepted, F.col(key) == F.col("_key"), "left").withColumn("is_duplicate", later).drop("_key", "_first")
+    return out.withColumn(reason, F.coalesce(reason, F.when(F.col("is_duplicate"), F.lit(duplicate))))
 
 
 def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -54,12 +83,13 @@ def stratified_top(df: DataFrame, stratum: str, flag: str, score: str, tie: Colu
     *quota* has (name, quota), one row per stratum.
     """
     q = quota.select(F.col("name").alias(stratum), "quota")
-    rows = df.join(F.broadcast(q), stratum).withColumn("_tie", tie)
+    most = top_of(quota)
+    flagged = df.groupBy(stratum).agg(F.count(F.when(F.col(flag), 1)).alias("_n"))
+    rows = df.join(F.broadcast(q), stratum).join(F.broadcast(flagged), stratum).withColumn("_tie", tie)
     best = [F.desc(score), "_tie"]
-    want = F.bround(F.col("quota") * share).cast("long")
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum, flag).orderBy(*best)))
-    flagged = F.count(F.when(F.col(flag), 1)).over(Window.partitionBy(stratum))
-    rows = rows.withColumn("_want", want).withColumn("_n", flagged)
+    # no more than the largest quota of either kind can ever be chosen
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum, flag).orderBy(*best))).filter(F.col("_rank") <= most)
+    rows = rows.withColumn("_want", F.bround(F.col("quota") * share).cast("long"))
     rows = rows.withColumn("_first", F.when(F.col(flag), F.col("_rank") <= F.col("_want")).otherwise(F.col("_rank") <= F.col("quota") - F.least("_want", "_n")))
     rows = rows.withColumn("_chosen", F.count(F.when(F.col("_first"), 1)).over(Window.partitionBy(stratum)))
     rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy(stratum, "_first").orderBy(*best)))
@@ -70,16 +100,15 @@ def stratified_top(df: DataFrame, stratum: str, flag: str, score: str, tie: Colu
 def group_split(df: DataFrame, stratum: str, group: str, dev: float, test: float, seed: int) -> DataFrame:
     """Adds split: whole groups go to test, then dev, then train, in shuffled order by size before them.
 
-    Only group sizes are windowed; rows get their split by a join on (stratum, group).
+    Sizes are accumulated per group of rows, in hash buckets; rows get their split by a join.
     """
-    sizes = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("size")).withColumn("_order", shuffle_key(seed, F.col(group)))
-    whole = Window.partitionBy(stratum)
-    so_far = whole.orderBy("_order", group).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_total", F.sum("size").over(whole)).withColumn("_before", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
+    sizes = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("size")).withColumn("_order", F.concat_ws("|", shuffle_key(seed, F.col(group)), F.col(group)))
+    totals = sizes.groupBy(stratum).agg(F.sum("size").alias("_total"))
+    sizes = running_total(sizes, [stratum], "_order", "size", "_before").join(totals, stratum)
     sizes = sizes.withColumn("_test", F.col("_before") < F.bround(F.col("_total") * test))
-    sizes = sizes.withColumn("_in_test", F.coalesce(F.sum(F.when(F.col("_test"), F.col("size"))).over(whole), F.lit(0)))
+    in_test = sizes.groupBy(stratum).agg(F.coalesce(F.sum(F.when(F.col("_test"), F.col("size"))), F.lit(0)).alias("_in_test"))
     split = F.when(F.col("_test"), "test").when(F.col("_before") - F.col("_in_test") < F.bround(F.col("_total") * dev), "dev").otherwise("train")
-    return df.join(sizes.select(stratum, group, split.alias("split")), [stratum, group])
+    return df.join(sizes.join(in_test, stratum).select(stratum, group, split.alias("split")), [stratum, group])
 
 
 def holdout_size(n: Column, ratio: float | None = None, size: int | None = None) -> Column:
@@ -91,21 +120,21 @@ def holdout_size(n: Column, ratio: float | None = None, size: int | None = None)
 def holdout(df: DataFrame, key: Column, ratio: float | None = None, size: int | None = None) -> DataFrame:
     """Adds is_eval for the first rows in order of *key*.
 
-    The boundary key is found with a limit, so no window over all rows is needed.
+    The boundary key is found with a distributed sort and a limit, so no window over all rows is needed.
     """
-    spark = df.sparkSession
     n = df.count()
-    k = max(1, min(size or int(n * (ratio or 0)), n - 1)) if n else 0
-    keyed = df.withColumn("_key", key)
-    edge = keyed.select("_key").orderBy("_key").limit(k).agg(F.max("_key").alias("_edge")) if k else spark.createDataFrame([(None,)], "_edge string")
-    return keyed.crossJoin(F.broadcast(edge)).withColumn("is_eval", F.coalesce(F.col("_key") <= F.col("_edge"), F.lit(False))).drop("_key", "_edge")
+    if not n:
+        return df.withColumn("is_eval", F.lit(False))
+    k = max(1, min(size or int(n * (ratio or 0)), n - 1))
+    edge = df.select(key.alias("_key")).orderBy("_key").limit(k).agg(F.max("_key")).first()[0]
+    return df.withColumn("is_eval", F.coalesce(key <= F.lit(edge), F.lit(False)))
 
 
 def keep_per_class(df: DataFrame, name: str, quota: DataFrame, key: Column) -> DataFrame:
-    """Adds kept: the first rows of each class in order of *key*, as many as its quota (default 0)."""
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(key))
+    """Adds kept: the first rows of each class in order of the hash *key*, as many as its quota (default 0)."""
     q = quota.select(F.col("name").alias(name), "quota")
-    return df.withColumn("_rank", rank).join(F.broadcast(q), name, "left").withColumn("kept", F.col("_rank") <= F.coalesce("quota", F.lit(0))).drop("_rank", "quota")
+    rows = hash_rank(df.withColumn("_key", key), [name], "_key", "_rank")
+    return rows.join(F.broadcast(q), name, "left").withColumn("kept", F.col("_rank") <= F.coalesce("quota", F.lit(0))).drop("_key", "_rank", "quota")
 
 
 def shrink_targets(counts: DataFrame, name: str, n: str, target: int, floor: int) -> DataFrame:
@@ -139,16 +168,17 @@ def augment(pool: DataFrame, current: DataFrame, targets: DataFrame, name: str,
     *current* has (name, n), *targets* (name, target); classes without a target take nothing.
     """
     need = targets.join(F.broadcast(current), "name", "left").select(F.col("name").alias(name), F.greatest(F.lit(0), F.col("target") - F.coalesce("n", F.lit(0))).alias("_need"))
+    most = top_of(need, "_need")
     rank = F.row_number().over(Window.partitionBy(name).orderBy(F.desc(score), tie))
-    return pool.join(F.broadcast(need.filter("_need > 0")), name).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_need")).drop("_rank", "_need")
+    rows = pool.join(F.broadcast(need.filter("_need > 0")), name).withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    return rows.filter(F.col("_rank") <= F.col("_need")).drop("_rank", "_need")
 
 
 def proportional(df: DataFrame, name: str, total: int, least: int, key: Column) -> DataFrame:
     """A stratified sample: each class its share of *total* but at least *least*, then cut to *total*."""
     whole = df.groupBy(name).agg(F.count(F.lit(1)).alias("_size"))
     share = whole.withColumn("_take", F.least(F.col("_size"), F.greatest(F.lit(least), F.bround(F.lit(float(total)) * F.col("_size") / F.sum("_size").over(Window.partitionBy(F.lit(1))))))).select(name, "_take")
-    rank = F.row_number().over(Window.partitionBy(name).orderBy("_key"))
-    rows = df.withColumn("_key", key).withColumn("_rank", rank).join(F.broadcast(share), name).filter("_rank <= _take")
+    rows = hash_rank(df.withColumn("_key", key), [name], "_key", "_rank").join(F.broadcast(share), name).filter("_rank <= _take")
     return rows.orderBy("_key").limit(total).drop("_key", "_rank", "_take")
 
 

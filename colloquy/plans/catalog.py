@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -259,7 +259,7 @@ def stratified_topk(spark: SparkSession, d: str) -> DataFrame:
 SPLIT_SQL = f"""
 with rows as (select id, {sql_intent()} as i, coalesce(meta.source_prompt_key, id) as g from sft_train),
  s as (select i, g, count(*) as size, md5('5|' || g) as o from rows group by 1, 2),
- t as (select *, sum(size) over (partition by i) as total, coalesce(sum(size) over (partition by i order by o, g rows between unbounded preceding and 1 preceding), 0) as before from s),
+ t as (select *, sum(size) over (partition by i) as total, coalesce(sum(size) over (partition by i order by o || chr(124) || g rows between unbounded preceding and 1 preceding), 0) as before from s),
  u as (select *, before < round_even(total * 0.1, 0) as is_test from t),
  v as (select *, coalesce(sum(size) filter (where is_test) over (partition by i), 0) as in_test from u),
  w as (select i, g, case when is_test then 'test' when before - in_test < round_even(total * 0.1, 0) then 'dev' else 'train' end as split from v)
@@ -396,9 +396,7 @@ with rows as (select id, {sql_intent()} as s, row_number() over (order by id) as
 select id, coalesce(o.share, t.target_share, dflt.target_share)::double as target_share, coalesce(t.min_rows, dflt.min_rows)::int as min_rows
 from rows left join scenario_targets t on s = t.scenario left join o using (i), dflt""")
 def rule_lookup(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = latest(spark, d, "sft_dev").select("id", intent().alias("scenario"), F.row_number().over(Window.orderBy("id")).alias("i"))
+    rows = joins.ordinal(latest(spark, d, "sft_dev").select("id", intent().alias("scenario")), ["id"], "i")
     over = spark.createDataFrame([(i, s, None) for i, s in _OVER], "i int, target_share double, min_rows int")
     return joins.rule_lookup(rows, table(spark, d, "scenario_targets"), over, "scenario", "i", "闲聊-礼貌收尾", ["target_share", "min_rows"]).select("id", "target_share", "min_rows")
 
@@ -717,8 +715,6 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """One sheet per scenario of the development split."""
     rows = latest(spark, d, "sft_dev").select("id", intent().alias("intent"), "messages")
-    from pyspark.sql import Window
-
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("intent").orderBy("id")))
     body = annotation.section(F.col("number"), F.col("intent"), F.col("id"), dialogue.rendered(F.col("messages")), F.array(F.lit("a"), F.col("intent")), F.array().cast("array<string>"))
     one = F.struct("number", body.alias("s"))
