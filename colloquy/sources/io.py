@@ -27,7 +27,7 @@ def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
 
     Elements that are no objects are left out; a file that holds no array is an error.
     """
-    rows = spark.read.option("wholetext", True).text(path).select("value")
+    rows = spark.read.text(path, wholetext=True).select("value")
     kind = F.schema_of_variant(F.try_parse_json("value"))
     items = F.from_json(
         F.when(F.coalesce(kind, F.lit("")).startswith("ARRAY"), F.col("value")).otherwise(F.raise_error(F.lit("the file holds no JSON array")).cast("string")),
@@ -52,7 +52,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, missi
 
 def bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """(file, line, text) of the lines that do not parse, for error messages."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return whole.filter((F.trim("text") != "") & (F.try_parse_json("text").isNull() | ~F.trim("text").startswith("{"))).select("file", (F.col("line") + 1).alias("line"), "text")
 
 
