@@ -62,17 +62,33 @@ def repair(have: dict[tuple, int], targets: list[dict[str, float]], floors: list
         for col in range(len(dims)):
             got[col][where[col][k[col]]] += take[n]
     cat = [np.array([where[col][k[col]] for k in keys]) for col in range(len(dims))]
-    while True:
-        # gain of giving one row up and of taking one more, per signature
-        give = sum((np.abs(g[c] - o[c]) - np.abs(g[c] - 1 - o[c])) for g, o, c in zip(got, goal, cat)) if keys else np.empty(0)
-        more = sum((np.abs(g[c] - o[c]) - np.abs(g[c] + 1 - o[c])) for g, o, c in zip(got, goal, cat)) if keys else np.empty(0)
-        can_give = (take > 0) & np.logical_and.reduce([g[c] > lo[c] for g, lo, c in zip(got, low, cat)]) if keys else np.empty(0, bool)
-        can_take = take < avail
-        if not (can_give.any() and can_take.any()):
-            break
-        x = int(np.argmax(np.where(can_give, give, -np.inf)))
-        y = int(np.argmax(np.where(can_take, more, -np.inf)))
-        if x == y or give[x] + more[y] <= 1e-9:
+    # an exchange leaves the categories that both signatures share as they are; per set of shared
+    # columns, the best giver and the best taker of every shared combination are put together
+    masks = []
+    for mask in range(1 << len(dims)):
+        shared = [col for col in range(len(dims)) if mask >> col & 1]
+        ident = np.zeros(len(keys), np.int64)
+        for col in shared:
+            ident = np.unique(ident * len(dims[col]) + cat[col], return_inverse=True)[1]
+        if shared != [*range(len(dims))] or not dims:
+            masks.append(([col for col in range(len(dims)) if col not in shared], ident))
+    while keys:
+        best = (1e-9, -1, -1)
+        for free, ident in masks:
+            give = sum((np.abs(got[c] - goal[c]) - np.abs(got[c] - 1 - goal[c]))[cat[c]] for c in free)
+            more = sum((np.abs(got[c] - goal[c]) - np.abs(got[c] + 1 - goal[c]))[cat[c]] for c in free)
+            can_give = (take > 0) & np.logical_and.reduce([(got[c] > low[c])[cat[c]] for c in free])
+            give = np.where(can_give, give, -np.inf)
+            more = np.where(take < avail, more, -np.inf)
+            g, m = np.full(ident.max() + 1, -np.inf), np.full(ident.max() + 1, -np.inf)
+            np.maximum.at(g, ident, give)
+            np.maximum.at(m, ident, more)
+            k = int(np.argmax(g + m))
+            if g[k] + m[k] > best[0]:
+                mine = ident == k
+                best = (g[k] + m[k], int(np.nonzero(mine & (give == g[k]))[0][0]), int(np.nonzero(mine & (more == m[k]))[0][0]))
+        _, x, y = best
+        if x < 0 or x == y:
             break
         step = min(take[x], avail[y] - take[y])
         for col in range(len(dims)):
