@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions import text as T
 
 # The intents in their fixed order with their keywords.
@@ -133,6 +134,19 @@ def quality(prompt: Column, response: Column, has_history: Column, label: Column
     return F.struct(reason.alias("reason"), F.array_compact(F.array(*flags)).alias("flags"))
 
 
+def record_fault(label: Column, messages: Column, final: Column, domain: list[str]) -> Column:
+    """Why a rewritten record is rejected; null if it is accepted: label, roles and contents, leaks in
+    the final message."""
+    outside = ~label.isin(*domain)
+    fault = M.role_fault(messages)
+    return (
+        F.when(outside, F.concat(F.lit("invalid_scenario:"), label))
+        .when(fault.isNotNull(), fault)
+        .when(final.rlike(T.PLACEHOLDER), "placeholder_leak")
+        .when(final.rlike(T.LONG_DIGITS), "long_digit_leak")
+    )
+
+
 # What a flag costs a candidate.
 PENALTIES = {
     "placeholder_rewrite": 0.8,

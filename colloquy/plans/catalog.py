@@ -567,6 +567,63 @@ def lenient_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", R.lenient_json(wrapped, "k int")["k"].alias("k"))
 
 
+_QUOTES = "[\"''“”‘’「」\\s\\x0b\\p{Z}]+"
+_CLEANED = f"regexp_replace(case when {_REPLY_OF} <> '' then {_REPLY_OF} else {_WHOLE} end, '(?m)^分类[:：].*$\\n?', '', 'g')"
+
+
+@query(f"select id, regexp_replace({sql_strip(_CLEANED)}, '^{_QUOTES}|{_QUOTES}$', '', 'g') as reply from post_train_test_generations")
+def clean_reply(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "post_train_test_generations").select("id", R.clean_reply(F.col("generated_response")).alias("reply"))
+
+
+_DOMAIN = ", ".join(quoted(k) for k in rules.INTENTS)
+
+
+@query(f"""with r as (select row_number() over () as rid, id, {sql_intent()} as s, messages, coalesce(messages[-1].content, '') as last from sft_train), m as (select rid, unnest(messages) as m, unnest(range(0, len(messages))) as i from r),
+ f as (select rid, first(fault order by i) as fault from (select rid, i, case when coalesce(m.role, '') <> case when i % 2 = 0 then 'user' else 'assistant' end then 'bad_role_at_' || i when {sql_strip("coalesce(m.content, '')")} = '' then 'empty_content_at_' || i end as fault from m) where fault is not null group by rid)
+select id, case when s not in ({_DOMAIN}) then 'invalid_scenario:' || s when messages is null or len(messages) = 0 then 'empty_final_reply' when fault is not null then fault
+ when len(messages) % 2 = 1 then 'bad_role_at_' || (len(messages) - 1) when regexp_matches(last, '\\[[^\\]]+\\]') then 'placeholder_leak' when regexp_matches(last, '[\\p{{Nd}}]{{8,}}') then 'long_digit_leak' end as fault from r left join f using (rid)""")
+def record_validate(spark: SparkSession, d: str) -> DataFrame:
+    last = T.text_or_empty(F.try_element_at("messages", F.lit(-1))["content"])
+    fault = rules.record_fault(intent(), F.col("messages"), last, list(rules.INTENTS))
+    return train(spark, d).select("id", fault.alias("fault"))
+
+
+@query(f"select {sql_intent()} as intent, count(*)::bigint as total, count(*) filter (where len(messages) > 2)::bigint as with_history, count(*) filter (where len(messages) <= 2)::bigint as single from sft_train group by 1")
+def selection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return train(spark, d).groupBy(intent().alias("intent")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("messages") > 2).alias("with_history"), F.count_if(F.size("messages") <= 2).alias("single"))
+
+
+@query(f"""with x as (select id, coalesce({_TOTAL}, 0) as n, length(messages[-1].content || '<|im_end|>' || chr(10)) as t from sft_dev)
+select id, least(n, {_LIMIT})::bigint as n_ids, least(t, {_LIMIT})::bigint as n_labels from x""")
+def token_preview(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths and visible labels when only the last answer is trained on."""
+    t = M.masked_tokens(M.turns(F.col("messages"), F.lit(None).cast("string")), _LIMIT, last_only=True)
+    rows = table(spark, d, "sft_dev").select("id", t.alias("t"))
+    return rows.select("id", F.size("t.input_ids").cast("long").alias("n_ids"), F.size(F.filter("t.labels", lambda x: x != -100)).cast("long").alias("n_labels"))
+
+
+@query(f"""select g.id, '问题：' || coalesce(g.prompt, '') || chr(10) || case when len(coalesce(g.history, [])) > 0 then '历史：' || array_to_string(list_transform(g.history, lambda p: '用户：' || coalesce(p[1], '') || ' 客服：' || coalesce(p[2], '')), chr(10)) || chr(10) else '' end
+ || '参考：' || coalesce(g.source_record.reference_reply, '') || chr(10) || '回复：' || coalesce(g.generated_reply, '') as prompt from post_train_test_generations g""")
+def judge_prompt(spark: SparkSession, d: str) -> DataFrame:
+    past = F.transform(F.coalesce("history", F.array()), lambda p: F.concat(F.lit("用户："), T.text_or_empty(F.get(p, 0)), F.lit(" 客服："), T.text_or_empty(F.get(p, 1))))
+    lines = F.array(
+        F.concat(F.lit("问题："), T.text_or_empty(F.col("prompt"))),
+        F.when(F.size(past) > 0, F.concat(F.lit("历史："), F.array_join(past, "\n"))),
+        F.concat(F.lit("参考："), T.text_or_empty(F.col("source_record.reference_reply"))),
+        F.concat(F.lit("回复："), T.text_or_empty(F.col("generated_reply"))),
+    )
+    return table(spark, d, "post_train_test_generations").select("id", F.array_join(F.array_compact(lines), "\n").alias("prompt"))
+
+
+@query("""with t as (select id, list_filter(messages, lambda m: m.role = 'user')[-1].content as prompt from sft_train where id not in (select id from sft_dev) and id not in (select id from eval_test))
+select distinct id, prompt, md5('13|' || id) as position from t where prompt is not null""")
+def training_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts for the preference loops: evaluation ids left out, shuffled by seed."""
+    rows = joins.without_ids(joins.without_ids(train(spark, d), table(spark, d, "sft_dev")), table(spark, d, "eval_test"))
+    return rows.select("id", M.last_user(F.col("messages")).alias("prompt"), T.shuffle_key(13, F.col("id")).alias("position")).filter("prompt is not null").distinct()
+
+
 _PAIR = {"c": sql_strip("coalesce(chosen, '')"), "r": sql_strip("coalesce(rejected, '')")}
 _FAULT = "case when c = '' then 'empty_chosen' when r = '' then 'empty_rejected' when length(c) < 20 then 'chosen_too_short' when length(r) < 10 then 'rejected_too_short' when c = r then 'identical' when abs(length(c) - length(r)) > 15 then 'length_gap' end"
 
