@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DROP = re.compile(r"[\W_]+")
@@ -38,6 +38,18 @@ def record_text(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "")
 
 
+def hash_sample(df: DataFrame, keys: list[Column], rows: int) -> DataFrame:
+    """About *rows* rows (all if there are no more), those with the smallest hashes of *keys*.
+
+    A threshold on the hash, set from a count: tasks send only what is taken, however many there are.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    part = F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    return df.filter(part < rows / n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), wraps silently."""
     x = x ^ (x >> np.uint64(33))

@@ -7,7 +7,7 @@ logistic span classifier on the votes and on hashed characters of the span and i
 The classifier decides.
 
 Everything is proposed and decided on whole texts of all rows. Only the two models are fitted on a
-bounded sample of proposed spans: at most ``FIT_ROWS`` per type, taken in hash order.
+bounded sample of proposed spans: about ``FIT_ROWS`` per type, chosen by hash.
 
 Widths are levelled character by character first (positions do not move), so spans in full-width
 characters are found and replaced in place.
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from . import common as C
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-FIT_ROWS = 20_000
+FIT_ROWS = 6_000
 HASHED = 2048
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
@@ -49,7 +50,7 @@ _WIDTH |= {ord(c): ord(d) for c, d in zip("＠．＋＿　 －–—−‐‑＃
 _WIDE = re.compile("[" + "".join(map(chr, _WIDTH)) + "]")
 _CN = "零〇一二三四五六七八九幺"
 
-_LOCAL = r"(?<![A-Za-z0-9._%+])[A-Za-z0-9][A-Za-z0-9._%+\-]*"
+_LOCAL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*"
 _AT = r" ?(?:@|[(（\[{]at[)）\]}]|#at#|<at>|艾特) ?"
 _DOT = r"(?: ?(?:\.|[(（\[{]dot[)）\]}]|#dot#|点) ?| dot )"
 EMAIL = re.compile(
@@ -227,17 +228,14 @@ _NOT_LATIN = set(
 )
 
 
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({c: [] for c in ("record_id", "field_name", "turn_no", "pii_type", "start", "stop", "votes", "features")})
-
-
 def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for rid, field, turn, text in zip(pdf["record_id"], pdf["field_name"], pdf["turn_no"], pdf["text"]):
             for kind, a, b, votes, features in spans(text):
                 rows.append((rid, field, turn, kind, a, b, votes, features))
-        yield pd.DataFrame(rows, columns=_empty().columns) if rows else _empty()
+        if rows:
+            yield pd.DataFrame(rows, columns=["record_id", "field_name", "turn_no", "pii_type", "start", "stop", "votes", "features"])
 
 
 _SPANS = "record_id string, field_name string, turn_no int, pii_type string, start int, stop int, votes array<int>, features array<string>"
@@ -352,13 +350,13 @@ def fields(df: DataFrame) -> DataFrame:
 
 
 def fit(proposed: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """The model fitted on at most *rows* proposed spans per type, in hash order."""
+    """The model fitted on about *rows* proposed spans per type, chosen by hash."""
     model = Model()
+    keys = [F.col(c) for c in ("record_id", "field_name", "turn_no", "start")]
     for kind in TYPES:
-        part = proposed.filter(F.col("pii_type") == kind)
-        sample = part.orderBy(F.xxhash64("record_id", "field_name", "turn_no", "start"), "record_id", "field_name", "turn_no", "start").limit(rows)
-        got = sample.select("votes", "features").toPandas()
+        got = C.hash_sample(proposed.filter(F.col("pii_type") == kind), keys, rows).select(*keys, "votes", "features").toPandas()
         if len(got):
+            got = got.sort_values(["record_id", "field_name", "turn_no", "start"])
             model.fit(kind, np.stack(got["votes"].to_numpy()), [list(f) for f in got["features"]])
     return model
 
