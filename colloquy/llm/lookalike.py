@@ -90,9 +90,9 @@ def _class(chars: str) -> str:
 def _patterns() -> tuple[str, str]:
     """Java patterns: segments (runs of token characters or of others), and what makes one suspicious."""
     inside = f"[\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}&&[^\\p{{IsHan}}]]"
-    outside = f"[^\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}]|\\p{{IsHan}}"
+    outside = f"[[^\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}]\\p{{IsHan}}]"
     suspicious = f"[\\p{{M}}\\x{{370}}-\\x{{52f}}{_class(ignorables())}{_class(''.join(LOOKALIKES))}]"
-    return f"(?s){inside}+|(?:{outside})+", suspicious
+    return f"(?s){inside}+|{outside}+", suspicious
 
 
 # Wide punctuation of everyday text, replaced by plain search and replace.
