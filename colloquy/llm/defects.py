@@ -1,7 +1,7 @@
 """Problem 4: broken prompt and response pairs.
 
 Method: a multi-label linear classifier on hashed n-grams and pair features, trained on synthetic
-defects. From a bounded sample of answers (``FIT_ROWS`` pairs in hash order) broken ones are made:
+defects. From a bounded sample of answers (about ``FIT_ROWS`` pairs, chosen by hash) broken ones are made:
 cut off, copied from the question, swapped with an answer in another language, refused, emptied; and
 hard sound ones: the closing mark lost, a polite ending added, the question quoted and then answered,
 an apology followed by help. After a first fit, sampled answers that the model itself finds broken
@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 LABELS = ("empty", "copy", "other_language", "refusal", "truncated")
 FIT_ROWS = 4000
 DIM = 1 << 16
@@ -54,7 +56,7 @@ POLITE = {
 END = "。！？!?.~～…"
 _MARKUP = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|\[[^\[\]]{1,6}\]")
 _BRACKETED = re.compile(r"\W*(?:\[[^\[\]]*\]|\{[^{}]*\}|【[^【】]*】|<[^<>]*>)\W*")
-_CODE = re.compile(r"[A-Za-z\-]*\d[A-Za-z0-9\-.]*")
+_CODE = re.compile(r"(?<![A-Za-z\-])[A-Za-z\-]*\d[A-Za-z0-9\-.]*")
 _SENTENCE = re.compile(r"[^。！？!?\n]+?(?:[。！？!?]+|\.(?=\s|$)|\n|$)")
 
 
@@ -86,7 +88,7 @@ def _grams(text: str, k: int) -> set[str]:
 
 
 def _mask(text: str) -> str:
-    return re.sub(r"[A-Za-z]*\d[\dA-Za-z.\-]*", "0", text)
+    return re.sub(r"(?<![A-Za-z])[A-Za-z]*\d[\dA-Za-z.\-]*", "0", text)
 
 
 def _level(x: float) -> int:
@@ -175,7 +177,7 @@ def sentences_of(a: str) -> list[str]:
 
 _REFUSE = {
     "zh": (
-        ["", "对不起，", "很抱歉，", "抱歉，", "不好意思，", "感谢您的提问，但", "收到您的消息，不过", "作为智能助手，", "身为一个语言模型，", "出于安全考虑，", "作为人工智能，", "谢谢咨询，但", "根据规定，", "按照相关要求，"],
+        ["", "对不起，", "很抱歉，", "抱歉，", "不好意思，", "感谢您的提问，但", "收到您的消息，不过", "收到您的消息，但", "作为智能助手，", "身为一个语言模型，", "出于安全考虑，", "作为人工智能，", "谢谢咨询，但", "根据规定，", "按照相关要求，"],
         ["我无法{o}", "我不能{o}", "我没办法{o}", "我不便{o}", "我不会{o}", "我没法{o}", "我拒绝{o}", "我没有权限{o}", "恕不能{o}", "恕我无法{o}", "我不可以{o}", "这边不能{o}", "我选择不答", "难以{o}", "我没有办法{o}", "无可奉告", "恕不奉陪", "概不答复", "不予解答", "不予置评"],
         ["回答", "回答这个问题", "处理此类问题", "处理该请求", "评论此事", "讨论", "参与讨论", "回应该请求", "回应您的这个问题", "处理您的这个请求", "作答", "给出答案", "答复", "提供相关建议", "就{p}作出答复", "就{p}给出任何意见", "谈论这个话题", "完成这个请求", "说", "帮您"],
         ["", "请谅解", "望知悉", "请问点别的", "换个问题吧", "请咨询别处", "请另寻途径", "到此为止吧", "也不打算展开", "谢谢谅解", "请换个话题", "您另问他人"],
@@ -490,8 +492,9 @@ def generation_answers(df: DataFrame) -> DataFrame:
 def broken_answers(answers: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(table_name, record_id, field_name, defect) of every defective answer."""
     answers = answers.filter("record_id is not null")
-    key = F.xxhash64("record_id", "field_name", F.coalesce("answer", F.lit("")))
-    sample = answers.filter("question is not null and answer is not null").orderBy(key, "record_id", "field_name").limit(rows).select("question", "answer").collect()
+    whole = answers.filter("question is not null and answer is not null")
+    got = C.hash_sample(whole, [F.col("record_id"), F.col("field_name"), F.col("answer")], rows).select("record_id", "field_name", "question", "answer").collect()
+    sample = [r[2:] for r in sorted(got)]
     model = fit([(r[0], r[1]) for r in sample])
     found = answers.mapInPandas(_apply(model), "table_name string, record_id string, field_name string, defect string")
     return found.groupBy("table_name", "record_id", "field_name").agg(F.min("defect").alias("defect"))
