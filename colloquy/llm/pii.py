@@ -18,6 +18,7 @@ null ids are left out; null messages have no turns; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -193,6 +194,7 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
     latin = _LATIN.search(text) is not None
     for m in ADDRESS_EN.finditer(text) if latin or "丁目" in text else ():
         add("address", *m.span(), 1, 1, 1, ["latin"])
+    places = [(x[1], x[2]) for x in out if x[0] == "address"]
     seen: set[int] = set()
     for pattern, cued in ((NAME_CUED, True), (NAME_ALONE, False)):
         for m in pattern.finditer(text):
@@ -203,21 +205,23 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
                 continue
             seen.add(a)
             given = s[2:] if s[:2] in COMPOUND else s[1:]
-            if s in _common_pairs() or s[-1] in "区市县镇村" or any(x[0] == "address" and x[1] < b and a < x[2] for x in out):
+            if s in _common_pairs() or s[-1] in "区市县镇村" or any(x < b and a < y for x, y in places):
                 continue
             bad = any(c in NOT_GIVEN for c in given)
             add("name", a, b, 0 if bad else 1, -1, 0 if bad else 1, [f"g{c}" for c in given] + [f"s{s[0]}", f"n{len(s)}", "zh"])
     for m in NAME_LATIN.finditer(text) if latin else ():
         a, b = m.span()
         words = m.group().rstrip(".").split(" ")
-        if any(x[0] == "address" and x[1] - 2 <= b and a <= x[2] + 2 for x in out):
+        if any(x - 2 <= b and a <= y + 2 for x, y in places):
             continue
         bad = any(w in _NOT_LATIN for w in words) or text[b : b + 1] == "-" or re.match(r" (?:[A-Z0-9\-]*\d|Road|Street|Lane|Avenue|Drive|Way)", text[b:])
         add("name", a, b, 0 if bad else 1, -1, -1, ["latin"])
     # neighbours: a span of another type within a few characters speaks for a name or an address
+    spots = sorted((x[1], x[2], x[0]) for x in out)
     for x in out:
         if x[0] in ("name", "address", "phone"):
-            near = any(y is not x and y[0] != x[0] and (0 <= y[1] - x[2] <= 4 or 0 <= x[1] - y[2] <= 6) for y in out if y[0] != "name" or x[0] != "name")
+            close = spots[bisect.bisect_left(spots, (x[1] - 120,)) : bisect.bisect_right(spots, (x[2] + 5,))]
+            near = any(k != x[0] and (k != "name" or x[0] != "name") and (0 <= p - x[2] <= 4 or 0 <= x[1] - q <= 6) for p, q, k in close)
             x[3][6] = 1 if near else (0 if x[0] == "name" and x[3][3] < 0 and x[3][4] < 0 else -1)
     return out
 
