@@ -39,7 +39,7 @@ PRIORITY = (
     (r"(改|修改|换).{0,6}(地址|收货|配送|派送|时间|电话|手机号)|拒收|自提|驿站", "物流-配送调整", 99),
 )
 # Patterns behind the quality flags of a reply.
-BOILERPLATE = r"有什么问题我可以帮您处理或解决呢|请问还有其他还可以帮到您的吗|请问您是咨询之前的问题还是有其他的问题需要处理呢|感谢您对京东的支持|请您稍等|马上为您查询|正在查看|您好[，,]?请问有什么可以帮"
+BOILERPLATE = r"有什么问题我可以帮您处理或解决呢|请问还有其他还可以帮到您的吗|请问您是咨询之前的问题还是有其他的问题需要处理呢|感谢您对.{1,6}的支持|请您稍等|马上为您查询|正在查看|您好[，,]?请问有什么可以帮"
 OVERPROMISE = r"已为您查询|马上为您查询|正在为您核实|我这边看到|我已经|已记录|一定|务必|立即|马上处理|专员跟进|优先处理|给您申请|帮您申请|仓库会|快递会|财务正在|拦截成功|免费更换|补偿您"
 PRIVATE = r"订单号|手机号|收货地址|身份证|银行卡|姓名|电话"
 CONFLICT = r"不能退.*可以退|可以退.*不能退|不支持.*支持|支持.*不支持|无法取消.*可以取消|可以取消.*无法取消|没有货.*有货|有货.*没有货"
