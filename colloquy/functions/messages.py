@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text_or_empty
+from .text import bind, strip, text_or_empty
 
 MESSAGE = "struct<role:string,content:string>"
 # Role names of common formats.
@@ -178,25 +178,26 @@ def masked_tokens(t: Column, limit: int, last_only: bool = False) -> Column:
     Each turn takes what room is left, the target first; source labels are -100. With *last_only*
     turns are taken from the last backwards and only the last target keeps its labels.
     """
-    order = F.reverse(t) if last_only else t
+    coded = F.transform(F.reverse(t) if last_only else t, lambda turn: F.struct(codes(turn["source"]).alias("s"), codes(turn["target"]).alias("g")))
     start = F.struct(F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("labels"), F.lit(False).alias("cut"), F.lit(0).alias("n"))
 
     def step(acc: Column, turn: Column) -> Column:
-        s, g = codes(turn["source"]), codes(turn["target"])
+        s, g = turn["s"], turn["g"]
         room = F.lit(limit) - F.size(acc["ids"])
-        keep = budget(F.size(s), F.size(g), room)
-        kept_s = F.slice(s, F.size(s) - keep["source"] + 1, keep["source"])
-        kept_t = F.slice(g, F.lit(1), keep["target"])
-        hidden = F.transform(kept_s, lambda _: F.lit(-100))
-        shown = F.when(acc["n"] > 0, F.transform(kept_t, lambda _: F.lit(-100))).otherwise(kept_t) if last_only else kept_t
-        both, marks = F.concat(kept_s, kept_t), F.concat(hidden, shown)
-        cut = acc["cut"] | (room <= 0) | (keep["source"] < F.size(s)) | (keep["target"] < F.size(g))
-        return F.struct(
-            (F.concat(both, acc["ids"]) if last_only else F.concat(acc["ids"], both)).alias("ids"),
-            (F.concat(marks, acc["labels"]) if last_only else F.concat(acc["labels"], marks)).alias("labels"),
-            cut.alias("cut"),
-            (acc["n"] + 1).alias("n"),
-        )
-
-    done = F.aggregate(order, start, step)
-    return F.struct(done["ids"].alias("input_ids"), done["labels"].alias("labels"), done["cut"].alias("truncated"))
+
+        def join(keep: Column) -> Column:
+            kept_s = F.slice(s, F.size(s) - keep["source"] + 1, keep["source"])
+            kept_t = F.slice(g, F.lit(1), keep["target"])
+            shown = F.when(acc["n"] > 0, F.array_repeat(F.lit(-100), keep["target"])).otherwise(kept_t) if last_only else kept_t
+            both, marks = F.concat(kept_s, kept_t), F.concat(F.array_repeat(F.lit(-100), keep["source"]), shown)
+            cut = acc["cut"] | (room <= 0) | (keep["source"] < F.size(s)) | (keep["target"] < F.size(g))
+            return F.struct(
+                (F.concat(both, acc["ids"]) if last_only else F.concat(acc["ids"], both)).alias("ids"),
+                (F.concat(marks, acc["labels"]) if last_only else F.concat(acc["labels"], marks)).alias("labels"),
+                cut.alias("cut"),
+                (acc["n"] + 1).alias("n"),
+            )
+
+        return bind(budget(F.size(s), F.size(g), room), join)
+
+    return bind(F.aggregate(coded, start, step), lambda d: F.struct(d["ids"].alias("input_ids"), d["labels"].alias("labels"), d["cut"].alias("truncated")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ LONG_DIGITS = r"(?U)\d{8,}"
 BLANKS = r"(?U)\s+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """*use* of a value that is computed once, however often *use* names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -59,10 +66,14 @@ def wide_length(c: Column) -> Column:
     return F.length(F.regexp_replace(text_or_empty(c), r"(?U)[\x00-\x7F\s]", ""))
 
 
+def key_stutters(key: Column) -> Column:
+    """:func:`stutters` of a loose key."""
+    return key.rlike(r"(.{3,24})\1{2}") | key.rlike(r"(.)\1{5}") | key.rlike(r"(.{2})\1{5}")
+
+
 def stutters(c: Column) -> Column:
     """A span of 3-24 characters three times in a row, or of 1-2 characters six times, on the loose key."""
-    key = loose_key(c)
-    return key.rlike(r"(.{3,24})\1{2}") | key.rlike(r"(.)\1{5}") | key.rlike(r"(.{2})\1{5}")
+    return bind(loose_key(c), key_stutters)
 
 
 def placeholder_count(*cs: Column) -> Column:

@@ -69,24 +69,30 @@ def classify(prompt: Column, others: Column, pack: Pack = Pack()) -> Column:
 
     scores is an array of (label, score) above 0, best first, ties in label order.
     """
-    prompt, everything = T.text_or_empty(prompt), F.concat_ws(" ", T.text_or_empty(prompt), T.text_or_empty(others))
     table = F.array(
         *[F.struct(F.lit(n).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words")) for n, (label, words) in enumerate(pack.lexicon.items())]
     )
-    points = lambda w: F.when(F.contains(prompt, w), pack.in_prompt).when(F.contains(everything, w), pack.elsewhere).otherwise(0)
-    scored = F.transform(table, lambda row: F.struct((-F.aggregate(row["words"], F.lit(0), lambda s, w: s + points(w))).alias("minus"), row["rank"].alias("rank"), row["label"].alias("label")))
-    ranked = F.array_sort(F.filter(scored, lambda s: s["minus"] < 0))
-    scores = F.transform(ranked, lambda s: F.struct(s["label"].alias("label"), (-s["minus"]).alias("score")))
-    first = lambda label, score: F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))
-    hit = None
-    for pattern, label, score in pack.priority:
-        one = F.array(first(label, score))
-        hit = F.when(prompt.rlike(pattern), one) if hit is None else hit.when(prompt.rlike(pattern), one)
-    found = hit.otherwise(scores) if hit is not None else scores
-    return F.struct(
-        F.coalesce(F.try_element_at(found, F.lit(1))["label"], F.lit(pack.unknown)).alias("label"),
-        F.coalesce(F.try_element_at(found, F.lit(1))["score"], F.lit(0)).alias("score"),
-        found.alias("scores"),
+    first = lambda label, score: F.array(F.struct(F.lit(label).alias("label"), F.lit(score).alias("score")))
+
+    def found(x: Column) -> Column:
+        own, everything = x["own"], x["everything"]
+        points = lambda w: F.when(F.contains(everything, w), F.when(F.contains(own, w), pack.in_prompt).otherwise(pack.elsewhere)).otherwise(0)
+        scored = F.transform(table, lambda row: F.struct((-F.aggregate(row["words"], F.lit(0), lambda s, w: s + points(w))).alias("minus"), row["rank"].alias("rank"), row["label"].alias("label")))
+        ranked = F.array_sort(F.filter(scored, lambda s: s["minus"] < 0))
+        out = F.transform(ranked, lambda s: F.struct(s["label"].alias("label"), (-s["minus"]).alias("score")))
+        for pattern, label, score in reversed(pack.priority):
+            out = F.when(own.rlike(pattern), first(label, score)).otherwise(out)
+        return out
+
+    own = T.text_or_empty(prompt)
+    texts = F.struct(own.alias("own"), F.concat_ws(" ", own, T.text_or_empty(others)).alias("everything"))
+    return T.bind(
+        T.bind(texts, found),
+        lambda f: F.struct(
+            F.coalesce(F.try_element_at(f, F.lit(1))["label"], F.lit(pack.unknown)).alias("label"),
+            F.coalesce(F.try_element_at(f, F.lit(1))["score"], F.lit(0)).alias("score"),
+            f.alias("scores"),
+        ),
     )
 
 
@@ -103,35 +109,46 @@ class Gate:
 
 def quality(prompt: Column, response: Column, has_history: Column, label: Column, gate: Gate = Gate()) -> Column:
     """struct(reason, flags): why a row is dropped, and the flags raised before that point."""
-    p, r = T.compact_length(prompt), T.compact_length(response)
+    keys = F.struct(T.loose_key(prompt).alias("pk"), T.loose_key(response).alias("rk"), label.alias("label"))
     prompt, response = T.text_or_empty(prompt), T.text_or_empty(response)
-    # (exit reason or None, flag or None, condition) in the order in which they are looked at
-    steps: list[tuple[str | None, str | None, Column]] = [
-        ("empty_prompt_or_response", None, (prompt == "") | (response == "")),
-        (None, "unknown_intent", label == "unknown"),
-        ("too_short_prompt", None, p < gate.min_prompt),
-        ("too_short_reply_hard", None, r < gate.hard_min_reply),
-        (None, "short_reply_rewrite", r < gate.soft_min_reply),
-        ("too_long_reply_hard", None, r > gate.hard_max_reply),
-        (None, "long_reply_rewrite", r > gate.soft_max_reply),
-        (None, "placeholder_rewrite", prompt.rlike(T.PLACEHOLDER) | response.rlike(T.PLACEHOLDER)),
-        (None, "long_digit_rewrite", prompt.rlike(T.LONG_DIGITS) | response.rlike(T.LONG_DIGITS)),
-        (None, "boilerplate_rewrite", response.rlike(BOILERPLATE)),
-        (None, "overpromise_rewrite", response.rlike(OVERPROMISE)),
-        (None, "privacy_or_private_info_rewrite", response.rlike(PRIVATE)),
-        (None, "possible_conflict_rewrite", T.loose_key(response).rlike(CONFLICT)),
-        (None, "stutter_rewrite", T.stutters(prompt) | T.stutters(response)),
-        (None, "has_history", has_history),
-    ]
-    exits = [(c, reason) for reason, _, c in steps if reason]
-    reason = ladder(exits)
-    flags, gone = [], F.lit(False)
-    for name, flag, condition in steps:
-        if name:
-            gone = gone | condition
-        else:
-            flags.append(F.when(~gone & condition, F.lit(flag)))
-    return F.struct(reason.alias("reason"), F.array_compact(F.array(*flags)).alias("flags"))
+
+    def steps(x: Column) -> list[tuple[str | None, str | None, Column]]:
+        """(exit reason or None, flag or None, condition) in the order in which they are looked at."""
+        p, r = F.length(x["pk"]), F.length(x["rk"])
+        return [
+            ("empty_prompt_or_response", None, (prompt == "") | (response == "")),
+            (None, "unknown_intent", x["label"] == "unknown"),
+            ("too_short_prompt", None, p < gate.min_prompt),
+            ("too_short_reply_hard", None, r < gate.hard_min_reply),
+            (None, "short_reply_rewrite", r < gate.soft_min_reply),
+            ("too_long_reply_hard", None, r > gate.hard_max_reply),
+            (None, "long_reply_rewrite", r > gate.soft_max_reply),
+            (None, "placeholder_rewrite", prompt.rlike(T.PLACEHOLDER) | response.rlike(T.PLACEHOLDER)),
+            (None, "long_digit_rewrite", prompt.rlike(T.LONG_DIGITS) | response.rlike(T.LONG_DIGITS)),
+            (None, "boilerplate_rewrite", response.rlike(BOILERPLATE)),
+            (None, "overpromise_rewrite", response.rlike(OVERPROMISE)),
+            (None, "privacy_or_private_info_rewrite", response.rlike(PRIVATE)),
+            (None, "possible_conflict_rewrite", x["rk"].rlike(CONFLICT)),
+            (None, "stutter_rewrite", T.key_stutters(x["pk"]) | T.key_stutters(x["rk"])),
+            (None, "has_history", has_history),
+        ]
+
+    def gated(x: Column) -> Column:
+        # the place of the exit is found once; a flag counts if it stands before that place
+        looked = steps(x)
+        place = F.lit(len(looked))
+        for n in range(len(looked) - 1, -1, -1):
+            if looked[n][0]:
+                place = F.when(looked[n][2], F.lit(n)).otherwise(place)
+
+        def at(e: Column) -> Column:
+            reason = ladder([(e == n, name) for n, (name, _, _) in enumerate(looked) if name])
+            flags = F.array(*[F.when((e > n) & condition, F.lit(flag)) for n, (_, flag, condition) in enumerate(looked) if flag])
+            return F.struct(reason.alias("reason"), F.array_compact(flags).alias("flags"))
+
+        return T.bind(place, at)
+
+    return T.bind(keys, gated)
 
 
 def record_fault(label: Column, messages: Column, final: Column, domain: list[str]) -> Column:
