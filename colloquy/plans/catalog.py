@@ -77,9 +77,10 @@ def train(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_train")
 
 
-def latest(spark: SparkSession, d: str, name: str = "sft_train") -> DataFrame:
-    """One row per id: the first delivery."""
-    return selection.last_wins(table(spark, d, name), "id", [-F.unix_micros(F.col("ingested_at").cast("timestamp"))])
+def latest(spark: SparkSession, d: str, name: str, *columns) -> DataFrame:
+    """One row per id with the chosen columns: the first delivery. Only these columns are read and shuffled."""
+    rows = table(spark, d, name).select("id", "ingested_at", *columns)
+    return selection.last_wins(rows, "id", [-F.unix_micros(F.col("ingested_at").cast("timestamp"))])
 
 
 FIRST = "(select * from {t} qualify row_number() over (partition by id order by ingested_at) = 1)"
@@ -367,14 +368,14 @@ with a as (select id as k, {sql_intent()} as scenario from {FIRST.format(t='eval
 select g.id, coalesce(a.scenario, case when a.k is null then b.scenario2 end) as expected, case when a.k is not null then 1 when b.k2 is not null then 2 end as matched_by
 from post_train_test_generations g left join a on g.id = a.k left join b on g.source_record.id = b.k2""")
 def two_key_join(spark: SparkSession, d: str) -> DataFrame:
-    right = latest(spark, d, "eval_test").select("id", intent().alias("expected"))
+    right = latest(spark, d, "eval_test", intent().alias("expected")).select("id", "expected")
     left = table(spark, d, "post_train_test_generations").select("id", F.col("source_record.id").alias("other"))
     return joins.two_key_lookup(left, right, F.col("id"), F.col("other"), "id", ["expected"]).select("id", "expected", "matched_by")
 
 
 @query(f"select id, length(chosen)::bigint as chosen_length, length(rejected)::bigint as rejected_length from {FIRST.format(t='dpo_preference_pairs')}")
 def model_compare(spark: SparkSession, d: str) -> DataFrame:
-    rows = latest(spark, d, "dpo_preference_pairs").select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.col(n).alias("reply")) for n in ("chosen", "rejected")])).alias("x")).select("id", "x.*")
+    rows = latest(spark, d, "dpo_preference_pairs", "chosen", "rejected").select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.col(n).alias("reply")) for n in ("chosen", "rejected")])).alias("x")).select("id", "x.*")
     wide = joins.compare(rows, "id", "run", ["reply"], ["chosen", "rejected"])
     return wide.select("id", F.length("chosen.reply").cast("long").alias("chosen_length"), F.length("rejected.reply").cast("long").alias("rejected_length"))
 
@@ -396,7 +397,7 @@ with rows as (select id, {sql_intent()} as s, row_number() over (order by id) as
 select id, coalesce(o.share, t.target_share, dflt.target_share)::double as target_share, coalesce(t.min_rows, dflt.min_rows)::int as min_rows
 from rows left join scenario_targets t on s = t.scenario left join o using (i), dflt""")
 def rule_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = joins.ordinal(latest(spark, d, "sft_dev").select("id", intent().alias("scenario")), ["id"], "i")
+    rows = joins.ordinal(latest(spark, d, "sft_dev", intent().alias("scenario")).select("id", "scenario"), ["id"], "i")
     over = spark.createDataFrame([(i, s, None) for i, s in _OVER], "i int, target_share double, min_rows int")
     return joins.rule_lookup(rows, table(spark, d, "scenario_targets"), over, "scenario", "i", "闲聊-礼貌收尾", ["target_share", "min_rows"]).select("id", "target_share", "min_rows")
 
@@ -464,7 +465,7 @@ with r as (select id, messages, unnest(range(1, len(messages) + 1)) as pos from
 select id, (pos - 1)::int as turn, messages[pos].content as target, {_join_sql('list_slice(messages, greatest(1, pos - 3), pos - 1)')} as context
 from r where messages[pos].role = 'assistant' and len(list_filter(list_slice(messages, 1, pos - 1), lambda m: m.role = 'user')) > 0""")
 def expand_turns(spark: SparkSession, d: str) -> DataFrame:
-    return dialogue.expand_turns(latest(spark, d), ["id"], "messages", 1).select("id", "turn", "target", dialogue.rendered(F.col("context")).alias("context"))
+    return dialogue.expand_turns(latest(spark, d, "sft_train", "messages"), ["id"], "messages", 1).select("id", "turn", "target", dialogue.rendered(F.col("context")).alias("context"))
 
 
 @query("select id, unnest(range(0, len(messages)))::int as turn, unnest(list_transform(messages, lambda m: m.role)) as role, unnest(list_transform(messages, lambda m: length(m.content)))::bigint as n from eval_test")
@@ -771,7 +772,7 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
 # -- annotation and reports -----------------------------------------------------------------------
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """One sheet per scenario of the development split."""
-    rows = latest(spark, d, "sft_dev").select("id", intent().alias("intent"), "messages")
+    rows = latest(spark, d, "sft_dev", intent().alias("intent"), "messages").select("id", "intent", "messages")
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("intent").orderBy("id")))
     body = annotation.section(F.col("number"), F.col("intent"), F.col("id"), dialogue.rendered(F.col("messages")), F.array(F.lit("a"), F.col("intent")), F.array().cast("array<string>"))
     one = F.struct("number", body.alias("s"))
@@ -805,7 +806,7 @@ with r as (select id, messages, unnest(range(1, len(messages) + 1)) as pos from
 select n_context, count(*)::bigint as n_samples, sum(length(target))::bigint as n_chars from f group by 1""")
 def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     """Records to samples: expand turns, clean targets, keep the first of each key, summarise by context."""
-    samples = dialogue.expand_turns(latest(spark, d), ["id"], "messages", 2)
+    samples = dialogue.expand_turns(latest(spark, d, "sft_train", "messages"), ["id"], "messages", 2)
     rows = samples.select("id", "turn", F.size("context").alias("n_context"), T.clean(F.col("target")).alias("target"))
     rows = rows.withColumn("key", T.loose_key(F.col("target")))
     first = rows.groupBy("key").agg(F.min_by(F.struct("n_context", F.length("target").alias("n")), F.struct("id", "turn")).alias("x"))
