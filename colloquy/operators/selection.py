@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shuffle_key
+from .joins import small
 
 
 BUCKETS = 3  # hexadecimal digits of a hash key that name a bucket: 4096 of them
@@ -73,7 +74,7 @@ def quotas(counts: DataFrame, name: str, n: str, total: int, low: int, high: int
     fill = (F.col("floor") + F.col("pass") - 1) / F.greatest("cap", F.lit(1))
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("pass", fill, "name"))
     taken = slots.withColumn("rank", rank).filter(F.col("rank") <= F.col("room")).groupBy("name").agg(F.count(F.lit(1)).alias("extra"))
-    return base.join(F.broadcast(taken), "name", "left").select("name", "cap", (F.col("floor") + F.coalesce("extra", F.lit(0))).cast("long").alias("quota"))
+    return base.join(small(taken), "name", "left").select("name", "cap", (F.col("floor") + F.coalesce("extra", F.lit(0))).cast("long").alias("quota"))
 
 
 def stratified_top(df: DataFrame, stratum: str, flag: str, score: str, tie: Column, quota: DataFrame, share: float) -> DataFrame:
@@ -85,7 +86,7 @@ def stratified_top(df: DataFrame, stratum: str, flag: str, score: str, tie: Colu
     q = quota.select(F.col("name").alias(stratum), "quota")
     most = top_of(quota)
     flagged = df.groupBy(stratum).agg(F.count(F.when(F.col(flag), 1)).alias("_n"))
-    rows = df.join(F.broadcast(q), stratum).join(F.broadcast(flagged), stratum).withColumn("_tie", tie)
+    rows = df.join(small(q), stratum).join(small(flagged), stratum).withColumn("_tie", tie)
     best = [F.desc(score), "_tie"]
     # no more than the largest quota of either kind can ever be chosen
     rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum, flag).orderBy(*best))).filter(F.col("_rank") <= most)
@@ -134,7 +135,7 @@ def keep_per_class(df: DataFrame, name: str, quota: DataFrame, key: Column) -> D
     """Adds kept: the first rows of each class in order of the hash *key*, as many as its quota (default 0)."""
     q = quota.select(F.col("name").alias(name), "quota")
     rows = hash_rank(df.withColumn("_key", key), [name], "_key", "_rank")
-    return rows.join(F.broadcast(q), name, "left").withColumn("kept", F.col("_rank") <= F.coalesce("quota", F.lit(0))).drop("_key", "_rank", "quota")
+    return rows.join(small(q), name, "left").withColumn("kept", F.col("_rank") <= F.coalesce("quota", F.lit(0))).drop("_key", "_rank", "quota")
 
 
 def shrink_targets(counts: DataFrame, name: str, n: str, target: int, floor: int) -> DataFrame:
@@ -167,10 +168,10 @@ def augment(pool: DataFrame, current: DataFrame, targets: DataFrame, name: str,
 
     *current* has (name, n), *targets* (name, target); classes without a target take nothing.
     """
-    need = targets.join(F.broadcast(current), "name", "left").select(F.col("name").alias(name), F.greatest(F.lit(0), F.col("target") - F.coalesce("n", F.lit(0))).alias("_need"))
+    need = targets.join(small(current), "name", "left").select(F.col("name").alias(name), F.greatest(F.lit(0), F.col("target") - F.coalesce("n", F.lit(0))).alias("_need"))
     most = top_of(need, "_need")
     rank = F.row_number().over(Window.partitionBy(name).orderBy(F.desc(score), tie))
-    rows = pool.join(F.broadcast(need.filter("_need > 0")), name).withColumn("_rank", rank).filter(F.col("_rank") <= most)
+    rows = pool.join(small(need.filter("_need > 0")), name).withColumn("_rank", rank).filter(F.col("_rank") <= most)
     return rows.filter(F.col("_rank") <= F.col("_need")).drop("_rank", "_need")
 
 
@@ -178,7 +179,7 @@ def proportional(df: DataFrame, name: str, total: int, least: int, key: Column)
     """A stratified sample: each class its share of *total* but at least *least*, then cut to *total*."""
     whole = df.groupBy(name).agg(F.count(F.lit(1)).alias("_size"))
     share = whole.withColumn("_take", F.least(F.col("_size"), F.greatest(F.lit(least), F.bround(F.lit(float(total)) * F.col("_size") / F.sum("_size").over(Window.partitionBy(F.lit(1))))))).select(name, "_take")
-    rows = hash_rank(df.withColumn("_key", key), [name], "_key", "_rank").join(F.broadcast(share), name).filter("_rank <= _take")
+    rows = hash_rank(df.withColumn("_key", key), [name], "_key", "_rank").join(small(share), name).filter("_rank <= _take")
     return rows.orderBy("_key").limit(total).drop("_key", "_rank", "_take")
 
 
