@@ -60,7 +60,7 @@ EMAIL = re.compile(
 )
 _SPELLED = re.compile(r" at [A-Za-z0-9\-]+\.", re.I)
 _CNX = "[" + _CN + "]"
-RUN = re.compile(r"(?:[+(（]{1,2}\d|\d)[\d \-.·()（）]{5,24}[\dXx]")
+RUN = re.compile(r"(?:[+(（]{1,2}\d|\d)[\d \-.·()（）]{5,}[\dXx]")
 PHONE = re.compile(
     r"(?<![A-Za-z0-9*.\-])(?:[(（]?\+86[)）]?[ \-]?|0086[ \-]?|[(（]?86[)）]?[ \-])?1[3-9](?:[ .·\-]?\d){9}(?![A-Za-z0-9*]|-\d)"
     r"|(?<![A-Za-z0-9*.\-])861[3-9]\d{9}(?![A-Za-z0-9*]|-\d)"

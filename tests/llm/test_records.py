@@ -57,6 +57,7 @@ FOUND = [
     ("手机0755-55509669", "phone"),
     ("my number is +1 (555) 010-0118", "phone"),
     ("１５５００４７１１７２，到了打这个", "phone"),
+    ("item/910983872726959388 165.0064.8309，打不通就发短信", "phone"),
     ("证件号是619909 19570107 1337", "id_number"),
     ("清关证件护照E38333028需重传", "id_number"),
     ("my id: SSN 666-35-6845", "id_number"),
