@@ -29,13 +29,13 @@ def section(number: Column, intent: Column, label: Column, dialogue: Column, mus
 
 def parse_sheet(sheets: DataFrame, text: str = "value") -> DataFrame:
     """(number, intent, label, dialogue, must, avoid) of every section of whole-text rows."""
-    parts = sheets.select(F.explode(F.split(F.col(text), r"\n(?=### eval_\d{3} \|)")).alias("s")).filter(F.col("s").rlike(r"^### eval_\d{3} \|"))
+    parts = sheets.select(F.explode(F.split(F.col(text), r"\n(?=### eval_\d{3,} \|)")).alias("s")).filter(F.col("s").rlike(r"^### eval_\d{3,} \|"))
     s = F.col("s")
     boxes = lambda block: F.filter(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^- \[ \] ?(.*)$"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
     return parts.select(
-        F.regexp_extract(s, r"^### eval_(\d{3}) \|", 1).cast("int").alias("number"),
-        F.regexp_extract(s, r"^### eval_\d{3} \| ([^|\n]*?) \|", 1).alias("intent"),
-        F.regexp_extract(s, r"^### eval_\d{3} \| [^|\n]*? \| ?(.*)", 1).alias("label"),
+        F.regexp_extract(s, r"^### eval_(\d{3,}) \|", 1).cast("int").alias("number"),
+        F.regexp_extract(s, r"^### eval_\d{3,} \| ([^|\n]*?) \|", 1).alias("intent"),
+        F.regexp_extract(s, r"^### eval_\d{3,} \| [^|\n]*? \| ?(.*)", 1).alias("label"),
         F.regexp_extract(s, r"(?s)```\n(.*?)\n```", 1).alias("dialogue"),
         boxes(F.regexp_extract(s, r"(?s)\*\*must:\*\*\n(.*?)(?:\*\*avoid:\*\*|$)", 1)).alias("must"),
         boxes(F.regexp_extract(s, r"(?s)\*\*avoid:\*\*\n(.*)$", 1)).alias("avoid"),

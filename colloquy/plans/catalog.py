@@ -770,13 +770,17 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- annotation and reports -----------------------------------------------------------------------
+SHEET = 500  # sections of one sheet at most, so a class of any size is spread over bounded texts
+
+
 def sheets(spark: SparkSession, d: str) -> DataFrame:
-    """One sheet per scenario of the development split."""
+    """Sheets of each scenario of the development split, SHEET sections each."""
     rows = latest(spark, d, "sft_dev", intent().alias("intent"), "messages").select("id", "intent", "messages")
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("intent").orderBy("id")))
     body = annotation.section(F.col("number"), F.col("intent"), F.col("id"), dialogue.rendered(F.col("messages")), F.array(F.lit("a"), F.col("intent")), F.array().cast("array<string>"))
     one = F.struct("number", body.alias("s"))
-    return rows.groupBy("intent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "\n").alias("value"))
+    sheet = F.floor((F.col("number") - 1) / SHEET).alias("sheet")
+    return rows.groupBy("intent", sheet).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "\n").alias("value"))
 
 
 @query(f"""with x as (select id, {sql_intent()} as intent, messages from {FIRST.format(t='sft_dev')}), n as (select *, row_number() over (partition by intent order by id) as number from x)

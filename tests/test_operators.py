@@ -157,6 +157,15 @@ def test_sheet_roundtrip(spark):
     assert (c["filled"], c["empty"]) == (2, 4)
 
 
+def test_sheet_of_more_than_a_thousand_sections(spark):
+    rows = [(n, "x", f"id{n}", f"[user] {n}", ["a"], ["b"]) for n in range(1, 1203)]
+    df = spark.createDataFrame(rows, "n int, i string, l string, d string, m array<string>, a array<string>")
+    one = F.struct("n", annotation.section(F.col("n"), F.col("i"), F.col("l"), F.col("d"), F.col("m"), F.col("a")).alias("s"))
+    sheet = df.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "\n").alias("value"))
+    got = sorted(tuple(r) for r in annotation.parse_sheet(sheet).select("number", "label", "dialogue", "must", "avoid").collect())
+    assert got == [(n, label, text, must, avoid) for n, _, label, text, must, avoid in rows]
+
+
 def test_transport_audits_every_call(spark):
     df = spark.createDataFrame([(str(n), f"p{n}") for n in range(40)] + [("x", None)], "id string, prompt string")
     audit = transport.call_all(df, "id", "prompt", transport.Echo(fail_every=5), transport.Retry(attempts=2), sleep=lambda s: None).collect()
