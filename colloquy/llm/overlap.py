@@ -10,9 +10,11 @@ band. Every message also carries a 128-bit sketch of its signature, so the bucke
 collisions inside the JVM before any text moves.
 
 Skew. Messages that stand verbatim in more than ``hot_limit`` training records (greetings, closing
-phrases) are left out on the evaluation side when they make up at most ``hot_share`` of the record:
-a pair above the containment limit must then share more than half of the rest. Records made of
-little else keep them; their partners are true results. Short messages are treated in the same way.
+phrases) are left out on the evaluation side, most frequent first, while all 3-sequences of the record
+that touch a left-out message are at most ``hot_share`` of its 3-sequences and so few that a confirmed
+pair must still share ``limit - SLACK`` of the others: with a share d left out, a pair shares at least
+(limit - d) / (1 - d) of the rest. Hot messages beyond that stay, short ones too; their bucket keys are
+salted, so the training records of a hot message are spread over tasks.
 
 Defined results: a null or empty message list, null contents and records under three folded
 characters have no 3-sequences and never form a pair; rows with the same id count once; null ids are
@@ -34,7 +36,8 @@ from . import common as C
 ROWS, BANDS, SEED = 4, 10, 11
 SKETCH = 64  # permutations; two low bits of each make the 128-bit sketch
 MAX_DISTANCE = 36
-SHORT = 10  # characters under which a message is "short"
+SLACK = 0.05  # what leaving out hot messages may take from the share that the rest must have
+SALTS = 16
 HOT_BROADCAST = 50_000
 
 
@@ -46,23 +49,30 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
     return np.packbits(low, axis=1).view(">i8").astype(np.int64)
 
 
+def _signed(rid: np.ndarray, contents: list[str], hot: np.ndarray | None = None) -> pd.DataFrame | None:
+    """Rows of bucket keys and sketches of messages; with *hot*, its flag too."""
+    keep, sets = [], []
+    for n, text in enumerate(contents):
+        g = C.grams3(C.fold(text))
+        if g.size:
+            keep.append(n)
+            sets.append(g)
+    if not keep:
+        return None
+    sig = C.minhash_many(sets, SKETCH, SEED)
+    keys, sk = C.bands(sig[:, : ROWS * BANDS], ROWS), _sketch(sig)
+    short = np.fromiter((s.size < 8 for s in sets), bool, len(sets))
+    keys[short, 1:] = 0  # a short message needs one key: its bands agree or the texts differ
+    at, band = np.nonzero(~(short[:, None] & (np.arange(BANDS) > 0)[None, :]))
+    out = pd.DataFrame({"rid": rid[keep][at], "key": keys[at, band], "s0": sk[at, 0], "s1": sk[at, 1]})
+    return out if hot is None else out.assign(is_hot=hot[keep][at])
+
+
 def _lanes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep, sets = [], []
-        for n, text in enumerate(pdf["content"]):
-            g = C.grams3(C.fold(text))
-            if g.size:
-                keep.append(n)
-                sets.append(g)
-        if not keep:
-            continue
-        sig = C.minhash_many(sets, SKETCH, SEED)
-        keys, sk = C.bands(sig[:, : ROWS * BANDS], ROWS), _sketch(sig)
-        short = np.fromiter((s.size < 8 for s in sets), bool, len(sets))
-        keys[short, 1:] = 0  # a short message needs one key: its bands agree or the texts differ
-        rid = pdf["rid"].to_numpy()[keep]
-        at, band = np.nonzero(~(short[:, None] & (np.arange(BANDS) > 0)[None, :]))
-        yield pd.DataFrame({"rid": rid[at], "key": keys[at, band], "s0": sk[at, 0], "s1": sk[at, 1]})
+        out = _signed(pdf["rid"].to_numpy(), list(pdf["content"]))
+        if out is not None:
+            yield out
 
 
 _LANES = "rid long, key long, s0 long, s1 long"
@@ -73,22 +83,61 @@ def _records(df: DataFrame, id_col: str, messages: str) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("id"), contents.alias("parts")).filter("id is not null")
 
 
-def _eval_units(records: DataFrame, hot: DataFrame, hot_share: float) -> DataFrame:
-    """Messages of evaluation records, without short and hot ones where the rest is enough."""
-    long_part = F.filter("parts", lambda p: F.length(p) >= SHORT)
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, p: s + F.length(p))
-    picked = records.select(
-        "rid",
-        F.when(chars(long_part) >= 0.5 * chars(F.col("parts")), long_part).otherwise(F.col("parts")).alias("parts"),
-        chars(F.col("parts")).alias("total"),
-    )
-    units = picked.select("rid", "total", F.explode(F.array_distinct("parts")).alias("content"))
-    units = units.withColumn("unit", F.xxhash64("content")).join(hot, "unit", "left")
-    covered = units.groupBy("rid").agg(
-        (F.coalesce(F.sum(F.when(F.col("is_hot"), F.length("content"))), F.lit(0)) / F.greatest(F.first("total"), F.lit(1))).alias("covered")
-    )
-    units = units.join(covered, "rid")
-    return units.filter(F.col("is_hot").isNull() | (F.col("covered") > hot_share)).select("rid", "content")
+def _left_out(parts: list[str], copies: list[int], most: float) -> set[str]:
+    """Hot messages without which the rest still decides: most frequent first, while the 3-sequences
+    not found in runs of kept messages are at most *most* of all."""
+    hot = dict(sorted(((p, n) for p, n in zip(parts, copies) if n), key=lambda x: (-x[1], x[0])))
+    if not hot:
+        return set()
+    whole, out = C.grams3(C.fold("".join(parts))), set()
+    for p in hot:
+        runs = [""]
+        for q in parts:
+            if q == p or q in out:
+                runs.append("")
+            else:
+                runs[-1] += q
+        kept = np.unique(np.concatenate([C.grams3(C.fold(r)) for r in runs]))
+        if whole.size - C.common(whole, kept) <= most * whole.size:
+            out.add(p)
+    return out
+
+
+def _eval_lanes(most: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rid, contents, hot = [], [], []
+            for r, parts, copies in zip(pdf["rid"], pdf["parts"], pdf["copies"]):
+                parts, copies = list(parts), list(copies)
+                left_out = _left_out(parts, copies, most)
+                for p, n in dict(zip(parts, copies)).items():
+                    if p not in left_out:
+                        rid.append(r)
+                        contents.append(p)
+                        hot.append(n > 0)
+            out = _signed(np.array(rid, np.int64), contents, np.array(hot, bool))
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _copies(records: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds copies: for each message the training records of a hot one, else 0."""
+    units = records.select("rid", F.xxhash64("parts").alias("version"), F.posexplode("parts").alias("pos", "content")).withColumn("unit", F.xxhash64("content")).join(hot, "unit", "left")
+    rows = units.groupBy("rid", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "content", F.coalesce("copies", F.lit(0)).alias("copies")))).alias("x"))
+    return rows.select("rid", F.col("x.content").alias("parts"), F.col("x.copies").alias("copies"))
+
+
+def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: training rows of a hot key are spread, evaluation rows repeated for them."""
+    keys = checkpoint(left.filter("is_hot").select("key").distinct().withColumn("salted", F.lit(True)))
+    if keys.limit(BANDS * HOT_BROADCAST + 1).count() <= BANDS * HOT_BROADCAST:
+        keys = F.broadcast(keys)
+    every = F.when(F.col("salted"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(keys, "key", "left").withColumn("salt", F.explode(every)).drop("salted")
+    one = F.when(F.col("salted"), F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return left, right.join(keys, "key", "left").withColumn("salt", one).drop("salted")
 
 
 def _verify(limit: float):
@@ -131,16 +180,26 @@ def cross_split_overlaps(
     ev = ev.withColumn("rid", F.xxhash64("split_name", "id"))
 
     train_units = tr.select("rid", F.explode("parts").alias("content"))
-    hot = train_units.groupBy(F.xxhash64("content").alias("unit")).count().filter(F.col("count") > hot_limit)
-    hot = checkpoint(hot.select("unit", F.lit(True).alias("is_hot")))
-    if hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST:
+    hot = train_units.groupBy(F.xxhash64("content").alias("unit")).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > hot_limit)
+    hot = checkpoint(hot)
+    n_hot = hot.limit(HOT_BROADCAST + 1).count()
+    if 0 < n_hot <= HOT_BROADCAST:
         hot = F.broadcast(hot)
 
     right = train_units.mapInPandas(_lanes, _LANES)
-    left = _eval_units(ev, hot, hot_share).mapInPandas(_lanes, _LANES)
-    left = left.select(F.col("rid").alias("erid"), "key", F.col("s0").alias("e0"), F.col("s1").alias("e1"))
+    records = ev.select("rid", "parts")
+    if n_hot:
+        records = _copies(records, hot)
+    else:
+        records = records.withColumn("copies", F.array_repeat(F.lit(0).cast("long"), F.size("parts")))
+    left = records.mapInPandas(_eval_lanes(min(hot_share, SLACK / (1 - limit + SLACK))), _LANES + ", is_hot boolean")
+    left = left.select(F.col("rid").alias("erid"), "key", F.col("s0").alias("e0"), F.col("s1").alias("e1"), "is_hot")
     near = F.bit_count(F.col("s0").bitwiseXOR(F.col("e0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("e1"))) <= MAX_DISTANCE
-    found = left.join(right, "key").filter(near).select("erid", "rid").distinct()
+    by = ["key"]
+    if n_hot:
+        left = checkpoint(left)
+        left, right, by = *_salted(left, right), ["key", "salt"]
+    found = left.join(right, by).filter(near).select("erid", "rid").distinct()
 
     evals = ev.select(F.col("rid").alias("erid"), "split_name", F.col("id").alias("eval_id"), F.array_join("parts", "").alias("eval_text"))
     trains = tr.select("rid", F.col("id").alias("train_id"), F.array_join("parts", "").alias("train_text"))

@@ -72,6 +72,30 @@ def test_overlaps_equal_brute_force(spark, dialogues, hot_limit):
     assert {r["split_name"] for r in got} == {"dev"}
 
 
+def test_overlap_in_short_and_hot_messages(spark):
+    """Short turns (45 %) and a canned closing (30 %) stand verbatim, the rest is rewritten."""
+    r = random.Random(31)
+    word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    closing, turns = word(60), [word(9) for _ in range(10)]
+    train = {"hit": [*turns, word(50), closing]} | {f"t{n:02}": [word(80), closing] for n in range(30)}
+    dev = {"both": [*turns, word(50), closing], "hot": [closing, word(20)], "rest": [word(150), word(20)]}
+    train["far"] = [dev["rest"][0], word(30)]
+    expected = {(d, t) for d, m in dev.items() for t, mt in train.items() if len(grams("".join(m)) & grams("".join(mt))) >= 0.7 * len(grams("".join(m)))}
+    assert ("both", "hit") in expected and len(expected) == 33
+    got = overlap.cross_split_overlaps({"dev": to_df(spark, dev)}, to_df(spark, train), hot_limit=20).collect()
+    assert {(x["eval_id"], x["train_id"]) for x in got} == expected
+
+
+def test_left_out_share_counts_all_messages():
+    r = random.Random(32)
+    word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    a, b, c = word(10), word(10), word(100)
+    assert overlap._left_out([a, b, c], [9, 8, 0], 1 / 7) == {a}
+    assert overlap._left_out([a, b, c], [9, 8, 0], 0.35) == {a, b}
+    assert overlap._left_out([a, c, a, c], [9, 0, 9, 0], 1 / 7) == {a}
+    assert overlap._left_out([a, a], [9, 9], 1 / 7) == set()
+
+
 def test_overlap_of_empty_tables(spark, dialogues):
     empty = to_df(spark, dialogues[0]).limit(0)
     assert overlap.cross_split_overlaps({"dev": empty}, empty).count() == 0
