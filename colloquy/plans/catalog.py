@@ -185,7 +185,7 @@ def _quality_sql(tail: str) -> str:
 def judged(spark: SparkSession, d: str) -> DataFrame:
     rows = classified(spark, d)
     q = rules.quality(F.col("p"), F.col("r"), F.col("m") > 2, F.col("hit.label"))
-    return rows.withColumn("q", q).withColumn("flags", F.array_remove("q.flags", "stutter_rewrite"))
+    return rows.withColumn("q", q).withColumn("flags", F.col("q.flags"))
 
 
 @query(_quality_sql("select id, reason, array_to_string(flags, ',') as flags from flagged"))
