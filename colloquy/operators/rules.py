@@ -44,6 +44,12 @@ OVERPROMISE = r"已为您查询|马上为您查询|正在为您核实|我这边
 PRIVATE = r"订单号|手机号|收货地址|身份证|银行卡|姓名|电话"
 CONFLICT = r"不能退.*可以退|可以退.*不能退|不支持.*支持|支持.*不支持|无法取消.*可以取消|可以取消.*无法取消|没有货.*有货|有货.*没有货"
 
+# Phrases that carry no answer, and words of an answer that does something.
+WAITING = r"请您稍等一下，正在为您核实处理中哦|马上核实情况，请您稍等哈|还请您稍等，马上为您查询|小妹为您看看，您稍等哦|请您稍等，小妹正在查询中|请稍等|稍等|正在查看|在查询|我找下哈|我查看下|帮您查看一下|马上为您查询|正在为您查询|还辛苦您再等待"
+FILLER = r"您好|亲亲|亲爱的客户|亲爱的|亲|哈|哦|呢|呀|~|～"
+ACTION = r"可以|无法|不能|需要|建议|预计|显示|已经|等待|退款|配送|发货|拒收|修改|取消|售后|订单|物流"
+PREVIOUS_OR_OTHER = r"请问您是咨询之前的问题还是有其他的问题需要处理呢"
+
 
 @dataclass(frozen=True)
 class Pack:
@@ -164,6 +170,14 @@ def record_fault(label: Column, messages: Column, final: Column, domain: list[st
     )
 
 
+def substantive(response: Column, least: int = 18) -> Column:
+    """Whether a reply without its filler still has *least* compact characters and a word of action."""
+    out = T.text_or_empty(response)
+    for pattern in (PREVIOUS_OR_OTHER, WAITING, BOILERPLATE, FILLER):
+        out = F.regexp_replace(out, pattern, "")
+    return T.bind(out, lambda x: (T.compact_length(x) >= least) & x.rlike(ACTION))
+
+
 # What a flag costs a candidate.
 PENALTIES = {
     "placeholder_rewrite": 0.8,

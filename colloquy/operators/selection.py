@@ -138,6 +138,25 @@ def keep_per_class(df: DataFrame, name: str, quota: DataFrame, key: Column) -> D
     return rows.join(small(q), name, "left").withColumn("kept", F.col("_rank") <= F.coalesce("quota", F.lit(0))).drop("_key", "_rank", "quota")
 
 
+def transfer_split(pool: DataFrame, train: DataFrame, dev: DataFrame, key: Column) -> DataFrame:
+    """Adds split to the rows of *pool*: the first in order of the hash *key* go to train, the rest to dev,
+    in proportion to the rows that *train* and *dev* have now (all to dev if they have none)."""
+    have = train.agg(F.count(F.lit(1)).alias("_train")).crossJoin(dev.agg(F.count(F.lit(1)).alias("_dev")))
+    ratio = F.coalesce(F.try_divide(F.col("_train"), F.col("_train") + F.col("_dev")), F.lit(0.0))
+    edge = pool.agg(F.count(F.lit(1)).alias("_n")).crossJoin(have).select(F.bround(F.col("_n") * ratio).cast("long").alias("_edge"))
+    rows = hash_rank(pool.withColumn("_key", key), [], "_key", "_rank").crossJoin(F.broadcast(edge))
+    return rows.withColumn("split", F.when(F.col("_rank") <= F.col("_edge"), "train").otherwise("dev")).drop("_key", "_rank", "_edge")
+
+
+def style_examples(df: DataFrame, messages: str, n: int, key: Column) -> DataFrame:
+    """(user, assistant) of at most *n* rows whose last question and reply have a fitting length, out of the
+    first 3 *n* rows in order of *key*."""
+    user, assistant = F.try_element_at(messages, F.lit(-2))["content"], F.try_element_at(messages, F.lit(-1))["content"]
+    rows = df.select(key.alias("_key"), F.coalesce(user, F.lit("")).alias("user"), F.coalesce(assistant, F.lit("")).alias("assistant"), F.size(messages).alias("_size"))
+    fits = (F.col("_size") >= 2) & (F.length("user") > 5) & F.length("assistant").between(20, 200)
+    return rows.orderBy("_key").limit(3 * n).filter(fits).orderBy("_key").limit(n).select("user", "assistant")
+
+
 def shrink_targets(counts: DataFrame, name: str, n: str, target: int, floor: int) -> DataFrame:
     """(name, quota): classes shrunk in proportion with floors.
 

@@ -311,6 +311,21 @@ def keep_and_transfer(spark: SparkSession, d: str) -> DataFrame:
     return selection.keep_per_class(rows, "intent", shrink(spark, d), F.col("o")).select("id", "intent", "kept")
 
 
+@query(f"""
+with q as ({SHRINK_SQL}), rows as (select id, {sql_intent()} as i, id || '|' || strftime(ingested_at, '%Y-%m-%d %H:%M:%S') as o from eval_test),
+ r as (select *, row_number() over (partition by i order by md5('9|' || o)) as k from rows),
+ d as (select id, i, o, k <= coalesce(quota, 0) as kept from r left join q on i = name),
+ e as (select round_even((select count(*) from d where not kept) * ((select count(*) from sft_train)::double / ((select count(*) from sft_train) + (select count(*) from sft_dev))), 0) as edge)
+select id, i as intent, case when kept then 'eval' when row_number() over (partition by kept order by md5('10|' || o)) <= edge then 'train' else 'dev' end as split from d, e""")
+def transfer_split(spark: SparkSession, d: str) -> DataFrame:
+    """Where every row of the shrunk evaluation split goes: it stays, or moves to train or dev."""
+    day = F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss")
+    rows = table(spark, d, "eval_test").select("id", intent().alias("intent"), T.shuffle_key(9, F.col("id"), day).alias("o"), T.shuffle_key(10, F.col("id"), day).alias("move"))
+    rows = selection.keep_per_class(rows, "intent", shrink(spark, d), F.col("o"))
+    moved = selection.transfer_split(rows.filter(~F.col("kept")), table(spark, d, "sft_train"), table(spark, d, "sft_dev"), F.col("move"))
+    return rows.filter("kept").select("id", "intent", F.lit("eval").alias("split")).unionByName(moved.select("id", "intent", "split"))
+
+
 @query(f"""
 with pool as (select id, any_value(i) as i, any_value(s) as s from (select id, {sql_intent()} as i, meta.selection_score as s from sft_train) group by id),
  cur as (select {sql_intent()} as name, count(*)::bigint as n from sft_dev group by 1),

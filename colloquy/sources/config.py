@@ -106,3 +106,26 @@ def select(items: list[dict[str, Any]], only: list[str]) -> list[dict[str, Any]]
     if unknown := [n for n in only if n not in known]:
         raise ValueError(f"unknown: {', '.join(unknown)}")
     return [x for x in items if not only or x["name"] in only or x.get("group") in only]
+
+
+def _need(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
+def check_sft(config: dict[str, Any]) -> None:
+    """The rules of a fine-tuning configuration; the first one broken is an error."""
+    model, data, training, lora = (config.get(k) or {} for k in ("model", "data", "training", "lora"))
+    _need(bool(model.get("base_model")), "model.base_model is required")
+    _need(bool(data.get("train_file") or data.get("hf_dataset_name")), "data.train_file or data.hf_dataset_name is required")
+    _need((training.get("max_seq_length") or 0) > 0, "training.max_seq_length must be positive")
+    _need((lora.get("rank") or 0) > 0, "lora.rank must be positive")
+    _need(0 <= (data.get("validation_split_ratio") or 0) < 1, "data.validation_split_ratio must be in [0, 1)")
+    _need((data.get("validation_split_size") or 0) >= 0, "data.validation_split_size must not be negative")
+    _need(data.get("chat_template") in ("qwen3_nothink", "chatml"), "data.chat_template must be qwen3_nothink or chatml")
+
+
+def check_dpo(config: dict[str, Any]) -> None:
+    """The rules of a preference-training configuration."""
+    _need(bool((config.get("data") or {}).get("train_file")), "data.train_file is required")
+    _need(((config.get("dpo") or {}).get("beta") or 0) > 0, "dpo.beta must be positive")

@@ -91,3 +91,14 @@ def test_windowed_counts_as_a_stream(spark, tmp_path, small):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").first()[0] == batch.count()
+
+
+def test_config_rules():
+    good = {"model": {"base_model": "m"}, "data": {"train_file": "f", "chat_template": "chatml"}, "training": {"max_seq_length": 8}, "lora": {"rank": 1}}
+    config.check_sft(good)
+    for bad in ({"model": {"base_model": ""}}, {"data": {"train_file": ""}}, {"training": {"max_seq_length": 0}}, {"lora": {"rank": 0}}, {"data": {"validation_split_ratio": 1.0}}, {"data": {"validation_split_size": -1}}, {"data": {"chat_template": "x"}}):
+        with pytest.raises(ValueError, match=f"{next(iter(bad))}[.]{next(iter(next(iter(bad.values()))))}"):
+            config.check_sft(config.layered(good, bad))
+    config.check_dpo({"data": {"train_file": "f"}, "dpo": {"beta": 0.1}})
+    with pytest.raises(ValueError, match="beta"):
+        config.check_dpo({"data": {"train_file": "f"}, "dpo": {"beta": 0}})

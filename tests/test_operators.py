@@ -1,5 +1,6 @@
 """Operators against plain loops, and their defined results on nulls, ties and empty tables."""
 
+import json
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import shuffle_key
-from colloquy.operators import annotation, dialogue, joins, metrics, pairs, rules, selection, transport
+from colloquy.operators import annotation, dialogue, joins, metrics, pairs, rewriting, rules, selection, transport
 
 
 def test_first_accepted(spark):
@@ -183,3 +184,36 @@ def test_running_peak(spark, rows):
     df = spark.createDataFrame([(k, n, v) for n, (k, v) in enumerate(rows)], "k string, n int, v int")
     got = {r["n"]: r["peak"] for r in metrics.running_peak(df, "v", ["n"], ["k"]).collect()}
     assert got == {n: max(v for m, (k2, v) in enumerate(rows) if m <= n and k2 == k) for n, (k, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("n_train, n_dev, n_pool, edge", [(90, 10, 50, 45), (1, 1, 5, 2), (3, 0, 4, 4), (0, 0, 4, 0), (5, 5, 0, 0)])
+def test_transfer_split_in_proportion(spark, n_train, n_dev, n_pool, edge):
+    pool = spark.range(n_pool).withColumn("o", shuffle_key(10, F.col("id")))
+    got = selection.transfer_split(pool, spark.range(n_train), spark.range(n_dev), F.col("o")).collect()
+    order = sorted((r["o"], r["split"]) for r in got)
+    assert [s for _, s in order] == ["train"] * edge + ["dev"] * (n_pool - edge)
+
+
+def test_substantive_answers(spark):
+    rows = [("您好，建议您在订单详情页申请售后，等待客服审核通过即可寄回商品", True), ("您好，请稍等，正在查看，可以的哦亲", False), ("今天的天气真的非常非常好我们出去走走看看风景吧", False), (None, False)]
+    df = spark.createDataFrame(rows, "r string, ok boolean")
+    assert all(x["ok"] == x["got"] for x in df.withColumn("got", rules.substantive(F.col("r"))).collect())
+
+
+def test_style_examples(spark):
+    m = lambda u, a: [{"role": "user", "content": u}, {"role": "assistant", "content": a}]
+    rows = [(0, m("问" * 5, "答" * 50)), (1, m("问" * 6, "答" * 19)), (2, m("问" * 6, "答" * 20)), (3, m("问" * 9, "答" * 200)), (4, m("问" * 9, "答" * 201)), (5, m("问" * 9, "答" * 50)), (6, m("问" * 9, "答" * 60)), (7, None)]
+    df = spark.createDataFrame(rows, "n int, messages array<struct<role:string,content:string>>")
+    assert [len(r["assistant"]) for r in selection.style_examples(df, "messages", 2, F.col("n")).collect()] == [20, 200]
+    assert [len(r["assistant"]) for r in selection.style_examples(df, "messages", 9, F.col("n")).collect()] == [20, 200, 50, 60]
+
+
+def test_rewrite_payload(spark):
+    rows = [("1", "闲聊-礼貌收尾", ["has_history"], True, [["a", "b"], ["c"]], "p", "r"), ("2", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, s string, f array<string>, h boolean, t array<array<string>>, p string, r string")
+    a, b = (json.loads(x[0]) for x in df.orderBy("id").select(rewriting.rewrite_payload(*map(F.col, df.columns))).collect())
+    assert a["target_scenario"] == "闲聊-礼貌收尾" and a["scenario_definition"] == rewriting.GUIDE["闲聊-礼貌收尾"] and a["source_quality_flags"] == ["has_history"]
+    assert a["raw_dialogue"] == {"history": [{"user": "a", "assistant": "b"}], "current_user": "p", "current_assistant": "r"} and a["output_schema"]["id"] == "1"
+    assert b["target_scenario"] == rewriting.CHOOSE and b["scenario_definition"] == rewriting.BY_NAME and b["raw_dialogue"]["history"] == [] and b["history_required"] is False
+    assert list(a) == ["task", "target_scenario", "allowed_scenarios", "scenario_definition", "source_quality_flags", "history_required", "raw_dialogue", "output_schema", "requirements"]
+    assert len(a["requirements"]) == 4 and a["allowed_scenarios"] == sorted(rules.INTENTS) and len(a["output_schema"]["messages"]) == 2
