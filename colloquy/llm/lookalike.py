@@ -78,8 +78,11 @@ def _bare_table() -> dict[int, str | None]:
 
 
 def bare(token: str) -> str:
-    """The table form of a token: ignorables out, look-alikes to Latin, accents composed."""
-    return unicodedata.normalize("NFC", token.translate(_bare_table()))
+    """The table form of a token: decomposed, ignorables out, look-alikes to Latin, accents composed."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_bare_table()))
+
+
+_bare_letter = cache(bare)
 
 
 def _class(chars: str) -> str:
@@ -91,7 +94,8 @@ def _patterns() -> tuple[str, str]:
     """Java patterns: segments (runs of token characters or of others), and what makes one suspicious."""
     inside = f"[\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}&&[^\\p{{IsHan}}]]"
     outside = f"[[^\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}]\\p{{IsHan}}]"
-    suspicious = f"[\\p{{M}}\\x{{370}}-\\x{{52f}}{_class(ignorables())}{_class(''.join(LOOKALIKES))}]"
+    # besides marks and other scripts, what has a canonical equivalent: Korean letters, polytonic Greek, three signs
+    suspicious = f"[\\p{{M}}\\x{{370}}-\\x{{52f}}\\x{{1100}}-\\x{{11ff}}\\x{{1f00}}-\\x{{1fff}}\\x{{2126}}\\x{{212a}}\\x{{212b}}{_class(ignorables())}{_class(''.join(LOOKALIKES))}]"
     return f"(?s){inside}+|{outside}+", suspicious
 
 
@@ -135,7 +139,7 @@ class Trie:
         mark against the composed letter. Any other replacement, omission or insertion costs one.
         """
         skip = set(ignorables())
-        alike = lambda a, b: a == b or LOOKALIKES.get(a, a) == LOOKALIKES.get(b, b)
+        alike = lambda a, b: a == b or _bare_letter(a) == _bare_letter(b)
         best: tuple[int, int, str] | None = None
         seen: dict[tuple[int, int], int] = {}
         todo = [(self.root, 0, 0)]
@@ -179,11 +183,13 @@ def _scripts(token: str) -> int:
 
 def _shard(pdf: pd.DataFrame, budget: int) -> Iterator[tuple[str, str]]:
     """Canonical spellings of the suspicious tokens of one shard."""
-    trie = Trie()
+    trie, most = Trie(), {}
     for token, n in zip(pdf["token"], pdf["n"]):
         # a spelling may become canonical if it is of one script, composed and without ignorables
         if _scripts(token) <= 1 and unicodedata.normalize("NFC", token) == token and not set(token) & set(ignorables()):
             trie.add(token, int(n))
+            form = bare(token)
+            most[form] = min(most.get(form, (0, "")), (-int(n), token))
     for token, look in zip(pdf["token"], pdf["suspicious"]):
         if look:
             table = bare(token)
@@ -193,7 +199,8 @@ def _shard(pdf: pd.DataFrame, budget: int) -> Iterator[tuple[str, str]]:
                 yield token, hit[2] if hit and hit[0] == 0 and hit[2] == table else table
             else:
                 hit = trie.match(token, budget)
-                yield token, hit[2] if hit else table
+                # marks that compose with the Latin letter only are no walk of the trie: the class decides
+                yield token, hit[2] if hit else most[table][1] if table in most else table
 
 
 def _spell(budget: int):

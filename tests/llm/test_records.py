@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +242,20 @@ def test_looks(spark):
         assert got[2 * n] != got[2 * n + 1], OTHER[n - len(SAME)]
 
 
+@pytest.mark.parametrize("word", ["ещё", "ёлка", "её", "йод", "όλος", "ό", "ὀδός", "한국어", "Ångström", "café"])
+def test_canonical_equivalents_meet(spark, word):
+    nfc, nfd = (unicodedata.normalize(f, word) for f in ("NFC", "NFD"))
+    assert nfc != nfd and lookalike.bare(nfc) == lookalike.bare(nfd)
+    got = canon(spark, [f"a {nfc} b", f"a {nfd} b", f"a {nfd.replace('A' + chr(0x30A), chr(0x212B))} b"])
+    assert len(set(got.values())) == 1
+    assert len(set(canon(spark, [f"a {nfd} b", f"a {nfc} b c"]).values())) == 2
+
+
+def test_stressed_letter_meets_its_latin_look(spark):
+    got = canon(spark, ["жа\u0301р", "жáр", "жа\u0301р!"])
+    assert got[0] == got[1]
+
+
 def test_native_words_keep_their_letters(spark):
     got = canon(spark, ["Москва и Москва", "Mocквa", "рaper", "paper"])
     assert got[0] == "Москва и Москва" and got[1] == "Москва" and got[2] == "paper"
