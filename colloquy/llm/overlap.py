@@ -4,17 +4,20 @@ Method: minwise hash shingles with banded buckets; only buckets holding both sid
 candidates are verified on the exact sets of 3-sequences; confirmed pairs are counted by split and
 source.
 
-A training record may hold an evaluation record inside a longer dialogue, so the unit that is signed
-is the message, not the record: two records become a candidate when any of their messages share a
-band. Every message also carries a 128-bit sketch of its signature, so the bucket join drops chance
-collisions inside the JVM before any text moves.
-
-Skew. Messages that stand verbatim in more than ``hot_limit`` training records (greetings, closing
-phrases) are left out on the evaluation side, most frequent first, while all 3-sequences of the record
-that touch a left-out message are at most ``hot_share`` of its 3-sequences and so few that a confirmed
-pair must still share ``limit - SLACK`` of the others: with a share d left out, a pair shares at least
-(limit - d) / (1 - d) of the rest. Hot messages beyond that stay, short ones too; their bucket keys are
-salted, so the training records of a hot message are spread over tasks.
+A training record may hold an evaluation record inside a longer dialogue, with other message borders
+or inside one message, so what is signed is neither the record nor the message: it is windows of the
+folded record text. A window stands around every anchor, a 3-sequence whose hash is the least of its
+``REACH`` neighbours on either side, so both records cut the same windows wherever they agree. Each
+window gives ``BANDS`` bucket keys of its anchor and ``ROWS`` minwise hashes of its 3-sequences. An
+evaluation record smaller than two windows has few of them inside a longer text, so short messages
+are signed once more by themselves and small evaluation records look for those too.
+
+Every row of a bucket also carries 128 bits of its record: a bit per sampled 3-sequence. A pair stays
+only while the bits that the training record lacks are what a pair at the limit may lack, two
+deviations allowed for. So chance meetings end inside the bucket join, before any text moves.
+
+Skew. No key is left out. Keys that many evaluation records have are salted: the training rows of the
+key are spread over as many tasks as there are ``SPREAD`` evaluation rows, which meet them in each.
 
 Defined results: a null or empty message list, null contents and records under three folded
 characters have no 3-sequences and never form a pair; rows with the same id count once; null ids are
@@ -27,129 +30,144 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from . import common as C
 
-ROWS, BANDS, SEED = 4, 10, 11
-SKETCH = 64  # permutations; two low bits of each make the 128-bit sketch
-MAX_DISTANCE = 36
-SLACK = 0.05  # what leaving out hot messages may take from the share that the rest must have
-SALTS = 16
+ROWS, BANDS, SEED = 2, 2, 11
+REACH, HALF = 8, 24  # neighbours an anchor is the least of; 3-sequences of a window on either side of it
+SAMPLED = 2  # a 3-sequence has a bit in the sketch if so many bits of its hash are 0
+SPREAD, MOST_SALTS = 100, 256
+SMALL = 2 * HALF  # characters of a message that is signed by itself, and of a record that looks for such messages
 HOT_BROADCAST = 50_000
-
-
-def _sketch(sig: np.ndarray) -> np.ndarray:
-    """Two int64 columns from the low bits of the signature."""
-    if not len(sig):
-        return np.empty((0, 2), np.int64)
-    low = np.concatenate([(sig & 1), (sig >> 1) & 1], axis=1).astype(np.uint8)
-    return np.packbits(low, axis=1).view(">i8").astype(np.int64)
-
-
-def _signed(rid: np.ndarray, contents: list[str], hot: np.ndarray | None = None) -> pd.DataFrame | None:
-    """Rows of bucket keys and sketches of messages; with *hot*, its flag too."""
-    keep, sets = [], []
-    for n, text in enumerate(contents):
-        g = C.grams3(C.fold(text))
-        if g.size:
-            keep.append(n)
-            sets.append(g)
-    if not keep:
-        return None
-    sig = C.minhash_many(sets, SKETCH, SEED)
-    keys, sk = C.bands(sig[:, : ROWS * BANDS], ROWS), _sketch(sig)
-    short = np.fromiter((s.size < 8 for s in sets), bool, len(sets))
-    keys[short, 1:] = 0  # a short message needs one key: its bands agree or the texts differ
-    at, band = np.nonzero(~(short[:, None] & (np.arange(BANDS) > 0)[None, :]))
-    out = pd.DataFrame({"rid": rid[keep][at], "key": keys[at, band], "s0": sk[at, 0], "s1": sk[at, 1]})
-    return out if hot is None else out.assign(is_hot=hot[keep][at])
-
-
-def _lanes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = _signed(pdf["rid"].to_numpy(), list(pdf["content"]))
-        if out is not None:
-            yield out
-
-
 _LANES = "rid long, key long, s0 long, s1 long"
 
 
-def _records(df: DataFrame, id_col: str, messages: str) -> DataFrame:
-    contents = F.transform(F.coalesce(F.col(messages), F.array()), lambda m: F.coalesce(m["content"], F.lit("")))
-    return df.select(F.col(id_col).cast("string").alias("id"), contents.alias("parts")).filter("id is not null")
-
-
-def _left_out(parts: list[str], copies: list[int], most: float) -> set[str]:
-    """Hot messages without which the rest still decides: most frequent first, while the 3-sequences
-    not found in runs of kept messages are at most *most* of all."""
-    hot = dict(sorted(((p, n) for p, n in zip(parts, copies) if n), key=lambda x: (-x[1], x[0])))
-    if not hot:
-        return set()
-    whole, out = C.grams3(C.fold("".join(parts))), set()
-    for p in hot:
-        runs = [""]
-        for q in parts:
-            if q == p or q in out:
-                runs.append("")
-            else:
-                runs[-1] += q
-        kept = np.unique(np.concatenate([C.grams3(C.fold(r)) for r in runs]))
-        if whole.size - C.common(whole, kept) <= most * whole.size:
-            out.add(p)
+def _least_near(h: np.ndarray, reach: int) -> np.ndarray:
+    """The least value within *reach* places of every place."""
+    width, out, have = 2 * reach + 1, h, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
     return out
 
 
-def _eval_lanes(most: float):
+def _grams(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, mixed 3-sequence) of all places of many texts of at least three characters."""
+    c = C.codes("".join(folded))
+    row = np.repeat(np.arange(len(folded)), np.fromiter((len(f) - 2 for f in folded), np.int64, len(folded)))
+    at = np.arange(row.size) + 2 * row  # every text has two places fewer than characters
+    return row, C.mix((c[at] << np.uint64(42)) | (c[at + 1] << np.uint64(21)) | c[at + 2])
+
+
+def windows(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of all windows of many texts of at least three characters."""
+    row, grams = _grams(folded)
+    order = (C.mix(grams ^ np.uint64(SEED)) >> np.uint64(32)).astype(np.uint32)
+    padded = np.full(row.size + REACH * (len(folded) + 1), np.iinfo(np.uint32).max, np.uint32)
+    place = np.arange(row.size) + REACH * (row + 1)
+    padded[place] = order
+    anchor = np.nonzero(order == _least_near(padded, REACH)[place - REACH])[0]
+
+    sizes = np.bincount(row, minlength=len(folded))
+    start = np.cumsum(sizes) - sizes
+    edge = np.empty(2 * anchor.size, np.int64)
+    edge[0::2] = np.maximum(anchor - HALF, start[row[anchor]])
+    edge[1::2] = np.minimum(anchor + HALF + 1, (start + sizes)[row[anchor]])
+    a, b = C.permutations(ROWS * BANDS, SEED)
+    keys = []
+    for band in range(BANDS):
+        key = grams[anchor] ^ np.uint64(band)
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            h = np.append(((grams * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+            key = C.mix((key * C._MIX) ^ np.minimum.reduceat(h, edge)[0::2].astype(np.uint64))
+        keys.append(key.view(np.int64))
+    return np.tile(row[anchor], BANDS), np.concatenate(keys)
+
+
+def sketches(folded: list[str]) -> np.ndarray:
+    """128 bits (two int64) of every text: one per sampled 3-sequence."""
+    row, grams = _grams(folded)
+    bit = C.mix(grams ^ np.uint64(SEED + 1))
+    some = (bit >> np.uint64(64 - SAMPLED)) == 0
+    out = np.zeros((len(folded), 128), bool)
+    out[row[some], (bit[some] & np.uint64(127)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(">i8").astype(np.int64)
+
+
+def _lanes(small_only: bool):
+    """Bucket rows of records: windows of the whole text and of short messages by themselves; with
+    *small_only* the latter of small records only."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rid, contents, hot = [], [], []
-            for r, parts, copies in zip(pdf["rid"], pdf["parts"], pdf["copies"]):
-                parts, copies = list(parts), list(copies)
-                left_out = _left_out(parts, copies, most)
-                for p, n in dict(zip(parts, copies)).items():
-                    if p not in left_out:
-                        rid.append(r)
-                        contents.append(p)
-                        hot.append(n > 0)
-            out = _signed(np.array(rid, np.int64), contents, np.array(hot, bool))
-            if out is not None:
-                yield out
+            for n in range(0, len(pdf), 2000):
+                parts = [list(p) for p in pdf["parts"].iloc[n : n + 2000]]
+                whole = C.fold_many("".join(p) for p in parts)
+                keep = [k for k, f in enumerate(whole) if len(f) >= 3]
+                if not keep:
+                    continue
+                asked = [k for k in keep if len(parts[k]) > 1 and not (small_only and len(whole[k]) > SMALL)]
+                single = [(k, m) for k in asked for m in set(parts[k]) if len(m) <= SMALL]
+                units = [whole[k] for k in keep] + C.fold_many(m for _, m in single)
+                owner = np.array(keep + [k for k, _ in single])
+                fit = [u for u, f in enumerate(units) if 3 <= len(f) <= SMALL or u < len(keep)]
+                row, key = windows([units[u] for u in fit])
+                row = owner[fit][row]
+                sort = np.lexsort((key, row))
+                row, key = row[sort], key[sort]
+                first = np.ones(row.size, bool)
+                first[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+                row, key = row[first], key[first]
+                sk = np.zeros((len(parts), 2), np.int64)
+                sk[keep] = sketches([whole[k] for k in keep])
+                yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[n : n + 2000][row], "key": key, "s0": sk[row, 0], "s1": sk[row, 1]})
 
     return run
 
 
-def _copies(records: DataFrame, hot: DataFrame) -> DataFrame:
-    """Adds copies: for each message the training records of a hot one, else 0."""
-    units = records.select("rid", F.xxhash64("parts").alias("version"), F.posexplode("parts").alias("pos", "content")).withColumn("unit", F.xxhash64("content")).join(hot, "unit", "left")
-    rows = units.groupBy("rid", "version").agg(F.array_sort(F.collect_set(F.struct("pos", "content", F.coalesce("copies", F.lit(0)).alias("copies")))).alias("x"))
-    return rows.select("rid", F.col("x.content").alias("parts"), F.col("x.copies").alias("copies"))
+def _records(df: DataFrame, id_col: str, messages: str) -> DataFrame:
+    parts = F.transform(F.coalesce(F.col(messages), F.array()), lambda m: F.coalesce(m["content"], F.lit("")))
+    return df.select(F.col(id_col).cast("string").alias("id"), parts.alias("parts")).filter("id is not null")
 
 
 def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt: training rows of a hot key are spread, evaluation rows repeated for them."""
-    keys = checkpoint(left.filter("is_hot").select("key").distinct().withColumn("salted", F.lit(True)))
-    if keys.limit(BANDS * HOT_BROADCAST + 1).count() <= BANDS * HOT_BROADCAST:
-        keys = F.broadcast(keys)
-    every = F.when(F.col("salted"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = left.join(keys, "key", "left").withColumn("salt", F.explode(every)).drop("salted")
-    one = F.when(F.col("salted"), F.pmod(F.col("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    return left, right.join(keys, "key", "left").withColumn("salt", one).drop("salted")
+    hot = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPREAD)
+    hot = checkpoint(hot.select("key", F.least(F.ceil(F.col("n") / SPREAD), F.lit(MOST_SALTS)).cast("int").alias("salts")))
+    n = hot.limit(HOT_BROADCAST + 1).count()
+    if not n:
+        return left.withColumn("salt", F.lit(0)), right.withColumn("salt", F.lit(0))
+    if n <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
+    salts = F.coalesce("salts", F.lit(1))
+    left = left.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left, right.join(hot, "key", "left").withColumn("salt", F.pmod("rid", salts).cast("int")).drop("salts")
+
+
+def _may_hold(limit: float) -> Column:
+    """Whether the training sketch (s0, s1) may hold *limit* of the evaluation sketch (e0, e1)."""
+    bits = lambda x, y: F.bit_count(x) + F.bit_count(y)
+    e0, e1, s0, s1 = (F.col(c) for c in ("e0", "e1", "s0", "s1"))
+    lacking = bits(e0.bitwiseAND(F.bitwise_not(s0)), e1.bitwiseAND(F.bitwise_not(s1)))
+    expected = (1 - limit) * bits(e0, e1) * (1 - bits(s0, s1) / F.lit(128.0))
+    return lacking <= expected + 2 * F.sqrt(expected) + 1
 
 
 def _verify(limit: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             cache: dict[str, np.ndarray] = {}
-            rows = []
+            rows, text, y = [], None, None
             for split, a, b, ta, tb in zip(pdf["split_name"], pdf["eval_id"], pdf["train_id"], pdf["eval_text"], pdf["train_text"]):
                 x = cache.get(ta)
                 if x is None:
                     x = cache[ta] = C.grams3(C.fold(ta))
-                y = C.grams3(C.fold(tb))
+                if tb != text:
+                    text, y = tb, C.grams3(C.fold(tb))
                 n = C.common(x, y)
                 if x.size and n >= limit * x.size:
                     rows.append((split, a, b, n / x.size, n / (x.size + y.size - n)))
@@ -158,15 +176,7 @@ def _verify(limit: float):
     return run
 
 
-def cross_split_overlaps(
-    splits: dict[str, DataFrame],
-    train: DataFrame,
-    id_col: str = "id",
-    messages: str = "messages",
-    limit: float = 0.7,
-    hot_limit: int = 5000,
-    hot_share: float = 0.35,
-) -> DataFrame:
+def cross_split_overlaps(splits: dict[str, DataFrame], train: DataFrame, id_col: str = "id", messages: str = "messages", limit: float = 0.7) -> DataFrame:
     """Confirmed pairs (split_name, eval_id, train_id, containment, jaccard).
 
     A pair is confirmed when the training record holds at least *limit* of the 3-sequences of the
@@ -179,31 +189,14 @@ def cross_split_overlaps(
         ev = one if ev is None else ev.unionByName(one)
     ev = ev.withColumn("rid", F.xxhash64("split_name", "id"))
 
-    train_units = tr.select("rid", F.explode("parts").alias("content"))
-    hot = train_units.groupBy(F.xxhash64("content").alias("unit")).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > hot_limit)
-    hot = checkpoint(hot)
-    n_hot = hot.limit(HOT_BROADCAST + 1).count()
-    if 0 < n_hot <= HOT_BROADCAST:
-        hot = F.broadcast(hot)
-
-    right = train_units.mapInPandas(_lanes, _LANES)
-    records = ev.select("rid", "parts")
-    if n_hot:
-        records = _copies(records, hot)
-    else:
-        records = records.withColumn("copies", F.array_repeat(F.lit(0).cast("long"), F.size("parts")))
-    left = records.mapInPandas(_eval_lanes(min(hot_share, SLACK / (1 - limit + SLACK))), _LANES + ", is_hot boolean")
-    left = left.select(F.col("rid").alias("erid"), "key", F.col("s0").alias("e0"), F.col("s1").alias("e1"), "is_hot")
-    near = F.bit_count(F.col("s0").bitwiseXOR(F.col("e0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("e1"))) <= MAX_DISTANCE
-    by = ["key"]
-    if n_hot:
-        left = checkpoint(left)
-        left, right, by = *_salted(left, right), ["key", "salt"]
-    found = left.join(right, by).filter(near).select("erid", "rid").distinct()
+    left = ev.select("rid", "parts").mapInPandas(_lanes(True), _LANES)
+    left = checkpoint(left.select(F.col("rid").alias("erid"), "key", F.col("s0").alias("e0"), F.col("s1").alias("e1")))
+    left, right = _salted(left, tr.select("rid", "parts").mapInPandas(_lanes(False), _LANES))
+    found = checkpoint(left.join(right, ["key", "salt"]).filter(_may_hold(limit)).select("erid", "rid").distinct())
 
     evals = ev.select(F.col("rid").alias("erid"), "split_name", F.col("id").alias("eval_id"), F.array_join("parts", "").alias("eval_text"))
     trains = tr.select("rid", F.col("id").alias("train_id"), F.array_join("parts", "").alias("train_text"))
-    pairs = checkpoint(found).join(evals, "erid").join(trains, "rid")
+    pairs = found.join(evals, "erid").join(trains, "rid")
     done = pairs.select("split_name", "eval_id", "train_id", "eval_text", "train_text").mapInPandas(
         _verify(limit), "split_name string, eval_id string, train_id string, containment double, jaccard double"
     )

@@ -33,6 +33,10 @@ def grams(text, k=3):
 def test_fold():
     assert C.fold("Ａb，c！ ①é") == "abc1é"
     assert C.fold(None) == "" and C.fold("。。") == ""
+    odd = ["Ａb，c！ ①é", None, "", "。。", "½℡ｱﾞ", "e\u0301", "ΑΣ", "İǅ", "한ᄒ", "😀a", "𝐀", "a…b"]
+    assert C.fold_many(odd) == [C.fold(t) for t in odd] and C.fold_many([]) == []
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    assert C.fold_many(every) == [C.fold(t) for t in every]
     assert set(map(int, C.grams3("abcabc"))) == set(map(int, C.grams3("abcab")))
 
 
@@ -57,8 +61,9 @@ def to_df(spark, records, extra=()):
     return spark.createDataFrame(rows + list(extra), f"id string, messages {MESSAGES}, content string")
 
 
-@pytest.mark.parametrize("hot_limit", [5000, 20])
-def test_overlaps_equal_brute_force(spark, dialogues, hot_limit):
+@pytest.mark.parametrize("spread", [100, 1])
+def test_overlaps_equal_brute_force(spark, dialogues, spread, monkeypatch):
+    monkeypatch.setattr(overlap, "SPREAD", spread)
     train, dev = dialogues
     expected = set()
     for d, ms in dev.items():
@@ -66,13 +71,13 @@ def test_overlaps_equal_brute_force(spark, dialogues, hot_limit):
         expected |= {(d, t) for t, mt in train.items() if a and len(a & grams("".join(mt))) >= 0.7 * len(a)}
     extra = [(None, None, "y"), ("n1", None, "y"), ("n2", [], "y"), ("n3", [{"role": "user", "content": None}], "y")]
     tr, dv = to_df(spark, train, extra + [("t0", [{"role": "user", "content": m} for m in train["t0"]], "again")]), to_df(spark, dev, extra)
-    got = overlap.cross_split_overlaps({"dev": dv, "none": dv.limit(0)}, tr, hot_limit=hot_limit).collect()
+    got = overlap.cross_split_overlaps({"dev": dv, "none": dv.limit(0)}, tr).collect()
     assert len(got) == len({(r["eval_id"], r["train_id"]) for r in got})
     assert {(r["eval_id"], r["train_id"]) for r in got if r["eval_id"] != "short"} == expected - {("short", "short")}
     assert {r["split_name"] for r in got} == {"dev"}
 
 
-def test_overlap_in_short_and_hot_messages(spark):
+def test_overlap_in_short_and_hot_messages(spark, monkeypatch):
     """Short turns (45 %) and a canned closing (30 %) stand verbatim, the rest is rewritten."""
     r = random.Random(31)
     word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
@@ -82,18 +87,38 @@ def test_overlap_in_short_and_hot_messages(spark):
     train["far"] = [dev["rest"][0], word(30)]
     expected = {(d, t) for d, m in dev.items() for t, mt in train.items() if len(grams("".join(m)) & grams("".join(mt))) >= 0.7 * len(grams("".join(m)))}
     assert ("both", "hit") in expected and len(expected) == 33
-    got = overlap.cross_split_overlaps({"dev": to_df(spark, dev)}, to_df(spark, train), hot_limit=20).collect()
+    monkeypatch.setattr(overlap, "SPREAD", 1)
+    got = overlap.cross_split_overlaps({"dev": to_df(spark, dev)}, to_df(spark, train)).collect()
     assert {(x["eval_id"], x["train_id"]) for x in got} == expected
 
 
-def test_left_out_share_counts_all_messages():
-    r = random.Random(32)
+def scattered(r, text, share):
+    return "".join(chr(r.randrange(0x4E00, 0x9000)) if r.random() < share else c for c in text)
+
+
+@pytest.mark.parametrize("kind", ["quoted", "other borders", "half of the long one", "evenly edited"])
+def test_overlaps_across_messages(spark, kind):
+    """Pairs that hold at least 70 % of the 3-sequences, with no message in common."""
+    r = random.Random(33)
     word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
-    a, b, c = word(10), word(10), word(100)
-    assert overlap._left_out([a, b, c], [9, 8, 0], 1 / 7) == {a}
-    assert overlap._left_out([a, b, c], [9, 8, 0], 0.35) == {a, b}
-    assert overlap._left_out([a, c, a, c], [9, 0, 9, 0], 1 / 7) == {a}
-    assert overlap._left_out([a, a], [9, 9], 1 / 7) == set()
+    dev, train = {}, {}
+    for n in range(60):
+        e = [word(40), word(60)]
+        if kind == "quoted":
+            t = [word(50), word(80) + "".join(e) + word(80)]
+        elif kind == "other borders":
+            whole = "".join(e)
+            t = [whole[:25], whole[25:55], whole[55:]]
+        elif kind == "half of the long one":
+            e = [word(7) for _ in range(8)] + [word(80)]
+            t = e[:-1] + [e[-1][:44] + word(40)]
+        else:
+            t = [scattered(r, m, 0.08) for m in e]
+        dev[f"d{n}"], train[f"t{n}"] = e, t
+    expected = {(d, t) for d, m in dev.items() for t, mt in train.items() if len(grams("".join(m)) & grams("".join(mt))) >= 0.7 * len(grams("".join(m)))}
+    assert len(expected) >= 30
+    got = {(x["eval_id"], x["train_id"]) for x in overlap.cross_split_overlaps({"dev": to_df(spark, dev)}, to_df(spark, train)).collect()}
+    assert got <= expected and len(got) >= 0.93 * len(expected)
 
 
 def test_overlap_of_empty_tables(spark, dialogues):
