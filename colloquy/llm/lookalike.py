@@ -1,14 +1,17 @@
 """Problem 8: texts that look the same and differ in their characters.
 
-Method: tokens are matched against a trie of the corpus vocabulary with a weighted edit automaton
-in which look-alike letters, ignorable characters and decomposed accents cost nothing. The most
-frequent spelling reached becomes the canonical one; tokens without a match are normalised by table.
+Method: tokens are looked up in tries of the corpus vocabulary by a weighted edit automaton in which
+look-alike letters and ignorable characters cost nothing. The spelling it reaches becomes the canonical
+one; a token that reaches none is normalised by table (composed, ignorables out, letters as they are)
+and joins the trie, so later look-alikes of it reach it. Which letters look alike is known to the
+automaton only: without it "p\u0430per" stays as it is and meets no other text.
 Characters outside tokens (blanks, width forms, compatibility ideographs) have one counterpart each
 and are replaced by table in the JVM.
 
-Only tokens that hold a suspicious character are looked up, and only vocabulary entries with the
-same bare form as one of them are put into a trie. Tokens and entries meet in shards by the hash of
-the bare form, so no vocabulary is ever held in one place.
+Only tokens that hold a suspicious character are looked up. Tokens and vocabulary meet in shards by
+length and first letters of the skeleton, so no vocabulary is ever held in one place. Of the spellings
+of a shard the plain ones of the corpus (without suspicious characters, never changed) come first, then
+those of one script, then the more frequent; what looks alike therefore gets one spelling.
 
 What counts as alike: full-width and half-width forms, single blanks of any kind, composed and
 decomposed accents, ignorable characters, look-alike Greek and Cyrillic letters, compatibility
@@ -73,16 +76,23 @@ def plain_table() -> dict[str, str]:
 
 
 @cache
-def _bare_table() -> dict[int, str | None]:
-    return {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in ignorables()}
+def ignorable_set() -> frozenset[str]:
+    return frozenset(ignorables())
 
 
-def bare(token: str) -> str:
-    """The table form of a token: decomposed, ignorables out, look-alikes to Latin, accents composed."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_bare_table()))
+def look(ch: str) -> str:
+    """The letter that a decomposed character looks like."""
+    return LOOKALIKES.get(ch, ch)
 
 
-_bare_letter = cache(bare)
+def by_table(token: str) -> str:
+    """A token composed, without ignorables; its letters stay."""
+    return unicodedata.normalize("NFC", "".join(c for c in token if c not in ignorable_set()))
+
+
+def skeleton(token: str) -> str:
+    """What all spellings that look like a token have in common; it names the shard in which they meet."""
+    return unicodedata.normalize("NFC", "".join(look(c) for c in unicodedata.normalize("NFD", token) if c not in ignorable_set()))
 
 
 def _class(chars: str) -> str:
@@ -104,6 +114,10 @@ EVERYDAY = {"，": ",", "：": ":", "（": "(", "）": ")", "？": "?", "！": "
 # Characters that need nothing but EVERYDAY: few ranges, so that the search stays cheap on every character.
 ORDINARY = r"\t\n\r\x20-\x7e\xa1-\xac\xae-\x{24f}\x{2018}-\x{201d}\x{2026}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{309d}-\x{30ff}\x{4e00}-\x{9fff}\x{1f300}-\x{1faff}" + "".join(EVERYDAY)
 
+# Letters and digits among the ordinary characters that are not ideographs: what a token of an ordinary text is made of.
+ORDINARY_TOKEN = r"0-9A-Za-z\x{3006}\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\x{24f}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}"
+LATIN = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}]"
+
 
 def unusual(text: Column) -> Column:
     """Whether a text holds a character that the full table or the tokens must see to."""
@@ -120,55 +134,49 @@ def plain(text: Column) -> Column:
 
 
 class Trie:
-    """Vocabulary with a weighted edit automaton walking it."""
+    """Spellings of a vocabulary, decomposed, with a weighted edit automaton walking them."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, word: str, count: int) -> None:
+    def add(self, word: str, spelling: str | None = None) -> None:
+        """A word and the spelling it stands for (itself); the first one of a walk stays."""
         node = self.root
-        for ch in word:
+        for ch in unicodedata.normalize("NFD", word):
             node = node.setdefault(ch, {})
-        node[""] = (word, count)
+        node.setdefault("", word if spelling is None else spelling)
 
-    def match(self, token: str, budget: int = 0) -> tuple[int, int, str] | None:
-        """The best (cost, -count, spelling) within *budget*.
+    def match(self, token: str, budget: int = 0) -> tuple[int, str] | None:
+        """The least (cost, spelling) within *budget*.
 
-        States are (node, position) with the least cost at which they are reached. Free moves: the
-        same character, look-alikes either way, skipped ignorables on either side, a letter and its
-        mark against the composed letter. Any other replacement, omission or insertion costs one.
+        States are (node, position) with the least cost at which they are reached. Free moves: the same
+        character, look-alikes either way, skipped ignorables on either side. Any other replacement,
+        omission or insertion costs one.
         """
-        skip = set(ignorables())
-        alike = lambda a, b: a == b or _bare_letter(a) == _bare_letter(b)
-        best: tuple[int, int, str] | None = None
+        token, skip = unicodedata.normalize("NFD", token), ignorable_set()
+        best: tuple[int, str] | None = None
         seen: dict[tuple[int, int], int] = {}
         todo = [(self.root, 0, 0)]
         while todo:
             node, at, cost = todo.pop()
-            if cost > budget or seen.get((id(node), at), budget + 1) <= cost:
+            if seen.get((id(node), at), budget + 1) <= cost:
                 continue
             seen[id(node), at] = cost
-            if at == len(token) and "" in node:
-                word, count = node[""]
-                best = min(best or (cost, -count, word), (cost, -count, word))
-            if at < len(token) and token[at] in skip:
+            here = token[at] if at < len(token) else None
+            if here in skip:
                 todo.append((node, at + 1, cost))
                 continue
-            here = token[at] if at < len(token) else None
-            joined, stop = None, at + 1
-            while here is not None and stop < len(token) and (token[stop] in skip or unicodedata.combining(token[stop])):
-                stop += 1
-            if stop > at + 1:
-                joined = bare(token[at:stop])
+            if here is None and "" in node:
+                best = min(best or (cost, node[""]), (cost, node[""]))
             for ch, child in node.items():
                 if not ch:
                     continue
                 if ch in skip:
                     todo.append((child, at, cost))
-                elif here is not None:
-                    if joined is not None and len(joined) == 1 and alike(ch, joined):
-                        todo.append((child, stop, cost))
-                    todo.append((child, at + 1, cost + (not alike(ch, here))))
+                elif here is not None and (ch == here or look(ch) == look(here)):
+                    todo.append((child, at + 1, cost))
+                elif here is not None and cost < budget:
+                    todo.append((child, at + 1, cost + 1))
                 if cost < budget:
                     todo.append((child, at, cost + 1))
             if here is not None and cost < budget:
@@ -183,44 +191,41 @@ def _scripts(token: str) -> int:
 
 def _shard(pdf: pd.DataFrame, budget: int) -> Iterator[tuple[str, str]]:
     """Canonical spellings of the suspicious tokens of one shard."""
-    trie, most = Trie(), {}
-    for token, n in zip(pdf["token"], pdf["n"]):
-        # a spelling may become canonical if it is of one script, composed and without ignorables
-        if _scripts(token) <= 1 and unicodedata.normalize("NFC", token) == token and not set(token) & set(ignorables()):
-            trie.add(token, int(n))
-            form = bare(token)
-            most[form] = min(most.get(form, (0, "")), (-int(n), token))
-    for token, look in zip(pdf["token"], pdf["suspicious"]):
-        if look:
-            table = bare(token)
-            if _scripts(table) <= 1 and not any("Ͱ" <= c <= "ԯ" for c in table):
-                # a Latin look: the Latin spelling wins over any other of the class
-                hit = trie.match(table, budget)
-                yield token, hit[2] if hit and hit[0] == 0 and hit[2] == table else table
-            else:
-                hit = trie.match(token, budget)
-                # marks that compose with the Latin letter only are no walk of the trie: the class decides
-                yield token, hit[2] if hit else most[table][1] if table in most else table
+    rows = list(zip(pdf["token"], pdf["n"], pdf["suspicious"]))
+    trie = Trie()
+    for token, _, look_up in rows:
+        if not look_up:
+            trie.add(token)
+    for _, _, token in sorted((_scripts(t) > 1 or t != by_table(t), -int(n), t) for t, n, look_up in rows if look_up):
+        if hit := trie.match(token, budget):
+            yield token, hit[1]
+        else:
+            yield token, by_table(token)
+            trie.add(token, by_table(token))
 
 
 def _spell(budget: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame()
-        for pdf in batches:  # sorted by bare form: classes are whole once the next one begins
+        for pdf in batches:  # sorted by shard: one is whole once the next begins
             held = pd.concat([held, pdf], ignore_index=True)
-            cut = held.index[held["bare"] != held["bare"].iloc[-1]]
+            cut = held.index[held["shard"] != held["shard"].iloc[-1]]
             if len(cut):
-                yield pd.DataFrame(list(_shard(held.iloc[: cut[-1] + 1], budget)), columns=["token", "canonical"])
+                yield pd.DataFrame([x for _, part in held.iloc[: cut[-1] + 1].groupby("shard") for x in _shard(part, budget)], columns=["token", "canonical"])
                 held = held.iloc[cut[-1] + 1 :]
         if len(held):
-            yield pd.DataFrame(list(_shard(held, budget)), columns=["token", "canonical"])
+            yield pd.DataFrame([x for _, part in held.groupby("shard") for x in _shard(part, budget)], columns=["token", "canonical"])
 
     return run
 
 
 @F.pandas_udf(T.StringType())
-def _bare(tokens: pd.Series) -> pd.Series:
-    return tokens.map(bare)
+def _skeleton(tokens: pd.Series) -> pd.Series:
+    return tokens.map(skeleton)
+
+
+def _shard_of(skeleton: Column) -> Column:
+    return F.concat_ws("|", F.length(skeleton).cast("string"), F.substring(skeleton, 1, 3))
 
 
 def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 0) -> DataFrame:
@@ -233,16 +238,15 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dirty = checkpoint(rows.filter("unusual").filter(odd).withColumn("row", F.xxhash64("doc_id", "text")).dropDuplicates(["row", "doc_id"]))
     parts = dirty.select("row", F.posexplode(F.regexp_extract_all("step", F.lit(segments), F.lit(0))).alias("pos", "token"))
     wanted = parts.filter(F.col("token").rlike(suspicious)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    wanted = checkpoint(wanted.withColumn("bare", _bare("token")))
-
-    # vocabulary: every token of the corpus that could be the plain spelling of a suspicious one
-    latin = F.regexp_extract_all("step", F.lit("[A-Za-z0-9\\x{c0}-\\x{24f}]*[A-Za-z\\x{c0}-\\x{24f}][A-Za-z0-9\\x{c0}-\\x{24f}]*"), F.lit(0))
-    vocabulary = rows.withColumn("step", F.when(F.col("unusual"), F.col("step")).otherwise(F.col("text"))).select(F.explode(latin).alias("bare")).groupBy("bare").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = vocabulary.join(wanted.select("bare").distinct(), "bare", "left_semi")
-    meet = wanted.select("bare", "token", "n", F.lit(True).alias("suspicious")).unionByName(
-        vocabulary.select("bare", F.col("bare").alias("token"), "n", F.lit(False).alias("suspicious"))
-    )
-    spelled = meet.repartition("bare").sortWithinPartitions("bare", "token").mapInPandas(_spell(budget), "token string, canonical string")
+    wanted = checkpoint(wanted.withColumn("shard", _shard_of(_skeleton("token"))))
+
+    # vocabulary: the plain tokens with a Latin letter, cut as the suspicious ones are; ordinary texts take the cheap pattern
+    text = F.when(F.col("unusual"), F.col("step")).otherwise(F.col("text"))
+    words = F.when(F.col("unusual"), F.regexp_extract_all("step", F.lit(segments), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(f"[{ORDINARY_TOKEN}]+"), F.lit(0)))
+    vocabulary = rows.filter(text.rlike(LATIN)).select(F.explode(F.filter(words, lambda w: w.rlike(LATIN))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = vocabulary.withColumn("shard", _shard_of(F.col("token"))).join(wanted.select("shard").distinct(), "shard", "left_semi").filter(~F.col("token").rlike(suspicious))
+    meet = wanted.select("shard", "token", "n", F.lit(True).alias("suspicious")).unionByName(vocabulary.select("shard", "token", "n", F.lit(False).alias("suspicious")))
+    spelled = meet.repartition("shard").sortWithinPartitions("shard", "token").mapInPandas(_spell(budget), "token string, canonical string")
 
     joined = parts.join(spelled, "token", "left").select("row", F.struct("pos", F.coalesce("canonical", "token").alias("s")).alias("p"))
     mended = joined.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "").alias("canonical"))

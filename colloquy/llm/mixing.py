@@ -81,8 +81,8 @@ def mix_sources(tokens: DataFrame, targets: DataFrame, fraction: float = 0.5, se
 
     mixed: doc_id, source, copy_no, tokens, position: every use of a document, in shuffled order of
     position. report: source, max_repeats, source_tokens, target_tokens, reached_tokens,
-    target_share, reached_share, is_short; short means that all documents used max_repeats times are
-    less than the target.
+    target_share, reached_share, is_short; short means that the copies drawn are less than the target
+    although every document of the source was drawn max_repeats times.
     """
     tokens = checkpoint(tokens)
     sums = tokens.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
@@ -94,14 +94,13 @@ def mix_sources(tokens: DataFrame, targets: DataFrame, fraction: float = 0.5, se
     plan = []
     for source, share, cap, have in rows:
         target, cap = share * total, max(0, cap)
-        short = cap * have < target
-        if short or not have or cap * have == target:
+        if cap * have <= target:
             levels = [-1.0] * cap  # every draw is above: used cap times
         else:
             levels = steps(solve_mean(target / have, cap), cap)
-        plan.append((source, share, cap, have, float(target), short, levels))
+        plan.append((source, share, cap, have, float(target), levels))
     spark = tokens.sparkSession
-    schema = "source string, target_share double, max_repeats int, source_tokens long, target_tokens double, is_short boolean, levels array<double>"
+    schema = "source string, target_share double, max_repeats int, source_tokens long, target_tokens double, levels array<double>"
     plan_df = spark.createDataFrame(plan, schema)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     used = (
@@ -109,8 +108,11 @@ def mix_sources(tokens: DataFrame, targets: DataFrame, fraction: float = 0.5, se
         .join(F.broadcast(plan_df.select("source", "levels")), "source")
         .withColumn("uses", F.size(F.filter("levels", lambda x: x < F.col("u"))))
     )
-    reached = used.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("reached_tokens"))
+    # what the draws brought is counted: a source is short if it lacks tokens although every document has all its uses
+    reached = used.groupBy("source").agg(F.sum(F.col("uses") * F.col("tokens")).alias("reached_tokens"), F.min("uses").alias("fewest"))
     report = plan_df.drop("levels").join(reached, "source", "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
+    spent = F.coalesce(F.col("fewest") >= F.col("max_repeats"), F.lit(True))
+    report = report.withColumn("is_short", (F.col("reached_tokens") < F.col("target_tokens")) & spent).drop("fewest")
     whole = Window.partitionBy(F.lit(0))  # one row per source
     report = report.withColumn("reached_share", F.col("reached_tokens") / F.greatest(F.sum("reached_tokens").over(whole), F.lit(1)))
     mixed = (

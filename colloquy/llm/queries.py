@@ -76,6 +76,8 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     scenario = F.coalesce(sampling.trimmed(F.col("meta.scenario")), sampling.trimmed(F.col("meta.intent")), F.lit("unknown"))
     goals = table(spark, d, "scenario_targets").filter("scenario is not null").limit(sampling.MAX_SIGNATURES + 1).collect()
+    if len(goals) > sampling.MAX_SIGNATURES:
+        raise ValueError(f"more than {sampling.MAX_SIGNATURES} scenarios")
     targets = {r["scenario"]: (r["target_share"] or 0.0, r["min_rows"] or 0) for r in goals}
     return sampling.proportional_sample(table(spark, d, "sft_train"), "id", [scenario], [targets])
 

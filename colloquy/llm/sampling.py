@@ -30,29 +30,54 @@ def trimmed(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+def draw(avail: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of *n* random rows fall to each group of *avail* rows, without replacement.
+
+    Group after group, hypergeometric; beyond the generator's bound of 10^9 rows by the normal law with
+    the same mean and variance, which differs by less than a row in that many.
+    """
+    out = np.zeros(len(avail), np.int64)
+    left = int(avail.sum())
+    for i, a in enumerate(map(int, avail)):
+        if n <= 0:
+            break
+        others = left - a
+        if a < 10**9 and others < 10**9:
+            got = int(rng.hypergeometric(a, others, n)) if a else 0
+        else:
+            share = a / left
+            spread = (n * share * (1 - share) * (left - n) / max(1, left - 1)) ** 0.5
+            got = min(a, n, max(0, n - others, round(rng.normal(n * share, spread))))
+        out[i] = got
+        n, left = n - got, others
+    return out
+
+
 def repair(have: dict[tuple, int], targets: list[dict[str, float]], floors: list[dict[str, int]], size: int, seed: int) -> dict[tuple, int]:
     """Counts per signature. *targets* and *floors* are per category column, in rows.
 
-    Starts from a random sample that takes the floors first; then moves counts from one signature to
-    another while the summed distance from the targets falls. One move exchanges as many rows as keep
-    improving at the same rate, so the number of rounds follows the signatures, not the rows.
+    Starts from a random sample that takes the floors first, and every row of a category that has less
+    than its target; then moves counts from one signature to another while the summed distance from the
+    targets falls. One move exchanges as many rows as keep improving at the same rate, so the number of
+    rounds follows the signatures, not the rows.
     """
     keys = sorted(have)
     avail = np.array([have[k] for k in keys], np.int64)
     size = int(min(size, avail.sum()))
     rng = np.random.default_rng(seed)
     take = np.zeros(len(keys), np.int64)
-    least = np.zeros(len(keys), np.int64)
-    for col, floor in enumerate(floors):
-        for cat, want in floor.items():
-            at = [n for n, k in enumerate(keys) if k[col] == cat]
-            miss = min(want, int(avail[at].sum()) if at else 0) - int(take[at].sum() if at else 0)
-            if at and miss > 0:
-                take[at] += rng.multivariate_hypergeometric(avail[at] - take[at], miss, method="marginals")
-    rest = size - int(take.sum())
-    if rest > 0:
-        take += rng.multivariate_hypergeometric(avail - take, rest, method="marginals")
-    least = [{c: min(w, sum(have[k] for k in keys if k[col] == c)) for c, w in f.items()} for col, f in enumerate(floors)]
+    least = []
+    for col, t in enumerate(targets):
+        there: dict[str, int] = {}
+        for k, n in have.items():
+            there[k[col]] = there.get(k[col], 0) + n
+        least.append({c: min(there.get(c, 0), floors[col].get(c, 0) if there.get(c, 0) >= t.get(c, 0.0) else there[c]) for c in {*t, *floors[col]} if c in there})
+        for c, want in sorted(least[col].items()):
+            at = [n for n, k in enumerate(keys) if k[col] == c]
+            if (miss := want - int(take[at].sum())) > 0:
+                take[at] += draw(avail[at] - take[at], miss, rng)
+    if (rest := size - int(take.sum())) > 0:
+        take += draw(avail - take, rest, rng)
     dims = [sorted({k[col] for k in keys} | set(t)) for col, t in enumerate(targets)]
     where = [{c: n for n, c in enumerate(d)} for d in dims]
     goal = [np.array([t.get(c, 0.0) for c in d]) for d, t in zip(dims, targets)]
@@ -138,11 +163,10 @@ def proportional_sample(
     rank = F.row_number().over(Window.partitionBy(*names, "bucket").orderBy("h", "id"))
     sample = part.filter("n <= room").select("id", *names).unionByName(part.filter("n > room").withColumn("rn", rank).filter("rn <= room").select("id", *names))
 
-    report = []
-    for col, t in enumerate(targets):
-        for c, (share, least) in t.items():
-            available = sum(n for k, n in have.items() if k[col] == c)
-            wanted = max(share * size, float(least))
-            report.append((col, c, available, float(wanted), sum(n for k, n in taken.items() if k[col] == c), available < wanted))
-    schema = "column_no int, category string, available long, wanted double, sampled long, is_short boolean"
-    return sample, spark.createDataFrame(report, schema)
+    # what the sample holds is counted in the sample: a category is short if it lacks rows although all of its rows were drawn
+    goals = [(col, c, max(share * size, float(least))) for col, t in enumerate(targets) for c, (share, least) in t.items()]
+    goals = spark.createDataFrame(goals, "column_no int, category string, wanted double")
+    per = lambda df, n: df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column_no"), F.col(c).alias("category")) for i, c in enumerate(names)]))).groupBy("column_no", "category").agg(F.count(F.lit(1)).alias(n))
+    report = goals.join(per(rows, "available"), ["column_no", "category"], "left").join(per(sample, "sampled"), ["column_no", "category"], "left").fillna(0, ["available", "sampled"])
+    short = (F.col("sampled") < F.col("wanted")) & (F.col("sampled") == F.col("available"))
+    return sample, report.select("column_no", "category", "available", "wanted", "sampled", short.alias("is_short"))

@@ -4,6 +4,7 @@ import itertools
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,29 @@ def test_sample_of_an_empty_table(spark):
     assert sample.count() == 0 and report.first()["is_short"]
 
 
+def test_draws_beyond_the_generators_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    avail = np.array([3 * 10**9, 10**9, 5, 0, 10**6])
+    got = sampling.draw(avail, 10**9, rng)
+    assert got.sum() == 10**9 and (got <= avail).all() and (got >= 0).all() and abs(got[0] / got[1] - 3) < 0.01
+    have = {("a",): 3 * 10**9, ("b",): 10**9, ("c",): 100}
+    got = sampling.repair(have, [{"a": 4e8, "b": 4e8, "c": 1e3}], [{}], 800_001_000, 1)
+    assert got[("c",)] == 100 and abs(got[("a",)] - 4e8) <= 1000 and sum(got.values()) == 800_001_000
+
+
+def test_short_categories_give_all_rows_and_the_sample_is_counted(spark, monkeypatch):
+    rows = [(f"i{n}", "big") for n in range(200)] + [(f"s{n}", "small") for n in range(9)] + [(f"m{n}", "mid") for n in range(30)]
+    df = spark.createDataFrame(rows, "id string, c string")
+    goal = {"big": (0.2, 25), "small": (0.4, 2), "mid": (0.4, 22)}
+    r = {x["category"]: x for x in sampling.proportional_sample(df, "id", [F.col("c")], [goal])[1].collect()}
+    assert r["small"]["is_short"] and r["small"]["sampled"] == 9 and not r["big"]["is_short"] and not r["mid"]["is_short"]
+    monkeypatch.setattr(sampling, "repair", lambda have, *_: {k: n // 2 for k, n in have.items()})
+    r = {x["category"]: x for x in sampling.proportional_sample(df, "id", [F.col("c")], [goal])[1].collect()}
+    assert r["small"]["sampled"] == 4 and not r["small"]["is_short"]
+
+
 # -- personal information -------------------------------------------------------------------------
 FOUND = [
     ("请发到 a.b-1@mail.example 谢谢", "email"),
@@ -203,6 +227,15 @@ def test_mix_reaches_its_shares(spark):
     assert positions == sorted(positions)
 
 
+def test_short_sources_follow_the_draws(spark, monkeypatch):
+    tokens = spark.createDataFrame([(n, "a", 10) for n in range(50)] + [(n, "b", 10) for n in range(50, 150)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    assert {x["source"]: x["is_short"] for x in mixing.mix_sources(tokens, targets)[1].collect()} == {"a": True, "b": False}
+    monkeypatch.setattr(mixing, "steps", lambda mean, cap: [-1.0] * cap)  # every document all its uses
+    r = {x["source"]: x for x in mixing.mix_sources(tokens, targets)[1].collect()}
+    assert r["b"]["reached_tokens"] == 1000 and not r["b"]["is_short"]
+
+
 def test_tokens_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "hello 世界 " * 3000, None)], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["tokens"] for r in mixing.token_counts(df).collect()}
@@ -245,7 +278,7 @@ def test_looks(spark):
 @pytest.mark.parametrize("word", ["ещё", "ёлка", "её", "йод", "όλος", "ό", "ὀδός", "한국어", "Ångström", "café"])
 def test_canonical_equivalents_meet(spark, word):
     nfc, nfd = (unicodedata.normalize(f, word) for f in ("NFC", "NFD"))
-    assert nfc != nfd and lookalike.bare(nfc) == lookalike.bare(nfd)
+    assert nfc != nfd and lookalike.skeleton(nfc) == lookalike.skeleton(nfd)
     got = canon(spark, [f"a {nfc} b", f"a {nfd} b", f"a {nfd.replace('A' + chr(0x30A), chr(0x212B))} b"])
     assert len(set(got.values())) == 1
     assert len(set(canon(spark, [f"a {nfd} b", f"a {nfc} b c"]).values())) == 2
@@ -271,11 +304,36 @@ def test_pairs_and_defined_results(spark):
 
 def test_trie_automaton():
     t = lookalike.Trie()
-    for w, n in (("paper", 5), ("pager", 2), ("café", 1)):
-        t.add(w, n)
-    assert t.match("рареr") == (0, -5, "paper") and t.match("pa​per") == (0, -5, "paper")
-    assert t.match("café") == (0, -1, "café") and t.match("papr") is None
-    assert t.match("papr", 1) == (1, -5, "paper") and t.match("", 0) is None
+    for w in ("paper", "pager", "café"):
+        t.add(w)
+    assert t.match("рареr") == (0, "paper") and t.match("pa\u200bper") == (0, "paper")
+    assert t.match("cafe\u0301") == (0, "café") and t.match("papr") is None
+    assert t.match("papr", 1) == (1, "paper") and t.match("", 0) is None
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    texts = ["pay now", "р\u0430y now", "カメラcamera 1", "カメラ\u0441amera 1", "Москва", "Mocквa", "ра", "pа"]
+    got = canon(spark, texts)
+    assert got[0] == got[1] and got[2] == got[3] == texts[2] and got[4] == got[5] == "Москва" and got[6] == got[7]
+    monkeypatch.setattr(lookalike.Trie, "match", lambda *_: None)
+    shard = lambda: dict(lookalike._shard(pd.DataFrame([("pay", 1, False), ("рау", 1, True), ("p\u200bay", 1, True)], columns=["token", "n", "suspicious"]), 0))
+    assert shard() == {"рау": "рау", "p\u200bay": "pay"}
+    monkeypatch.undo()
+    assert shard() == {"рау": "pay", "p\u200bay": "pay"}
+
+
+def test_ordinary_tokens_are_cut_like_all_others(spark):
+    """The cheap pattern of ordinary texts and the general one cut the same tokens."""
+    every = "".join(map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x3001, 0x302A), *range(0x3041, 0x3097), *range(0x309D, 0x3100), 0x4E00, 0x9FA5, 0x2019, 0x2026, 0x1F600]))
+    text = "".join(f"{c}a{c}{c} b" for c in every if c != "\xad")
+    segments, suspicious = lookalike._patterns()
+    df = spark.createDataFrame([(text,)], "text string").select(
+        F.filter(F.regexp_extract_all("text", F.lit(f"[{lookalike.ORDINARY_TOKEN}]+"), F.lit(0)), lambda w: w.rlike(lookalike.LATIN)).alias("a"),
+        F.filter(F.regexp_extract_all("text", F.lit(segments), F.lit(0)), lambda w: w.rlike(lookalike.LATIN)).alias("b"),
+        lookalike.unusual(F.col("text")).alias("u"),
+    )
+    row = df.first()
+    assert not row["u"] and row["a"] == row["b"]
 
 
 # -- all queries ----------------------------------------------------------------------------------
