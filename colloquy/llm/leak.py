@@ -1,49 +1,74 @@
 """Problem 6: passages of held-out items inside a corpus.
 
-Method: pigeonhole edit matching. A passage of (budget + 1) pieces that stands in a document with at
-most ``budget`` edits must hold one of its pieces unchanged. Items are cut into pieces of ``piece``
-folded characters; every run of budget + 1 neighbouring pieces is a passage. One automaton of all
-pieces walks each document once; around a hit the passage is verified with Myers' bit-parallel
-distance. Documents with a verified passage are then measured exactly: the share of the item's
-8-sequences they hold.
-
-The items travel to the workers when they are at most ``broadcast_items`` rows and
-``broadcast_chars`` characters (checked); a larger set takes the join path, in which hashed pieces
-of items meet hashed runs of documents in a shuffle. Both give the same rows.
-
-Defined results: null and empty texts leak nothing and are leaked by nothing; items under ``piece``
-folded characters are matched as one whole piece if they have at least eight characters, shorter
-ones are left out; repeated document ids give one row; extra columns are ignored.
+Method: pigeonhole edit matching. Items are cut into overlapping pieces of eight folded characters,
+one at every ``STEP``-th place. A passage, a piece with ``SIDE`` characters on either side, that stands
+in a document with at most ``BUDGET`` edits outside the piece holds the piece unchanged. Exact piece hits
+are found by rolling hashes of the whole document against the pieces of all items; around a hit the
+passage is verified with Myers' bit-parallel distance. Documents with a verified passage are then
+measured exactly: the share of the item's 8-sequences they hold.
+
+Nothing that reaches the limit of 40 % is lost where texts are copied, edited, cut and rearranged: an
+edit or a cut removes seven or more neighbouring 8-sequences, so if two of five are left, some run of
+them is at least three long, that is ten verbatim characters. Ten characters hold a piece at every
+place mod 3, and leave at most BUDGET = 4 of the passage's 14 characters open. No part of an item is
+favoured and passages may stand in any order, anywhere in the document.
+
+The items travel to the workers when they have at most ``broadcast_chars`` characters (checked). A
+larger set is joined: a bit map of fixed size (``BLOOM`` bits, however many items) keeps the document
+runs that may be pieces, and only those are shuffled, spread over salts; documents and items meet
+where enough pieces agree. Both give the same rows.
+
+Defined results: null and empty texts leak nothing and are leaked by nothing; items under eight folded
+characters have no 8-sequences and are left out; repeated document ids give one row; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
+import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import common as C
 
-PIECE, BUDGET, SEQ = 8, 4, 8
+SEQ, STEP, SIDE, BUDGET = 8, 3, 3, 4
+BLOOM = 1 << 26
+SALTS = 8
+_POWERS = C.permutations(SEQ, 6)[0]
 
 
 def seqs(folded: str, k: int = SEQ) -> set[str]:
     return {folded[i : i + k] for i in range(len(folded) - k + 1)}
 
 
-def cut(folded: str, piece: int = PIECE) -> list[tuple[int, str]]:
-    """Pieces (offset, text); the last one reaches back so that all have full length."""
-    if len(folded) < piece:
-        return []
-    at = [*range(0, len(folded) - piece + 1, piece)]
-    if at[-1] + piece < len(folded):
-        at.append(len(folded) - piece)
-    return [(i, folded[i : i + piece]) for i in at]
+def runs(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of all runs of eight characters of many texts."""
+    sizes = np.fromiter((max(0, len(f) - SEQ + 1) for f in folded), np.int64, len(folded))
+    text = np.repeat(np.arange(len(folded)), sizes)
+    place = np.arange(text.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    c = C.codes("".join(folded))
+    lengths = np.fromiter(map(len, folded), np.int64, len(folded))
+    at = place + np.repeat(np.cumsum(lengths) - lengths, sizes)
+    if not text.size:
+        return text, place, np.empty(0, np.uint64)
+    whole = np.zeros(c.size - SEQ + 1, np.uint64)
+    for j in range(SEQ):
+        whole += c[j : j + whole.size] * _POWERS[j]
+    return text, place, C.mix(whole[at])
+
+
+def pieces(folded: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place, hash) of the pieces of many items; of small items every place is one."""
+    item, place, key = runs(folded)
+    small = np.fromiter((len(f) < SEQ + 9 for f in folded), bool, len(folded))
+    keep = (place % STEP == 0) | small[item]
+    return item[keep], place[keep], key[keep]
 
 
 def myers(pattern: str, text: str, budget: int) -> bool:
@@ -81,115 +106,111 @@ def myers(pattern: str, text: str, budget: int) -> bool:
 class Matcher:
     """Items prepared for matching; built once in a worker."""
 
-    def __init__(self, items: list[tuple[int, str]], budget: int, piece: int):
-        self.budget, self.piece = budget, piece
-        self.items = [(i, f) for i, t in items if i is not None and len(f := C.fold(t)) >= SEQ]
-        self.seqs = [seqs(f) for _, f in self.items]
-        self.pieces = [cut(f, piece) for _, f in self.items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, pieces in enumerate(self.pieces):
-            for k, (_, text) in enumerate(pieces):
-                where[text].append((n, k))
-        self.automaton = ahocorasick.Automaton()
-        for text, at in where.items():
-            self.automaton.add_word(text, at)
-        if where:
-            self.automaton.make_automaton()
-        self.empty = not where
-
-    def passages(self, n: int, k: int) -> Iterator[tuple[int, int]]:
-        """Ranges of the item's text that are passages holding piece *k*."""
-        pieces, width = self.pieces[n], self.budget + 1
-        last = max(0, len(pieces) - width)
-        for first in range(max(0, k - width + 1), min(k, last) + 1):
-            lo = pieces[first][0]
-            hi = pieces[min(first + width, len(pieces)) - 1][0] + self.piece
-            yield lo, hi
-
-    def verified(self, folded: str) -> list[int]:
-        """Items of which a passage stands in the document."""
-        if self.empty or len(folded) < SEQ:
-            return []
-        tried: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        found: set[int] = set()
-        for end, at in self.automaton.iter(folded):
-            for n, k in at:
-                if n in found:
-                    continue
-                item, off = self.items[n][1], self.pieces[n][k][0]
-                start = end - self.piece + 1 - off
-                for lo, hi in self.passages(n, k):
-                    if (lo, start + lo) in tried[n]:
-                        continue
-                    tried[n].add((lo, start + lo))
-                    a = max(0, start + lo - self.budget)
-                    b = start + hi + self.budget
-                    window = folded[a:b]
-                    if len(window) < hi - lo - self.budget:
-                        continue
-                    # a passage inside the window; the budget follows its length for short items
-                    if myers(item[lo:hi], window, min(self.budget, max(0, (hi - lo) // self.piece - 1))):
-                        found.add(n)
-                        break
-        return sorted(found)
-
-    def measure(self, folded: str, items: list[int], limit: float) -> Iterator[tuple[int, float]]:
-        own = seqs(folded)
-        for n in items:
-            share = len(self.seqs[n] & own) / len(self.seqs[n])
-            if share >= limit:
-                yield n, share
-
-
-def _search(items: list[tuple[int, str]], budget: int, piece: int, limit: float):
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items = [(i, f) for i, f in zip((i for i, _ in items), C.fold_many(t for _, t in items)) if i is not None and len(f) >= SEQ]
+        item, place, key = pieces([f for _, f in self.items])
+        order = np.argsort(key, kind="stable")
+        self.item, self.place, self.key = item[order], place[order], key[order]
+        bits = min(26, max(12, (64 * key.size).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[key >> self.shift] = True
+        self.seqs = lru_cache(4096)(lambda n: frozenset(seqs(self.items[n][1])))
+
+    def passage_stands(self, n: int, off: int, folded: str, at: int) -> bool:
+        """Whether the passage around the piece at *off* of item *n* stands in the text around *at*."""
+        item = self.items[n][1]
+        lo, hi = max(0, off - SIDE), min(len(item), off + SEQ + SIDE)
+        start = at - (off - lo)
+        if start >= 0 and folded.startswith(item[lo:hi], start):
+            return True
+        budget = min(BUDGET, hi - lo - SEQ)
+        return myers(item[lo:hi], folded[max(0, start - budget) : start + (hi - lo) + budget], budget)
+
+    def find(self, folded: list[str], limit: float) -> Iterator[tuple[int, int, float]]:
+        """(text, item, share) where a passage stands in a text and the share reaches the limit."""
+        text, at, key = runs(folded)
+        some = np.flatnonzero(self.table[key >> self.shift])
+        lo = np.searchsorted(self.key, key[some])
+        hi = np.searchsorted(self.key, key[some], side="right")
+        verified: dict[int, set[int]] = defaultdict(set)
+        for t, p, a, b in zip(text[some].tolist(), at[some].tolist(), lo.tolist(), hi.tolist()):
+            for k in range(a, b):
+                n = int(self.item[k])
+                if n not in verified[t] and self.passage_stands(n, int(self.place[k]), folded[t], p):
+                    verified[t].add(n)
+        for t, found in verified.items():
+            own = seqs(folded[t]) if found else set()
+            for n in sorted(found):
+                want = self.seqs(n)
+                share = len(want & own) / len(want)
+                if share >= limit:
+                    yield t, self.items[n][0], share
+
+
+_SCHEMA = "doc_id long, item_id long, share double"
+
+
+def _search(items: list[tuple[int, str]], limit: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(items, budget, piece)
+        matcher = Matcher(items)
         for pdf in batches:
+            docs = pdf["doc_id"].to_numpy()
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                folded = C.fold(text)
-                if hits := matcher.verified(folded):
-                    rows += [(doc, matcher.items[n][0], s) for n, s in matcher.measure(folded, hits, limit)]
+            for n in range(0, len(pdf), 1000):
+                rows += [(docs[n + t], i, s) for t, i, s in matcher.find(C.fold_many(pdf["text"].iloc[n : n + 1000]), limit)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
     return run
 
 
-def _runs(piece: int, cut_only: bool):
-    """Hashed runs of *piece* characters: all distinct ones of a document, or an item's pieces."""
+def _item_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        item, _, key = pieces(C.fold_many(pdf["item_text"]))
+        made = pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[item], "key": key.view(np.int64)}).drop_duplicates()
+        yield made.assign(least=np.maximum(1, made.groupby("item_id")["key"].transform("size") // 10 - 1).astype(np.int64))
+
+
+def _known_runs(words: np.ndarray):
+    """Distinct runs of documents whose bit is set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, keys = [], []
-            for i, text in zip(pdf["i"], pdf["text"]):
-                folded = C.fold(text)
-                parts = {t for _, t in cut(folded, piece)} if cut_only else seqs(folded, piece)
-                keys += [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in parts]
-                ids += [i] * len(parts)
-            yield pd.DataFrame({"i": ids, "key": keys})
+            for n in range(0, len(pdf), 1000):
+                text, _, key = runs(C.fold_many(pdf["text"].iloc[n : n + 1000]))
+                bit = (key % np.uint64(BLOOM)).astype(np.int64)
+                known = (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+                ids = pdf["doc_id"].to_numpy()[n : n + 1000]
+                yield pd.DataFrame({"doc_id": ids[text[known]], "key": key[known].view(np.int64)}).drop_duplicates()
 
     return run
 
 
-def _pairwise(budget: int, piece: int, limit: float):
+def _pairwise(limit: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[int, Matcher] = {}
+        matcher = lru_cache(1024)(lambda item, text: Matcher([(item, text)]))
         for pdf in batches:
-            rows = []
-            for doc, text, item, item_text in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["item_text"]):
-                if len(cache) > 4096:
-                    cache.clear()
-                m = cache.get(item)
-                if m is None:
-                    m = cache[item] = Matcher([(item, item_text)], budget, piece)
-                folded = C.fold(text)
-                if hits := m.verified(folded):
-                    rows += [(doc, item, s) for _, s in m.measure(folded, hits, limit)]
+            folded = C.fold_many(pdf["text"])
+            rows = [(doc, i, s) for doc, text, item, known in zip(pdf["doc_id"], folded, pdf["item_id"], pdf["item_text"]) for _, i, s in matcher(item, known).find([text], limit)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
     return run
 
 
+def _joined(docs: DataFrame, held: DataFrame, limit: float) -> DataFrame:
+    """Documents and items that share pieces, by a shuffle of the runs that may be pieces."""
+    known = checkpoint(held.mapInPandas(_item_pieces, "item_id long, key long, least long"))
+    bits = known.select(F.col("key").bitwiseAND(F.lit(BLOOM - 1)).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    words = np.zeros(BLOOM // 64, np.uint64)
+    for word, value in bits.collect():  # at most BLOOM / 64 rows
+        words[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+    hits = docs.mapInPandas(_known_runs(words), "doc_id long, key long").withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int"))
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = hits.join(spread, ["key", "salt"]).groupBy("doc_id", "item_id").agg(F.countDistinct("key").alias("n"), F.min("least").alias("least"))
+    both = checkpoint(both.filter("n >= least").select("doc_id", "item_id"))
+    return both.join(docs, "doc_id").join(held, "item_id").select("doc_id", "text", "item_id", "item_text").mapInPandas(_pairwise(limit), _SCHEMA)
+
+
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
@@ -198,25 +219,18 @@ def leaked_passages(
     item_id: str = "item_id",
     item_text: str = "text",
     limit: float = 0.4,
-    budget: int = BUDGET,
-    piece: int = PIECE,
-    broadcast_items: int = 20_000,
-    broadcast_chars: int = 8_000_000,
+    broadcast_chars: int = 4_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, share): documents holding a passage of an item within the edit budget and at
     least *limit* of its 8-sequences."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).filter("item_id is not null and item_text is not null")
-    schema = "doc_id long, item_id long, share double"
     n, chars = held.select(F.count(F.lit(1)), F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()
-    if n <= broadcast_items and chars <= broadcast_chars:
+    if n <= broadcast_chars and chars <= broadcast_chars:
         known = [(r[0], r[1]) for r in held.collect()]
-        out = docs.mapInPandas(_search(known, budget, piece, limit), schema)
+        out = docs.mapInPandas(_search(known, limit), _SCHEMA)
     else:
-        left = docs.select(F.col("doc_id").alias("i"), "text").mapInPandas(_runs(piece, False), "i long, key long")
-        right = held.select(F.col("item_id").alias("i"), F.col("item_text").alias("text")).mapInPandas(_runs(piece, True), "i long, key long")
-        both = left.withColumnRenamed("i", "doc_id").join(right.withColumnRenamed("i", "item_id"), "key").select("doc_id", "item_id").distinct()
-        out = both.join(docs, "doc_id").join(held, "item_id").select("doc_id", "text", "item_id", "item_text").mapInPandas(_pairwise(budget, piece, limit), schema)
+        out = _joined(docs, held, limit)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 

@@ -13,8 +13,8 @@ UNITS = ["订单物流退款", "paper order ", "1380083302", "a-", "a@", "王李
 @pytest.mark.parametrize("unit", UNITS)
 def test_long_texts(unit):
     text = (unit * 100_000)[:100_000]
-    matcher = leak.Matcher([(1, "订单物流退款发票尺寸颜色质量客服地址电话")], leak.BUDGET, leak.PIECE)
-    for work in (lambda: pii.spans(text), lambda: defects.features(text[:500], text), lambda: matcher.verified(C.fold(text)), lambda: C.grams3(C.fold(text)), lambda: lookalike.skeleton(text)):
+    matcher = leak.Matcher([(1, "订单物流退款发票尺寸颜色质量客服地址电话")])
+    for work in (lambda: pii.spans(text), lambda: defects.features(text[:500], text), lambda: list(matcher.find([C.fold(text)], 0.4)), lambda: C.grams3(C.fold(text)), lambda: lookalike.skeleton(text)):
         began = time.time()
         work()
         assert time.time() - began < 5

@@ -206,15 +206,34 @@ def frames(spark, items, docs):
     return d, i
 
 
-@pytest.mark.parametrize("bound", [20_000, 0])
+@pytest.mark.parametrize("bound", [4_000_000, 0])
 def test_leaks_equal_brute_force(spark, corpus, bound):
     items, docs = corpus
     d, i = frames(spark, items, docs)
     expected = {(k, n) for k, t in docs.items() for n, s in items.items() if len(grams(t, 8) & grams(s, 8)) >= 0.4 * len(grams(s, 8))}
-    got = leak.leaked_passages(d, i, broadcast_items=bound).collect()
+    got = leak.leaked_passages(d, i, broadcast_chars=bound).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == expected and len(got) == len(expected) and len(expected) >= 12
-    assert leak.leaked_passages(d.limit(0), i, broadcast_items=bound).count() == 0
-    assert leak.leaked_passages(d, i.limit(0), broadcast_items=bound).count() == 0
+    assert leak.leaked_passages(d.limit(0), i, broadcast_chars=bound).count() == 0
+    assert leak.leaked_passages(d, i.limit(0), broadcast_chars=bound).count() == 0
+
+
+@pytest.mark.parametrize("bound", [4_000_000, 0])
+def test_scattered_passages(spark, bound):
+    """Blocks between foreign text, blocks in another order, and evenly edited copies are all found."""
+    r = random.Random(12)
+    word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    items, docs = {n: word(r.choice([17, 30, 80, 200])) for n in range(40)}, {}
+    for n, t in items.items():
+        blocks = [t[i : i + 20] for i in range(0, len(t), 20)]
+        docs[n * 10] = "".join(b + word(30) for b in blocks)
+        docs[n * 10 + 1] = "".join(b + word(3) for b in r.sample(blocks, len(blocks)))
+        docs[n * 10 + 2] = word(40) + "".join(word(1) if i % r.choice([13, 14]) == 5 else c for i, c in enumerate(t)) + word(40)
+        docs[n * 10 + 3] = word(100) + t[: 3 + len(t) // 2] + word(100)
+        docs[n * 10 + 4] = word(100) + t[:9] + word(50)
+    expected = {(k, n) for k, t in docs.items() for n, s in items.items() if len(grams(t, 8) & grams(s, 8)) >= 0.4 * len(grams(s, 8))}
+    assert len(expected) > 100
+    d, i = frames(spark, items, {**docs, 200: docs[200]})
+    assert {(x["doc_id"], x["item_id"]) for x in leak.leaked_passages(d, i, broadcast_chars=bound).collect()} == expected
 
 
 def distance(pattern, text):
