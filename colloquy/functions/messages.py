@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import bind, strip, text_or_empty
 
@@ -83,12 +86,47 @@ def trim_turns(c: Column, history: int) -> Column:
     return F.when(F.size(c) <= 2, c).otherwise(F.slice(c, F.greatest(F.lit(1), F.size(c) - keep + 1), keep))
 
 
+def past(history: Column) -> Column:
+    """The complete pairs of a history as messages, trimmed; pairs that lack a side are skipped."""
+    said = lambda p, n: strip(text_or_empty(F.get(p, n)))
+    pairs = F.filter(F.coalesce(history, F.array().cast("array<array<string>>")), lambda p: (F.size(p) == 2) & (said(p, 0) != "") & (said(p, 1) != ""))
+    return F.flatten(F.transform(pairs, lambda p: F.array(message(USER, said(p, 0)), message(ASSISTANT, said(p, 1))))).cast(f"array<{MESSAGE}>")
+
+
 def from_history(history: Column, prompt: Column, response: Column) -> Column:
-    """Pairs, then prompt and response; blank pairs are skipped, a blank prompt or response gives nothing."""
-    pairs = F.filter(F.coalesce(history, F.array()), lambda p: (F.size(p) == 2) & (text_or_empty(F.get(p, 0)) != "") & (text_or_empty(F.get(p, 1)) != ""))
-    flat = F.flatten(F.transform(pairs, lambda p: F.array(message(USER, F.get(p, 0)), message(ASSISTANT, F.get(p, 1)))))
-    whole = F.concat(flat.cast(f"array<{MESSAGE}>"), F.array(message(USER, prompt), message(ASSISTANT, response)))
-    return F.when((text_or_empty(prompt) != "") & (text_or_empty(response) != ""), whole).otherwise(none())
+    """Pairs, then prompt and response, trimmed; a blank prompt or response gives nothing."""
+    p, r = strip(text_or_empty(prompt)), strip(text_or_empty(response))
+    whole = F.concat(past(history), F.array(message(USER, p), message(ASSISTANT, r)))
+    return F.when((p != "") & (r != ""), whole).otherwise(none())
+
+
+def variant(c: Column, role_field: str, content_field: str) -> Column:
+    """Messages whose fields have other names, such as from and value."""
+    return F.transform(c, lambda m: message(m[role_field], m[content_field].cast("string")))
+
+
+def of_record(schema: T.StructType) -> Column:
+    """The messages of a record in any of the usual forms: messages, else conversations (each with role and
+    content or from and value), else history, prompt and response; null where the record has none of them.
+
+    The forms are told from the schema; a null or empty sequence passes on to the next form.
+    """
+    found = []
+    for name in ("messages", "conversations"):
+        if name in schema.names:
+            fields = schema[name].dataType.elementType.names
+            c = F.col(name)
+            if "role" in fields and "content" in fields:
+                c = variant(c, "role", "content")
+            elif "from" in fields and "value" in fields:
+                c = variant(c, "from", "value")
+            else:
+                raise ValueError(f"{name} has neither role and content nor from and value")
+            found.append(F.when(F.size(c) > 0, c))
+    if "prompt" in schema.names and "response" in schema.names:
+        history = F.col("history") if "history" in schema.names else F.lit(None).cast("array<array<string>>")
+        found.append(from_history(history, F.col("prompt"), F.col("response")))
+    return F.coalesce(*found) if found else F.lit(None).cast(f"array<{MESSAGE}>")
 
 
 def last_pairs(history: Column, limit: int, clean) -> Column:
@@ -132,10 +170,41 @@ def turns(c: Column, system: Column) -> Column:
 
 
 def generation_prompt(c: Column, system: Column) -> Column:
-    """All messages rendered, open for the assistant."""
-    body = F.array_join(F.transform(c, lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["content"], F.lit(f"{STOP}\n"))), "")
-    lead = F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.lit(f"{START}system\n"), system, F.lit(f"{STOP}\n"))).otherwise("")
-    return F.concat(lead, body, F.lit(f"{START}assistant\n"))
+    """Messages rendered, open for the assistant; the system text stands before the first user.
+
+    Every user message opens a turn, an assistant message closes the open one; an assistant message
+    without an open turn is left out, a sequence without users gives ''.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("open"), F.lit(True).alias("first"))
+    opened = lambda a: F.concat(a["text"], user_segment(a["open"], F.when(a["first"], system)))
+
+    def step(a: Column, m: Column) -> Column:
+        waits = a["open"].isNotNull()
+        asks = F.struct(F.when(waits, opened(a)).otherwise(a["text"]).alias("text"), m["content"].alias("open"), (a["first"] & ~waits).alias("first"))
+        ends = F.struct(F.concat(opened(a), assistant_segment(m["content"])).alias("text"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("first"))
+        return F.when(m["role"] == USER, asks).when((m["role"] == ASSISTANT) & waits, ends).otherwise(a)
+
+    return F.aggregate(c, start, step, lambda a: F.when(a["open"].isNotNull(), opened(a)).otherwise(a["text"]))
+
+
+def record_prompt(schema: T.StructType, default_system: str = "") -> Column:
+    """The prompt of a record in any of the usual forms: messages or conversations, else query and context,
+    else history and prompt. A column system goes before *default_system*."""
+    own = strip(text_or_empty(F.col("system"))) if "system" in schema.names else F.lit("")
+    base = F.when(own != "", own).otherwise(F.lit(default_system))
+    forms = [n for n in ("messages", "conversations") if n in schema.names]
+    tried = F.lit(None).cast("string")
+    if forms:
+        c = of_record(T.StructType([schema[n] for n in forms]))
+        tried = F.when(c.isNotNull(), generation_prompt(for_generation(c), F.coalesce(system_of(c), base)))
+    if "query" in schema.names:
+        query = strip(text_or_empty(F.col("query")))
+        context = strip(text_or_empty(F.col("context"))) if "context" in schema.names else F.lit("")
+        asked = F.when(context != "", F.concat(F.lit("用户问题："), query, F.lit("\n业务背景："), context)).otherwise(query)
+        return F.coalesce(tried, user_segment(asked, base))
+    prompt = strip(text_or_empty(F.col("prompt"))) if "prompt" in schema.names else F.lit("")
+    before = past(F.col("history")) if "history" in schema.names else none()
+    return F.coalesce(tried, generation_prompt(F.concat(before, F.filter(F.array(message(USER, prompt)), lambda m: m["content"] != "")), base))
 
 
 def two_role_prompt(c: Column) -> Column:
@@ -145,17 +214,19 @@ def two_role_prompt(c: Column) -> Column:
 
 
 def role_fault(c: Column) -> Column:
-    """Why a sequence is not user, assistant, ... with texts; null if it is.
+    """Why a sequence is not user, assistant, ... with texts, ending with the assistant; null if it is.
 
-    An odd length is a fault of its last position.
+    A null sequence, a null message and a last message of the user are faults too.
     """
     checked = F.transform(
         F.coalesce(c, none()),
-        lambda m, i: F.when(F.coalesce(m["role"], F.lit("")) != F.when(i % 2 == 0, USER).otherwise(ASSISTANT), F.concat(F.lit("bad_role_at_"), i)).when(strip(text_or_empty(m["content"])) == "", F.concat(F.lit("empty_content_at_"), i)),
+        lambda m, i: F.when(m.isNull(), "bad_message_item")
+        .when(F.coalesce(m["role"], F.lit("")) != F.when(i % 2 == 0, USER).otherwise(ASSISTANT), F.concat(F.lit("bad_role_at_"), i))
+        .when(strip(text_or_empty(m["content"])) == "", F.concat(F.lit("empty_content_at_"), i)),
     )
     first = F.try_element_at(F.filter(checked, lambda x: x.isNotNull()), F.lit(1))
     size = F.size(F.coalesce(c, none()))
-    return F.when(size == 0, "empty_final_reply").when(first.isNotNull(), first).when(size % 2 == 1, F.concat(F.lit("bad_role_at_"), size - 1))
+    return F.when(c.isNull(), "bad_messages_type").when(size == 0, "empty_final_reply").when(first.isNotNull(), first).when(size % 2 == 1, F.concat(F.lit("bad_role_at_"), size - 1))
 
 
 def budget(source: Column, target: Column, room: Column) -> Column:
@@ -172,13 +243,15 @@ def codes(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
 
 
-def masked_tokens(t: Column, limit: int, last_only: bool = False) -> Column:
+def masked_tokens(t: Column, limit: int, last_only: bool = False, train_on_prompt: bool = False, tokenizer: Callable[[Column], Column] = codes) -> Column:
     """struct(input_ids, labels, truncated) of (source, target) turns.
 
-    Each turn takes what room is left, the target first; source labels are -100. With *last_only*
-    turns are taken from the last backwards and only the last target keeps its labels.
+    Each turn takes what room is left, the target first; source labels are -100 unless
+    *train_on_prompt*. With *last_only* turns are taken from the last backwards and only the last target
+    keeps its labels. A sample without tokens or without a visible label is rejected: its ids and labels
+    are null. *tokenizer* maps a text column to an array of ids.
     """
-    coded = F.transform(F.reverse(t) if last_only else t, lambda turn: F.struct(codes(turn["source"]).alias("s"), codes(turn["target"]).alias("g")))
+    coded = F.transform(F.reverse(t) if last_only else t, lambda turn: F.struct(tokenizer(turn["source"]).alias("s"), tokenizer(turn["target"]).alias("g")))
     start = F.struct(F.array().cast("array<int>").alias("ids"), F.array().cast("array<int>").alias("labels"), F.lit(False).alias("cut"), F.lit(0).alias("n"))
 
     def step(acc: Column, turn: Column) -> Column:
@@ -189,7 +262,7 @@ def masked_tokens(t: Column, limit: int, last_only: bool = False) -> Column:
             kept_s = F.slice(s, F.size(s) - keep["source"] + 1, keep["source"])
             kept_t = F.slice(g, F.lit(1), keep["target"])
             shown = F.when(acc["n"] > 0, F.array_repeat(F.lit(-100), keep["target"])).otherwise(kept_t) if last_only else kept_t
-            both, marks = F.concat(kept_s, kept_t), F.concat(F.array_repeat(F.lit(-100), keep["source"]), shown)
+            both, marks = F.concat(kept_s, kept_t), F.concat(kept_s if train_on_prompt else F.array_repeat(F.lit(-100), keep["source"]), shown)
             cut = acc["cut"] | (room <= 0) | (keep["source"] < F.size(s)) | (keep["target"] < F.size(g))
             return F.struct(
                 (F.concat(both, acc["ids"]) if last_only else F.concat(acc["ids"], both)).alias("ids"),
@@ -200,4 +273,8 @@ def masked_tokens(t: Column, limit: int, last_only: bool = False) -> Column:
 
         return bind(budget(F.size(s), F.size(g), room), join)
 
-    return bind(F.aggregate(coded, start, step), lambda d: F.struct(d["ids"].alias("input_ids"), d["labels"].alias("labels"), d["cut"].alias("truncated")))
+    def finished(d: Column) -> Column:
+        usable = F.exists(d["labels"], lambda x: x != -100)
+        return F.struct(F.when(usable, d["ids"]).alias("input_ids"), F.when(usable, d["labels"]).alias("labels"), d["cut"].alias("truncated"))
+
+    return bind(F.aggregate(coded, start, step), finished)

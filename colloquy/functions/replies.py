@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, text_or_empty
+from .text import bind, strip, text_or_empty
 
 # The markers that end a generation, in the order in which they are cut.
 END_MARKERS = ("<|im_end|>", "<|endoftext|>", "<|im_start|>")
-_QUOTES = "[\"'“”‘’「」\\s]+"
+# What is stripped from both ends of a cleaned reply.
+EDGES = " \\n\\t\"'“”"
 
 
 def cut_generation(c: Column) -> Column:
@@ -26,24 +27,24 @@ def intent_of(c: Column) -> Column:
 
 
 def reply_of(c: Column) -> Column:
-    """The reply of a two-line reply; the whole text if it has no reply line."""
-    found = strip(F.regexp_extract(text_or_empty(c), r"(?s)回复[:：]\s*(.+)", 1))
-    return F.when(found != "", found).otherwise(strip(text_or_empty(c)))
+    """The reply of a two-line reply; null if it has no reply line."""
+    return F.nullif(strip(F.regexp_extract(text_or_empty(c), r"(?s)回复[:：]\s*(.+)", 1)), F.lit(""))
 
 
 def split_generated(response: Column, intent: Column, reply: Column) -> Column:
-    """struct(intent, reply): given fields first, else parsed from the response."""
-    return F.struct(
-        F.coalesce(F.nullif(strip(text_or_empty(intent)), F.lit("")), intent_of(response)).alias("intent"),
-        F.coalesce(F.nullif(strip(text_or_empty(reply)), F.lit("")), reply_of(response)).alias("reply"),
-    )
+    """struct(intent, reply): given fields first, else parsed from the response; null where neither has it."""
+    given = lambda c, parsed: F.when(text_or_empty(c) != "", strip(text_or_empty(c))).otherwise(parsed(strip(text_or_empty(response))))
+    return F.struct(given(intent, intent_of).alias("intent"), given(reply, reply_of).alias("reply"))
 
 
 def clean_reply(c: Column) -> Column:
-    """The reply without its label lines and without quotes around it."""
-    out = reply_of(c)
-    out = F.regexp_replace(out, r"(?m)^分类[:：].*$\n?", "")
-    return F.regexp_replace(strip(out), f"^{_QUOTES}|{_QUOTES}$", "")
+    """The text behind a reply label, without one label line and one more reply label at its beginning and
+    without quotes and blanks around it; a text without labels stays."""
+    whole = strip(text_or_empty(c))
+    out = bind(whole, lambda x: F.coalesce(reply_of(x), x))
+    out = strip(F.regexp_replace(out, r"(?s)^分类[:：].*?(?:\n|$)", ""))
+    out = strip(F.regexp_replace(out, r"^回复[:：]\s*", ""))
+    return F.regexp_replace(out, f"^[{EDGES}]+|[{EDGES}]+\\z", "")
 
 
 def lenient_json(c: Column, schema: str) -> Column:

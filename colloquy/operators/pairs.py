@@ -22,19 +22,15 @@ def usable(df: DataFrame) -> DataFrame:
     return rows.filter((c != "") & (r != "") & (c != r) & (text_or_empty(F.col("prompt")) != ""))
 
 
-def pair_fault(chosen: Column, rejected: Column, least_chosen: int = 20, least_rejected: int = 10, gap: int = 15) -> Column:
-    """Why a pair is not valid; null if it is."""
+def pair_fault(chosen: Column, rejected: Column, least_chosen: int = 20, least_rejected: int = 10, gap: int = 15, gap_name: str = "length_gap_too_large:") -> Column:
+    """Why a pair is not valid; null if it is. Too wide a gap is named with its length.
+
+    Augmented pairs are held to 15, 15, 25 and 'length_gap_'.
+    """
     c, r = strip(text_or_empty(chosen)), strip(text_or_empty(rejected))
-    return ladder(
-        [
-            (c == "", "empty_chosen"),
-            (r == "", "empty_rejected"),
-            (F.length(c) < least_chosen, "chosen_too_short"),
-            (F.length(r) < least_rejected, "rejected_too_short"),
-            (c == r, "identical"),
-            (F.abs(F.length(c) - F.length(r)) > gap, "length_gap"),
-        ]
-    )
+    wide = F.abs(F.length(c) - F.length(r))
+    short = ladder([(F.length(c) < least_chosen, "chosen_too_short"), (F.length(r) < least_rejected, "rejected_too_short"), (c == r, "chosen_equals_rejected")])
+    return F.coalesce(short, F.when(wide > gap, F.concat(F.lit(gap_name), wide.cast("string"))))
 
 
 def typed_counts(df: DataFrame, default: str = "too_generic") -> DataFrame:

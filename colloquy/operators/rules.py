@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
+from ..functions import replies as R
 from ..functions import text as T
 
 # The intents in their fixed order with their keywords.
@@ -39,7 +40,7 @@ PRIORITY = (
     (r"(改|修改|换).{0,6}(地址|收货|配送|派送|时间|电话|手机号)|拒收|自提|驿站", "物流-配送调整", 99),
 )
 # Patterns behind the quality flags of a reply.
-BOILERPLATE = r"有什么问题我可以帮您处理或解决呢|请问还有其他还可以帮到您的吗|请问您是咨询之前的问题还是有其他的问题需要处理呢|感谢您对.{1,6}的支持|请您稍等|马上为您查询|正在查看|您好[，,]?请问有什么可以帮"
+BOILERPLATE = r"有什么问题我可以帮您处理或解决呢|请问还有其他还可以帮到您的吗|请问您是咨询之前的问题还是有其他的问题需要处理呢|感谢您对京东的支持|请您稍等|马上为您查询|正在查看|您好[，,]?请问有什么可以帮"
 OVERPROMISE = r"已为您查询|马上为您查询|正在为您核实|我这边看到|我已经|已记录|一定|务必|立即|马上处理|专员跟进|优先处理|给您申请|帮您申请|仓库会|快递会|财务正在|拦截成功|免费更换|补偿您"
 PRIVATE = r"订单号|手机号|收货地址|身份证|银行卡|姓名|电话"
 CONFLICT = r"不能退.*可以退|可以退.*不能退|不支持.*支持|支持.*不支持|无法取消.*可以取消|可以取消.*无法取消|没有货.*有货|有货.*没有货"
@@ -114,7 +115,11 @@ class Gate:
 
 
 def quality(prompt: Column, response: Column, has_history: Column, label: Column, gate: Gate = Gate()) -> Column:
-    """struct(reason, flags): why a row is dropped, and the flags raised before that point."""
+    """struct(reason, flags): why a row is dropped, and the flags raised before that point.
+
+    There is no flag for a cut history: histories are cut to the permitted turns before a row gets here, so
+    it could never be raised.
+    """
     keys = F.struct(T.loose_key(prompt).alias("pk"), T.loose_key(response).alias("rk"), label.alias("label"))
     prompt, response = T.text_or_empty(prompt), T.text_or_empty(response)
 
@@ -157,17 +162,22 @@ def quality(prompt: Column, response: Column, has_history: Column, label: Column
     return T.bind(keys, gated)
 
 
-def record_fault(label: Column, messages: Column, final: Column, domain: list[str]) -> Column:
-    """Why a rewritten record is rejected; null if it is accepted: label, roles and contents, leaks in
-    the final message."""
-    outside = ~label.isin(*domain)
+def record_fault(label: Column, messages: Column, domain: list[str]) -> Column:
+    """Why a rewritten record is rejected; null if it is accepted: label, types, roles and contents, an empty
+    final reply, leaks in any message. The final reply is cleaned before it is looked at."""
+    name = T.strip(T.text_or_empty(label))
+    outside = ~name.isin(*domain)
     fault = M.role_fault(messages)
-    return (
-        F.when(outside, F.concat(F.lit("invalid_scenario:"), label))
-        .when(fault.isNotNull(), fault)
-        .when(final.rlike(T.PLACEHOLDER), "placeholder_leak")
-        .when(final.rlike(T.LONG_DIGITS), "long_digit_leak")
-    )
+    size = F.size(messages)
+    final = R.clean_reply(F.try_element_at(messages, F.lit(-1))["content"])
+
+    def judged(x: Column) -> Column:
+        earlier = F.transform(F.slice(messages, 1, F.greatest(size - 1, F.lit(0))), lambda m: T.strip(T.text_or_empty(m["content"])))
+        text = F.array_join(F.concat(earlier, F.array(x)), "\n")
+        leaks = T.bind(text, lambda t: F.when(t.rlike(T.PLACEHOLDER), "placeholder_leak").when(t.rlike(T.LONG_DIGITS), "long_digit_leak"))
+        return F.when(outside, F.concat(F.lit("invalid_scenario:"), name)).when(fault.isNotNull(), fault).when(x == "", "empty_final_reply").otherwise(leaks)
+
+    return T.bind(F.coalesce(final, F.lit("")), judged)
 
 
 def substantive(response: Column, least: int = 18) -> Column:

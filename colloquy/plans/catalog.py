@@ -149,12 +149,13 @@ def rule_classify(spark: SparkSession, d: str) -> DataFrame:
     return classified(spark, d).select("id", "hit.label", F.col("hit.score").cast("long").alias("score"))
 
 
-_STUTTER = """exists (select 1 from (select unnest(range(1, length(k) + 1)) as i) a, (select unnest(range(1, 25)) as w) b
- where (w >= 3 and substr(k, i, w) = substr(k, i + w, w) and substr(k, i, w) = substr(k, i + 2 * w, w) and i + 3 * w - 1 <= length(k))
- or (w <= 2 and i + 6 * w - 1 <= length(k) and repeat(substr(k, i, w), 6) = substr(k, i, 6 * w)))"""
+def sql_stutter(k: str) -> str:
+    return f"""exists (select 1 from (select unnest(range(1, length({k}) + 1)) as i) a, (select unnest(range(1, 25)) as w) b
+ where (w >= 3 and substr({k}, i, w) = substr({k}, i + w, w) and substr({k}, i, w) = substr({k}, i + 2 * w, w) and i + 3 * w - 1 <= length({k}))
+ or (w <= 2 and i + 6 * w - 1 <= length({k}) and repeat(substr({k}, i, w), 6) = substr({k}, i, 6 * w)))"""
 
 
-@query(f"select id, {_STUTTER} as stutters from (select id, {sql_key('prompt')} as k from dpo_preference_pairs)")
+@query(f"select id, {sql_stutter('k')} as stutters from (select id, {sql_key('prompt')} as k from dpo_preference_pairs)")
 def stutter_detect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dpo_preference_pairs").select("id", T.stutters(F.col("prompt")).alias("stutters"))
 
@@ -164,8 +165,9 @@ def _quality_sql(tail: str) -> str:
     both = lambda pattern: f"(regexp_matches(p, {quoted(pattern)}) or regexp_matches(r, {quoted(pattern)}))"
     return (
         CLASSIFY_SQL
-        + f""", steps as (select d.*, coalesce(hit.label, 'unknown') as label, {lp} as lp, {lr} as lr, len(s.messages) as m from done d join (select row_number() over () as rid, messages from sft_train) s using (rid)),
- gate as (select *, case when p = '' or r = '' then 'empty_prompt_or_response' when lp < 2 then 'too_short_prompt' when lr < 6 then 'too_short_reply_hard' when lr > 600 then 'too_long_reply_hard' end as reason from steps),
+        + f""", steps as (select d.*, coalesce(hit.label, 'unknown') as label, {lp} as lp, {lr} as lr, {sql_key('p')} as kp, {sql_key('r')} as kr, len(s.messages) as m from done d join (select row_number() over () as rid, messages from sft_train) s using (rid)),
+ stuck as (select *, {sql_stutter('kp')} or {sql_stutter('kr')} as stutters from steps),
+ gate as (select *, case when p = '' or r = '' then 'empty_prompt_or_response' when lp < 2 then 'too_short_prompt' when lr < 6 then 'too_short_reply_hard' when lr > 600 then 'too_long_reply_hard' end as reason from stuck),
  flagged as (select *, list_filter([
   case when not (p = '' or r = '') and label = 'unknown' then 'unknown_intent' end,
   case when not (p = '' or r = '' or lp < 2 or lr < 6) and lr < 15 then 'short_reply_rewrite' end,
@@ -176,6 +178,7 @@ def _quality_sql(tail: str) -> str:
   case when reason is null and regexp_matches(r, {quoted(rules.OVERPROMISE)}) then 'overpromise_rewrite' end,
   case when reason is null and regexp_matches(r, {quoted(rules.PRIVATE)}) then 'privacy_or_private_info_rewrite' end,
   case when reason is null and regexp_matches({sql_key('r')}, {quoted(rules.CONFLICT)}) then 'possible_conflict_rewrite' end,
+  case when reason is null and stutters then 'stutter_rewrite' end,
   case when reason is null and m > 2 then 'has_history' end], lambda x: x is not null) as flags from gate)
 """
         + tail
@@ -466,6 +469,45 @@ def normalize_messages(spark: SparkSession, d: str) -> DataFrame:
     return train(spark, d).select("id", m.alias("m")).select("id", F.size("m").cast("long").alias("n"), dialogue.rendered(F.col("m")).alias("text"))
 
 
+@query(FOLD_SQL + "select r.id, coalesce(u.n, 0)::bigint as n, coalesce(u.text, '') as text from r left join u using (rid)")
+def message_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The same messages told as conversations with from and value in a third of the records, as history,
+    prompt and response in another; read back from whichever form a record has."""
+    rows = train(spark, d).select("id", M.normalized(F.col("messages")).alias("m")).withColumn("kind", F.pmod(F.xxhash64("id"), F.lit(3)))
+    pairs_of = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("m") / 2).cast("int") - 2, F.lit(0))), lambda i: F.array(F.get("m", 2 * i)["content"], F.get("m", 2 * i + 1)["content"]))
+    told = rows.select(
+        "id",
+        F.when(F.col("kind") == 0, F.col("m")).alias("messages"),
+        F.when(F.col("kind") == 1, F.transform("m", lambda x: F.struct(F.when(x["role"] == M.USER, "human").otherwise("gpt").alias("from"), x["content"].alias("value")))).alias("conversations"),
+        F.when((F.col("kind") == 2) & (F.size("m") > 2), pairs_of).alias("history"),
+        F.when(F.col("kind") == 2, F.try_element_at("m", F.lit(-2))["content"]).alias("prompt"),
+        F.when(F.col("kind") == 2, F.try_element_at("m", F.lit(-1))["content"]).alias("response"),
+    )
+    m = M.normalized(M.of_record(told.schema))
+    return told.select("id", m.alias("m")).select("id", F.size("m").cast("long").alias("n"), dialogue.rendered(F.col("m")).alias("text"))
+
+
+_PAST_SQL = f"list_filter(coalesce(history, []), lambda p: len(p) = 2 and {sql_strip("coalesce(p[1], '')")} <> '' and {sql_strip("coalesce(p[2], '')")} <> '')"
+
+
+@query(f"""with x as (select id, {_PAST_SQL} as h, {sql_strip("coalesce(prompt, '')")} as p, {sql_strip("coalesce(generated_reply, '')")} as r from post_train_test_generations)
+select id, case when p = '' or r = '' then '' else array_to_string(list_concat(list_transform(h, lambda q: '[user] ' || {sql_strip('q[1]')} || chr(10) || '[assistant] ' || {sql_strip('q[2]')}), ['[user] ' || p, '[assistant] ' || r]), chr(10)) end as text from x""")
+def history_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = M.from_history(F.col("history"), F.col("prompt"), F.col("generated_reply"))
+    return table(spark, d, "post_train_test_generations").select("id", dialogue.rendered(m).alias("text"))
+
+
+_USER_SQL = "'<|im_start|>user' || chr(10) || {} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+@query(f"""with x as (select id, {_PAST_SQL} as h, {sql_strip("coalesce(prompt, '')")} as p from post_train_test_generations)
+select id, case when len(h) > 0 or p <> '' then '<|im_start|>system' || chr(10) || 'S' || '<|im_end|>' || chr(10) else '' end
+ || array_to_string(list_transform(h, lambda q: {_USER_SQL.format(sql_strip('q[1]'))} || {sql_strip('q[2]')} || '<|im_end|>' || chr(10)), '') || case when p = '' then '' else {_USER_SQL.format('p')} end as text from x""")
+def record_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "post_train_test_generations").select("id", "history", "prompt")
+    return rows.select("id", M.record_prompt(rows.schema, "S").alias("text"))
+
+
 def _join_sql(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda m: '[' || coalesce(m.role, '') || '] ' || coalesce(m.content, '')), chr(10))"
 
@@ -544,7 +586,7 @@ def pad_widths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with r as (select row_number() over () as rid, id, messages from sft_dev), m as (select rid, unnest(messages) as m, unnest(range(0, len(messages))) as i from r),
  f as (select rid, i, case when coalesce(m.role, '') <> case when i % 2 = 0 then 'user' else 'assistant' end then 'bad_role_at_' || i when {sql_strip("coalesce(m.content, '')")} = '' then 'empty_content_at_' || i end as fault from m)
-select id, case when len(messages) = 0 or messages is null then 'empty_final_reply' else coalesce((select first(fault order by i) from f where f.rid = r.rid and fault is not null), case when len(messages) % 2 = 1 then 'bad_role_at_' || (len(messages) - 1) end) end as fault from r""")
+select id, case when messages is null then 'bad_messages_type' when len(messages) = 0 then 'empty_final_reply' else coalesce((select first(fault order by i) from f where f.rid = r.rid and fault is not null), case when len(messages) % 2 = 1 then 'bad_role_at_' || (len(messages) - 1) end) end as fault from r""")
 def role_faults(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_dev").select("id", M.role_fault(F.col("messages")).alias("fault"))
 
@@ -564,14 +606,14 @@ _WHOLE = sql_strip("coalesce(generated_response, '')")
 _REPLY_OF = sql_strip(r"regexp_extract(coalesce(generated_response, ''), '(?s)回复[:：]\s*(.+)', 1)")
 
 
-@query(f"select id, nullif({_INTENT_OF}, '') as intent, case when {_REPLY_OF} <> '' then {_REPLY_OF} else {_WHOLE} end as reply from post_train_test_generations")
+@query(f"select id, nullif({_INTENT_OF}, '') as intent, nullif({_REPLY_OF}, '') as reply from post_train_test_generations")
 def parse_reply(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("generated_response")
     return table(spark, d, "post_train_test_generations").select("id", R.intent_of(c).alias("intent"), R.reply_of(c).alias("reply"))
 
 
-@query(f"""select id, coalesce(nullif({sql_strip("coalesce(generated_intent, '')")}, ''), nullif({_INTENT_OF}, '')) as intent,
- coalesce(nullif({sql_strip("coalesce(generated_reply, '')")}, ''), case when {_REPLY_OF} <> '' then {_REPLY_OF} else {sql_strip("coalesce(generated_response, '')")} end) as reply from post_train_test_generations""")
+@query(f"""select id, case when coalesce(generated_intent, '') <> '' then {sql_strip('generated_intent')} else nullif({_INTENT_OF}, '') end as intent,
+ case when coalesce(generated_reply, '') <> '' then {sql_strip('generated_reply')} else nullif({_REPLY_OF}, '') end as reply from post_train_test_generations""")
 def split_generated(spark: SparkSession, d: str) -> DataFrame:
     s = R.split_generated(F.col("generated_response"), F.col("generated_intent"), F.col("generated_reply"))
     return table(spark, d, "post_train_test_generations").select("id", s.alias("s")).select("id", "s.intent", "s.reply")
@@ -583,26 +625,38 @@ def lenient_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", R.lenient_json(wrapped, "k int")["k"].alias("k"))
 
 
-_QUOTES = "[\"''“”‘’「」\\s\\x0b\\p{Z}]+"
-_CLEANED = f"regexp_replace(case when {_REPLY_OF} <> '' then {_REPLY_OF} else {_WHOLE} end, '(?m)^分类[:：].*$\\n?', '', 'g')"
+_EDGES = "[ \\n\\t\"''“”]+"
+
+
+def sql_clean_reply(x: str) -> str:
+    whole = sql_strip(f"coalesce({x}, '')")
+    found = sql_strip(f"regexp_extract({whole}, '(?s)回复[:：]\\s*(.+)', 1)")
+    one = sql_strip(f"regexp_replace(coalesce(nullif({found}, ''), {whole}), '(?s)^分类[:：].*?(?:\\n|$)', '')")
+    two = sql_strip(f"regexp_replace({one}, '^回复[:：]\\s*', '')")
+    return f"regexp_replace({two}, '^{_EDGES}|{_EDGES}$', '', 'g')"
 
 
-@query(f"select id, regexp_replace({sql_strip(_CLEANED)}, '^{_QUOTES}|{_QUOTES}$', '', 'g') as reply from post_train_test_generations")
+_WRAPPED = ("generated_response", "chr(10) || '分类：甲' || chr(10) || coalesce(generated_reply, '')", "'回复：分类：乙' || chr(10) || '回复：“' || coalesce(generated_reply, '') || '”'")
+
+
+@query("select id, " + ", ".join(f"{sql_clean_reply(x)} as reply{n}" for n, x in enumerate(_WRAPPED)) + " from post_train_test_generations")
 def clean_reply(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "post_train_test_generations").select("id", R.clean_reply(F.col("generated_response")).alias("reply"))
+    """The response as it is, and the reply behind a label line and inside labels and quotes."""
+    said = T.text_or_empty(F.col("generated_reply"))
+    forms = (F.col("generated_response"), F.concat(F.lit("\n分类：甲\n"), said), F.concat(F.lit("回复：分类：乙\n回复：“"), said, F.lit("”")))
+    return table(spark, d, "post_train_test_generations").select("id", *[R.clean_reply(c).alias(f"reply{n}") for n, c in enumerate(forms)])
 
 
 _DOMAIN = ", ".join(quoted(k) for k in rules.INTENTS)
 
 
-@query(f"""with r as (select row_number() over () as rid, id, {sql_intent()} as s, messages, coalesce(messages[-1].content, '') as last from sft_train), m as (select rid, unnest(messages) as m, unnest(range(0, len(messages))) as i from r),
+@query(f"""with r as (select row_number() over () as rid, id, {sql_strip(sql_intent())} as s, messages, {sql_clean_reply('messages[-1].content')} as last from sft_train), m as (select rid, unnest(messages) as m, unnest(range(0, len(messages))) as i from r),
  f as (select rid, first(fault order by i) as fault from (select rid, i, case when coalesce(m.role, '') <> case when i % 2 = 0 then 'user' else 'assistant' end then 'bad_role_at_' || i when {sql_strip("coalesce(m.content, '')")} = '' then 'empty_content_at_' || i end as fault from m) where fault is not null group by rid)
-select id, case when s not in ({_DOMAIN}) then 'invalid_scenario:' || s when messages is null or len(messages) = 0 then 'empty_final_reply' when fault is not null then fault
- when len(messages) % 2 = 1 then 'bad_role_at_' || (len(messages) - 1) when regexp_matches(last, '\\[[^\\]]+\\]') then 'placeholder_leak' when regexp_matches(last, '[\\p{{Nd}}]{{8,}}') then 'long_digit_leak' end as fault from r left join f using (rid)""")
+select id, case when s not in ({_DOMAIN}) then 'invalid_scenario:' || s when messages is null then 'bad_messages_type' when len(messages) = 0 then 'empty_final_reply' when fault is not null then fault
+ when len(messages) % 2 = 1 then 'bad_role_at_' || (len(messages) - 1) when last = '' then 'empty_final_reply' when regexp_matches(every, '\\[[^\\]]+\\]') then 'placeholder_leak' when regexp_matches(every, '[\\p{{Nd}}]{{8,}}') then 'long_digit_leak' end as fault
+ from (select *, array_to_string(list_append(list_transform(list_slice(messages, 1, len(messages) - 1), lambda m: {sql_strip("coalesce(m.content, '')")}), last), chr(10)) as every from r) left join f using (rid)""")
 def record_validate(spark: SparkSession, d: str) -> DataFrame:
-    last = T.text_or_empty(F.try_element_at("messages", F.lit(-1))["content"])
-    fault = rules.record_fault(intent(), F.col("messages"), last, list(rules.INTENTS))
-    return train(spark, d).select("id", fault.alias("fault"))
+    return train(spark, d).select("id", rules.record_fault(intent(), F.col("messages"), list(rules.INTENTS)).alias("fault"))
 
 
 @query(f"select {sql_intent()} as intent, count(*)::bigint as total, count(*) filter (where len(messages) > 2)::bigint as with_history, count(*) filter (where len(messages) <= 2)::bigint as single from sft_train group by 1")
@@ -616,7 +670,8 @@ def token_preview(spark: SparkSession, d: str) -> DataFrame:
     """Lengths and visible labels when only the last answer is trained on."""
     t = M.masked_tokens(M.turns(F.col("messages"), F.lit(None).cast("string")), _LIMIT, last_only=True)
     rows = table(spark, d, "sft_dev").select("id", t.alias("t"))
-    return rows.select("id", F.size("t.input_ids").cast("long").alias("n_ids"), F.size(F.filter("t.labels", lambda x: x != -100)).cast("long").alias("n_labels"))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return rows.select("id", n(F.col("t.input_ids")).alias("n_ids"), n(F.filter("t.labels", lambda x: x != -100)).alias("n_labels"))
 
 
 @query(f"""select g.id, '问题：' || coalesce(g.prompt, '') || chr(10) || case when len(coalesce(g.history, [])) > 0 then '历史：' || array_to_string(list_transform(g.history, lambda p: '用户：' || coalesce(p[1], '') || ' 客服：' || coalesce(p[2], '')), chr(10)) || chr(10) else '' end
@@ -641,7 +696,8 @@ def training_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIR = {"c": sql_strip("coalesce(chosen, '')"), "r": sql_strip("coalesce(rejected, '')")}
-_FAULT = "case when c = '' then 'empty_chosen' when r = '' then 'empty_rejected' when length(c) < 20 then 'chosen_too_short' when length(r) < 10 then 'rejected_too_short' when c = r then 'identical' when abs(length(c) - length(r)) > 15 then 'length_gap' end"
+_FAULT = "case when length(c) < {} then 'chosen_too_short' when length(r) < {} then 'rejected_too_short' when c = r then 'chosen_equals_rejected' when abs(length(c) - length(r)) > {} then '{}' || abs(length(c) - length(r)) end"
+_FAULT, _FAULT_AUGMENTED = _FAULT.format(20, 10, 15, "length_gap_too_large:"), _FAULT.format(15, 15, 25, "length_gap_")
 
 
 @query(f"with x as (select id, {_PAIR['c']} as c, {_PAIR['r']} as r from dpo_preference_pairs) select id, {_FAULT} as fault from x")
@@ -649,6 +705,12 @@ def pair_validate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dpo_preference_pairs").select("id", pairs.pair_fault(F.col("chosen"), F.col("rejected")).alias("fault"))
 
 
+@query(f"with x as (select id, {_PAIR['c']} as c, {_PAIR['r']} as r from dpo_preference_pairs where error_type is not null) select id, {_FAULT_AUGMENTED} as fault from x")
+def pair_validate_augmented(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "dpo_preference_pairs").filter("error_type is not null")
+    return rows.select("id", pairs.pair_fault(F.col("chosen"), F.col("rejected"), 15, 15, 25, "length_gap_").alias("fault"))
+
+
 @query(f"with x as (select coalesce(error_type, 'too_generic') as error_type, {_PAIR['c']} as c, {_PAIR['r']} as r from dpo_preference_pairs) select error_type, coalesce({_FAULT}, 'accepted') as verdict, count(*)::bigint as n from x group by 1, 2")
 def pair_tally(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "dpo_preference_pairs")

@@ -18,6 +18,7 @@ def build_session(app: str = "colloquy", cores: str = "*", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
@@ -49,14 +50,16 @@ def ship(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise *df* in the checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset a local session
+    (tests, a laptop) takes a temporary folder, any other is an error: its nodes share no such folder.
     """
     spark = df.sparkSession
     ship(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
     return df.checkpoint(eager=True)
 

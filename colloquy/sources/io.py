@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,22 +38,38 @@ def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
     return objects.select("source_index", F.from_json("item", schema_of(schema)).alias("r")).select("source_index", "r.*")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, missing: str = "error", strict: bool = False, limit: int | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, missing: str = "error", malformed: str = "error", limit: int | None = None) -> DataFrame:
     """JSON Lines with a fixed schema.
 
-    missing='empty' gives no rows for a path that does not exist; strict fails on a malformed line;
-    *limit* stops reading early.
+    missing='empty' gives no rows for a path that does not exist. A malformed line is an error
+    (:func:`bad_lines` names it) unless malformed='drop'. *limit* stops reading early.
     """
     if missing == "empty" and not path_exists(spark, path):
         return empty(spark, schema)
-    df = spark.read.schema(schema_of(schema)).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    df = spark.read.schema(schema_of(schema)).option("mode", "DROPMALFORMED" if malformed == "drop" else "FAILFAST").json(path)
     return df.limit(limit) if limit is not None else df
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """(file, line, text) of the lines that do not parse, for error messages."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return whole.filter((F.trim("text") != "") & (F.try_parse_json("text").isNull() | ~F.trim("text").startswith("{"))).select("file", (F.col("line") + 1).alias("line"), "text")
+    """(file, line, text) of the lines that are no JSON objects, for error messages.
+
+    Lines are read one by one, a file in as many blocks as tasks want; line numbers come from the counts of
+    the blocks before.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(*at, F.col("value").alias("text"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("before", F.coalesce(before, F.lit(0)))
+    bad = lines.filter((F.trim("text") != "") & (F.try_parse_json("text").isNull() | ~F.trim("text").startswith("{")))
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
+
+
+def read_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """One JSON document per file; a path that does not exist gives one row of nulls, to be filled by defaults."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([(None,) * len(schema_of(schema))], schema_of(schema))
+    return spark.read.schema(schema_of(schema)).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_first_filled(spark: SparkSession, paths: list[str], schema: str | T.StructType, fallback: DataFrame | None = None) -> DataFrame:

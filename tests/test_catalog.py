@@ -40,7 +40,7 @@ def test_entry(spark, small):
 
 
 def test_stutter_is_flagged_and_costs(spark, small, tmp_path):
-    """Against brute force on both texts of every row; the SQL of the two queries has no term for it."""
+    """Against brute force on both texts of every row."""
     rows = spark.read.parquet(f"{small}/sft_train.parquet")
     ids = [r["id"] for r in rows.select("id").distinct().orderBy("id").limit(20).collect()]
     said = F.concat(F.col("meta.source_prompt"), F.lit("什么时候到货" * 3))

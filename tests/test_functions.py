@@ -9,6 +9,7 @@ from colloquy.functions import messages as M
 from colloquy.functions import numbers as N
 from colloquy.functions import replies as R
 from colloquy.functions import text as T
+from colloquy.operators import metrics
 
 
 def one(spark, column, **values):
@@ -49,7 +50,28 @@ def test_reply_parsing(spark):
     assert one(spark, R.intent_of(F.col("t")), t=two) == "物流"
     assert one(spark, R.clean_reply(F.col("t")), t=two) == "好的，已处理"
     assert one(spark, R.intent_of(F.col("t")), t="只有正文") is None
-    assert one(spark, R.reply_of(F.col("t")), t="只有正文") == "只有正文"
+    assert one(spark, R.reply_of(F.col("t")), t="只有正文") is None
+    given = lambda t, i, r: tuple(spark.createDataFrame([(t, i, r)], "t string, i string, r string").select(R.split_generated(F.col("t"), F.col("i"), F.col("r")).alias("x")).first()[0])
+    assert given("只有正文", None, "") == (None, None) and given(two, None, None) == ("物流", "“好的，已处理”") and given(two, " 退款 ", "嗯") == ("退款", "嗯")
+
+
+@pytest.mark.parametrize(
+    "raw, clean",
+    [
+        ("分类：物流\n好的\n分类：不是标签", "好的\n分类：不是标签"),
+        ("回复：回复：好的", "好的"),
+        ("前言\n回复: 分类：甲\n  回复：\"好\"", "好"),
+        ("'「好」'", "「好」"),
+        ("分类：只有一行", ""),
+        ("正文\n分类：乙", "正文\n分类：乙"),
+        (None, ""),
+    ],
+)
+def test_clean_reply(spark, raw, clean):
+    assert one(spark, R.clean_reply(F.col("t")), t=raw) == clean
+
+
+def test_generated_text_is_cut(spark):
     assert one(spark, R.cut_generation(F.col("t")), t="<think>x</think> 答案<|im_end|>多余") == "答案"
 
 
@@ -82,7 +104,7 @@ def test_role_fault(spark):
     assert seq(spark, [("user", "a"), ("assistant", "b"), ("user", "c")], M.role_fault) == "bad_role_at_2"
     assert seq(spark, [("user", "a"), ("assistant", " ")], M.role_fault) == "empty_content_at_1"
     assert seq(spark, [("user", "a"), ("assistant", "b")], M.role_fault) is None
-    assert seq(spark, [], M.role_fault) == "empty_final_reply"
+    assert seq(spark, [], M.role_fault) == "empty_final_reply" and seq(spark, None, M.role_fault) == "bad_messages_type"
 
 
 def test_last_pairs_slices_before_it_filters(spark):
@@ -124,6 +146,40 @@ def test_masked_tokens(spark, limit, last_only):
     assert (list(got["input_ids"]), list(got["labels"]), got["truncated"]) == reference_mask(turns, limit, last_only)
 
 
+def test_masked_tokens_reject_and_plug(spark):
+    schema = "t array<struct<source:string,target:string>>"
+    df = spark.createDataFrame([([],), ([{"source": "ab", "target": ""}],), ([{"source": "ab", "target": "c"}],)], schema)
+    got = [r[0] for r in df.select(M.masked_tokens(F.col("t"), 5).alias("x")).collect()]
+    assert [g["input_ids"] is None and g["labels"] is None for g in got] == [True, True, False]
+    stats = metrics.token_stats(df.select(M.masked_tokens(F.col("t"), 5).alias("t")), "t").first()
+    assert (stats["total"], stats["usable"], stats["skipped"], stats["max_length"]) == (3, 1, 2, 3)
+    by_word = lambda c: F.transform(F.filter(F.split(c, " "), lambda w: w != ""), F.length)
+    words = spark.createDataFrame([([{"source": "one three", "target": "seven"}],)], schema)
+    got = words.select(M.masked_tokens(F.col("t"), 5, tokenizer=by_word, train_on_prompt=True).alias("x")).first()[0]
+    assert list(got["input_ids"]) == [3, 5, 5] == list(got["labels"])
+
+
+def test_record_forms(spark):
+    fv = "array<struct<from:string,value:string>>"
+    rows = [(None, [("human", "q"), ("gpt", "a")], None, "p", "r"), ([], None, [[" h ", "k"], ["only"], ["", "x"]], " p ", "r"), ([("user", "u"), ("assistant", "v")], [("human", "q")], None, None, None), (None, None, None, "p", " ")]
+    df = spark.createDataFrame(rows, f"messages array<{M.MESSAGE}>, conversations {fv}, history array<array<string>>, prompt string, response string")
+    got = [[tuple(m) for m in r[0]] for r in df.select(M.of_record(df.schema)).collect()]
+    assert got == [[("human", "q"), ("gpt", "a")], [("user", "h"), ("assistant", "k"), ("user", "p"), ("assistant", "r")], [("user", "u"), ("assistant", "v")], []]
+    with pytest.raises(ValueError):
+        M.of_record(spark.createDataFrame([], "messages array<struct<a:string>>").schema)
+
+
+def test_record_prompts(spark):
+    u = lambda s: f"<|im_start|>user\n{s}<|im_end|>\n<|im_start|>assistant\n"
+    two = [("user", "a"), ("user", "b"), ("assistant", "c"), ("assistant", "d"), ("user", "e")]
+    df = spark.createDataFrame([(two, "q", "k", None), (None, "q", " k ", "S"), ([], "q", "", "S")], f"messages array<{M.MESSAGE}>, query string, context string, system string")
+    got = [r[0] for r in df.select(M.record_prompt(df.schema)).collect()]
+    s = "<|im_start|>system\nS<|im_end|>\n"
+    assert got == [u("a") + u("b") + "c<|im_end|>\n" + u("e"), s + u("用户问题：q\n业务背景：k"), s + u("q")]
+    df = spark.createDataFrame([([["h", "k"]], "p"), (None, None)], "history array<array<string>>, prompt string")
+    assert [r[0] for r in df.select(M.record_prompt(df.schema)).collect()] == [u("h") + "k<|im_end|>\n" + u("p"), ""]
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 1.0)], "g string, r double")
     assert all(abs(r[0]) < 1e-9 for r in df.select(N.group_advantage(F.col("r"), "g")).collect())

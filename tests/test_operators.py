@@ -126,11 +126,40 @@ def test_gate_keeps_flags_up_to_the_exit(spark):
     assert got == [("too_long_reply_hard", ["unknown_intent"]), ("empty_prompt_or_response", []), (None, ["short_reply_rewrite", "has_history"])]
 
 
-@pytest.mark.parametrize("c, r, fault", [("a" * 30, "b" * 15, None), ("a" * 31, "b" * 15, "length_gap"), ("a" * 19, "b" * 15, "chosen_too_short"), (None, "b", "empty_chosen"), ("a" * 20, "a" * 20, "identical")])
+@pytest.mark.parametrize("c, r, fault", [("a" * 30, "b" * 15, None), ("a" * 31, "b" * 15, "length_gap_too_large:16"), ("a" * 19, "b" * 15, "chosen_too_short"), (None, "b", "chosen_too_short"), ("a" * 20, " ", "rejected_too_short"), ("a" * 20, "a" * 20, "chosen_equals_rejected")])
 def test_pair_fault(spark, c, r, fault):
     assert spark.createDataFrame([(c, r)], "c string, r string").select(pairs.pair_fault(F.col("c"), F.col("r"))).first()[0] == fault
 
 
+def test_augmented_pair_fault(spark):
+    df = spark.createDataFrame([("a" * 15, "b" * 15), ("a" * 14, "b" * 15), ("a" * 15, "b" * 14), ("a" * 41, "b" * 15)], "c string, r string")
+    got = [x[0] for x in df.select(pairs.pair_fault(F.col("c"), F.col("r"), 15, 15, 25, "length_gap_")).collect()]
+    assert got == [None, "chosen_too_short", "rejected_too_short", "length_gap_26"]
+
+
+@pytest.mark.parametrize(
+    "label, said, fault",
+    [
+        (" a ", ["q", "答"], None),
+        ("z", ["q", "答"], "invalid_scenario:z"),
+        ("a", None, "bad_messages_type"),
+        ("a", [], "empty_final_reply"),
+        ("a", ["q"], "bad_role_at_0"),
+        ("a", ["q", " "], "empty_content_at_1"),
+        ("a", ["q", "分类：物流"], "empty_final_reply"),
+        ("a", ["电话13800000000", "答"], "long_digit_leak"),
+        ("a", ["[商品]", "答"], "placeholder_leak"),
+        ("a", ["q", "分类：[x]\n回复：答"], None),
+    ],
+)
+def test_record_fault(spark, label, said, fault):
+    messages = None if said is None else [{"role": "user" if i % 2 == 0 else "assistant", "content": c} for i, c in enumerate(said)]
+    df = spark.createDataFrame([(label, messages)], "l string, m array<struct<role:string,content:string>>")
+    if fault == "bad_role_at_0":
+        df = df.withColumn("m", F.transform("m", lambda x: F.struct(F.lit("assistant").alias("role"), x["content"].alias("content"))))
+    assert df.select(rules.record_fault(F.col("l"), F.col("m"), ["a"])).first()[0] == fault
+
+
 def test_expand_turns(spark):
     m = [{"role": r, "content": str(n)} for n, r in enumerate(["user", "assistant", "user", "assistant"])]
     df = spark.createDataFrame([("1", m), ("2", []), ("3", None)], "id string, messages array<struct<role:string,content:string>>")
