@@ -77,10 +77,10 @@ _REST = r"(?:[ ,，]{0,2}[一-鿿]{0,6}? ?" + _NUM + r" ?(?:号楼|号|栋|幢|
 ADDRESS = re.compile(
     r"(?:路|街|大道|巷|弄|里|胡同|道) ?" + _NUM + r" ?(?:号|弄)" + _REST
     + r"|(?:小区|花园|公寓|新村|苑|家园|里|城|湾) ?" + _NUM + r" ?(?:号楼|栋|幢|座|楼)" + _REST
-    + r"|(?:小区|花园|公寓|新村|苑|家园|云上里) ?\d{1,3}-\d{1,4}(?:-\d{2,4})?(?!\d)"
+    + r"|(?:小区|花园|公寓|新村|苑|家园) ?\d{1,3}-\d{1,4}(?:-\d{2,4})?(?!\d)|里 ?\d{1,3}-(?:\d{1,3}-)?\d{3,4}(?!\d)"
 )
 _LEFT = re.compile(r"(?:[一-鿿]{2,8}[省市区县镇] ?){0,3}[一-鿿]{1,8}$")
-_LEAD = re.compile(r"^.*(?:住在|家在|家住|寄到|寄往|送到|送往|地址是|地址|改成|改为|登记的是|为您登|记的是|收货地|住)")
+_LEAD = re.compile(r"^.*(?:住在|家在|家住|寄到|寄往|送到|送往|地址是|地址|改成|改为|登记(?:的是|为|在)?|记(?:的是|为)|收货地|住)")
 ADDRESS_EN = re.compile(
     r"(?<![A-Za-z0-9])\d{1,5}[A-Za-z]? (?:[A-Z][\w'’\-]+ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way|Terrace|Place|Pl|Square|Close|Crescent|Row|Hill|Parkway|Alley|Walk|Mews|Quay)\b\.?"
     r"|(?<![A-Za-z])(?:[A-ZÄÖÜ][a-zäöüß]+[ \-])?[A-ZÄÖÜ][a-zäöüß]*(?:straße|strasse|str\.|weg|gasse|platz|allee) \d{1,4}[a-z]?\b"
@@ -104,9 +104,9 @@ _CUE = {
 _CODE = re.compile(r"(?:订单|单号|运单|快递单|工单|单子|退款单|退货单|返修单|售后单|会话|编号|批次|批号|序列号|货号|型号|款号|码|券|流水|凭证|单据|支付号|柜号|会员号|账号|账户|尾码|参考|详见|登记号|回执|受理号|文件名|热线|order|tracking|parcel|batch|case|code|voucher|serial|invoice|form|number|note|booking|ticket|ref|item)(?:里的|号|为|是|:|：|#|no\.?)*[ #]*[A-Za-z]*$", re.I)
 _AFTER = {
     "email": re.compile(r"^(?:是我的邮箱|这个邮箱|，请查收|，注意|>)"),
-    "phone": re.compile(r"^[，, ]*(?:到了打|打不通|别打|对吗|没错|就行|收|，[一-鿿]{2,5}[区市])"),
+    "phone": re.compile(r"^[，, ]*(?:到了打|打不通|别|对吗|没错|就行|收|，[一-鿿]{2,5}[区市])"),
     "id_number": re.compile(r"^[，, ]*(?:就行|对吗|已通过|需重传|需要重传|没错)"),
-    "address": re.compile(r"^[，, ]*(?:别放|就行|收|对吗|没错|[一-鿿]{2,4}[（(]?收)"),
+    "address": re.compile(r"^[，, ]*(?:别|就行|收|对吗|没错|[一-鿿]{2,4}[（(]?收)"),
     "name": re.compile(r"^(?:[，, ]*(?:住|家在|收|[（(]收|先生|女士|\+?\d[\d \-]{6,}|[一幺][" + _CN + r"]{6}|没错|[（(]?\+)| ?<)"),
 }
 
@@ -158,9 +158,8 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
             d = re.sub(r"[^\dXx]", "", s)
             if len(d) == 18:
                 good = _check_digit(d)
-                if not good and _CODE.search(text[max(0, a - 14) : a]) and not _CUE["id_number"].search(text[max(0, a - 8) : a]):
-                    continue
-                add("id_number", a, b, 1, int(good), -1, ["id18"])
+                named = not good and _CODE.search(text[max(0, a - 14) : a]) and not _CUE["id_number"].search(text[max(0, a - 8) : a])
+                add("id_number", a, b, 0 if named else 1, int(good), 0 if named else -1, ["id18"])
             else:
                 add("id_number", a, b, 1, 1, -1, ["ssn"])
             taken.append((a, b))
@@ -171,9 +170,8 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
             d = re.sub(r"\D", "", s)
             bare = s.isdigit()
             coded = _CODE.search(text[max(0, a - 14) : a]) and not re.search("号码|电话|手机", text[max(0, a - 6) : a])
-            if coded and (bare or len(d) == 7):
-                continue  # a code of the shop by its own name
-            add("phone", a, b, 1, -1, -1 if bare else 1, [f"d{len(d)}", "run" if bare else "cut"])
+            named = coded and (bare or len(d) == 7)  # a code of the shop by its own name
+            add("phone", a, b, 0 if named else 1, 0 if named else -1, 0 if named else (-1 if bare else 1), [f"d{len(d)}", "run" if bare else "cut", *(["named"] if named else [])])
     for m in PHONE_CN.finditer(text):
         add("phone", *m.span(), 1, -1, 1, ["d11", "words"])
     for m in PASSPORT.finditer(text):
@@ -183,14 +181,13 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
             add("id_number", *m.span(), 1, known, -1, ["pass"])
     for m in ADDRESS.finditer(text):
         left = _LEFT.search(text[max(0, m.start() - 30) : m.start()])
-        if not left:
-            continue
-        lead = _LEAD.search(left.group())
-        a, b = m.start() - len(left.group()) + (lead.end() if lead else 0), m.end()
+        lead = _LEAD.search(left.group()) if left else None
+        a, b = m.start() - (len(left.group()) if left else 0) + (lead.end() if lead else 0), m.end()
         s = text[a:b]
         rooms = len(re.findall(r"[号栋幢座楼室户弄]|单元|\d-\d", s))
         odd = 0 if re.search("订单|单号|批次|编号|型号|券|预计|发出|以内|工作日", s) else -1
-        add("address", a, b, 1, 1 if rooms >= 2 else -1, 1 if odd < 0 and re.search("[区市县]", s) else odd, [f"r{min(rooms, 3)}"])
+        shape = 1 if left else 0  # a street or an estate without a name
+        add("address", a, b, shape, shape and (1 if rooms >= 2 else -1), 1 if odd < 0 and re.search("[区市县]", s) else odd, [f"r{min(rooms, 3)}"])
     latin = _LATIN.search(text) is not None
     for m in ADDRESS_EN.finditer(text) if latin or "丁目" in text else ():
         add("address", *m.span(), 1, 1, 1, ["latin"])
@@ -205,17 +202,15 @@ def spans(raw: str) -> list[tuple[str, int, int, list[int], list[str]]]:
                 continue
             seen.add(a)
             given = s[2:] if s[:2] in COMPOUND else s[1:]
-            if s in _common_pairs() or s[-1] in "区市县镇村" or any(x < b and a < y for x, y in places):
-                continue
-            bad = any(c in NOT_GIVEN for c in given)
-            add("name", a, b, 0 if bad else 1, -1, 0 if bad else 1, [f"g{c}" for c in given] + [f"s{s[0]}", f"n{len(s)}", "zh"])
+            other = s in _common_pairs() or s[-1] in "区市县镇村" or any(x < b and a < y for x, y in places)
+            bad = other or any(c in NOT_GIVEN for c in given)
+            add("name", a, b, 0 if bad else 1, 0 if other else -1, 0 if bad else 1, [f"g{c}" for c in given] + [f"s{s[0]}", f"n{len(s)}", "zh", *(["other"] if other else [])])
     for m in NAME_LATIN.finditer(text) if latin else ():
         a, b = m.span()
         words = m.group().rstrip(".").split(" ")
-        if any(x - 2 <= b and a <= y + 2 for x, y in places):
-            continue
-        bad = any(w in _NOT_LATIN for w in words) or text[b : b + 1] == "-" or re.match(r" (?:[A-Z0-9\-]*\d|Road|Street|Lane|Avenue|Drive|Way)", text[b:])
-        add("name", a, b, 0 if bad else 1, -1, -1, ["latin"])
+        other = any(x - 2 <= b and a <= y + 2 for x, y in places)  # part of a street or a town
+        bad = other or any(w in _NOT_LATIN for w in words) or text[b : b + 1] == "-" or re.match(r" (?:[A-Z0-9\-]*\d|Road|Street|Lane|Avenue|Drive|Way)", text[b:])
+        add("name", a, b, 0 if bad else 1, 0 if other else -1, 0 if other else -1, ["latin", *(["other"] if other else [])])
     # neighbours: a span of another type within a few characters speaks for a name or an address
     spots = sorted((x[1], x[2], x[0]) for x in out)
     for x in out:
@@ -235,14 +230,14 @@ _NOT_LATIN = set(
 def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for rid, field, turn, text in zip(pdf["record_id"], pdf["field_name"], pdf["turn_no"], pdf["text"]):
+        for rid, field, turn, key, text in zip(pdf["record_id"], pdf["field_name"], pdf["turn_no"], pdf["text_key"], pdf["text"]):
             for kind, a, b, votes, features in spans(text):
-                rows.append((rid, field, turn, kind, a, b, votes, features))
+                rows.append((rid, field, turn, key, kind, a, b, votes, features))
         if rows:
-            yield pd.DataFrame(rows, columns=["record_id", "field_name", "turn_no", "pii_type", "start", "stop", "votes", "features"])
+            yield pd.DataFrame(rows, columns=["record_id", "field_name", "turn_no", "text_key", "pii_type", "start", "stop", "votes", "features"])
 
 
-_SPANS = "record_id string, field_name string, turn_no int, pii_type string, start int, stop int, votes array<int>, features array<string>"
+_SPANS = "record_id string, field_name string, turn_no int, text_key long, pii_type string, start int, stop int, votes array<int>, features array<string>"
 
 # Starting points of the expectation-maximisation: share of true spans, and per labeler how often a
 # vote agrees with the truth (shape, check, gazetteer, cue before, cue after, code, neighbour).
@@ -339,7 +334,7 @@ def _decide(model: Model, limit: float):
                 at = pdf.index.get_indexer(part)
                 votes = np.stack(pdf["votes"].to_numpy()[at])
                 score[at] = model.score(kind, votes, [list(f) for f in pdf["features"].to_numpy()[at]])
-            yield pdf.assign(score=score)[score >= limit][["record_id", "field_name", "turn_no", "pii_type", "start", "stop", "score"]]
+            yield pdf.assign(score=score)[score >= limit][["record_id", "field_name", "turn_no", "text_key", "pii_type", "start", "stop", "score"]]
 
     return run
 
@@ -366,30 +361,42 @@ def fit(proposed: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def find(texts: DataFrame, limit: float = 0.5) -> DataFrame:
-    """(record_id, field_name, turn_no, pii_type, start, stop, score) of the spans accepted."""
-    proposed = checkpoint(texts.mapInPandas(_propose, _SPANS))
+    """(record_id, field_name, turn_no, text_key, pii_type, start, stop, score) of the spans accepted;
+    text_key is a hash of the text they stand in."""
+    keyed = texts.withColumn("text_key", F.xxhash64("text"))
+    proposed = checkpoint(keyed.mapInPandas(_propose, _SPANS))
     model = fit(proposed)
-    return proposed.mapInPandas(_decide(model, limit), "record_id string, field_name string, turn_no int, pii_type string, start int, stop int, score double")
+    return proposed.mapInPandas(_decide(model, limit), "record_id string, field_name string, turn_no int, text_key long, pii_type string, start int, stop int, score double")
+
+
+def cut(text: str, found: list[tuple[int, int, str]]) -> str:
+    """The text with placeholders; spans that overlap are one, named after the longest of them."""
+    merged: list[list] = []  # start, stop, length of the longest, its type
+    for a, b, kind in sorted(found):
+        if merged and a < merged[-1][1]:
+            last = merged[-1]
+            last[1] = max(last[1], b)
+            if b - a > last[2]:
+                last[2:] = [b - a, kind]
+        else:
+            merged.append([a, b, b - a, kind])
+    parts, at = [], 0
+    for a, b, _, kind in merged:
+        parts += [text[at:a], PLACEHOLDERS[kind]]
+        at = b
+    return "".join(parts) + text[at:]
 
 
 def redact(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(record_id, field_name, turn_no, redacted): texts with typed placeholders, rest as it is."""
-    keys = ["record_id", "field_name", "turn_no"]
+    """(record_id, field_name, turn_no, redacted): texts with typed placeholders, rest as it is. Two
+    deliveries of a field with different texts give two rows, each cut by its own spans."""
+    keys = ["record_id", "field_name", "turn_no", "text_key"]
     cuts = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start", "stop", "pii_type"))).alias("cuts"))
-    rows = texts.dropDuplicates([*keys, "text"]).join(cuts, keys, "left")
+    rows = texts.withColumn("text_key", F.xxhash64("text")).dropDuplicates(keys).join(cuts, keys, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text, spans_ in zip(pdf["text"], pdf["cuts"]):
-                if spans_ is not None:
-                    parts, at = [], 0
-                    for s in spans_:
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], PLACEHOLDERS[s["pii_type"]]]
-                            at = s["stop"]
-                    text = "".join(parts) + text[at:]
-                out.append(text)
-            yield pdf[keys].assign(redacted=out)
-
-    return rows.mapInPandas(run, "record_id string, field_name string, turn_no int, redacted string")
+            out = [t if c is None else cut(t, [(x["start"], x["stop"], x["pii_type"]) for x in c]) for t, c in zip(pdf["text"], pdf["cuts"])]
+            yield pdf[keys[:3]].assign(redacted=out)
+
+    return rows.select(*keys, "text", "cuts").mapInPandas(run, "record_id string, field_name string, turn_no int, redacted string")

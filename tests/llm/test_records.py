@@ -131,6 +131,18 @@ def test_redaction_keeps_the_rest(spark):
     assert got == {"1": "请发到 [EMAIL]，电话[PHONE]。", "2": "没有什么"}
 
 
+def test_overlapping_spans_are_one():
+    assert pii.cut("0123456789abcdef!", [(0, 8, "phone"), (5, 15, "id_number")]) == "[ID_NUMBER]f!"
+    assert pii.cut("0123456789", [(2, 4, "name"), (4, 6, "phone"), (2, 4, "name")]) == "01[NAME][PHONE]6789"
+    assert pii.cut("abc", []) == "abc"
+
+
+def test_each_delivery_is_cut_by_its_own_spans(spark):
+    rows = [("1", "content", 0, "电话13800833020。"), ("1", "content", 0, "请发到 a.b@mail.example，电话13800833021。")]
+    df = spark.createDataFrame(rows, "record_id string, field_name string, turn_no int, text string")
+    assert sorted(r["redacted"] for r in pii.redact(df, pii.find(df)).collect()) == ["电话[PHONE]。", "请发到 [EMAIL]，电话[PHONE]。"]
+
+
 def test_fields_of_odd_records(spark):
     schema = "id string, meta struct<source_prompt:string,source_response:string>, messages array<struct<role:string,content:string>>"
     rows = [("1", ("p", None), [("user", "a"), ("assistant", None)]), ("2", None, None), (None, ("x", "y"), [])]
