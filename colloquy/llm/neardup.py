@@ -6,9 +6,11 @@ sketches are stored vertically, one big integer per bit plane with one bit per l
 offset d the planes are compared with themselves shifted by d, and all distances are updated at once
 with carry-save counters. A block is abandoned as soon as all its lanes exceed the radius.
 
-Exact copies are collapsed before any bucket is built (a class is a distinct folded text), so copies
-never meet in a bucket. Buckets with more than ``block`` classes are cut into groups and compared
-group against group in separate tasks; every pair is still compared.
+Exact copies are collapsed before any bucket is built (a class is a distinct folded text of a tag,
+named by 64 bits of its hash), so copies never meet in a bucket. Buckets with more than ``block``
+classes are cut into groups and compared group against group in separate tasks; every pair is still
+compared. Which buckets are that large is estimated from the lanes of every few classes: a bucket
+misjudged costs time, never a pair.
 
 Defined results: texts under three folded characters (null and empty ones too) have no
 3-sequences and belong to no class; rows with the same id count once; null ids are left out; extra
@@ -28,43 +30,42 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from . import common as C
 
-ROWS, BANDS, HASHES, SEED = 3, 24, 96, 5
+HASHES, SEED = 96, 5
 PLANES = 2 * HASHES
 RADIUS = 61  # 3.5 deviations above the mean distance at a similarity of 0.6
 BLOCK = 4096
 HOT_BROADCAST = 50_000
-_CLASS = "tag string, id string, cls long, cls2 long, sketch binary, keys array<int>"
+CROWDED, SALTS = 1000, 16  # members from which a class is spread over salts when ids are paired
+_CLASS = "tag string, id string, cls long, s0 long, s1 long, s2 long, keys array<long>"
 
 
-def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Class id, sketch and band keys of every text."""
-    for pdf in batches:
-        keep, sets, c1, c2 = [], [], [], []
-        for n, text in enumerate(pdf["text"]):
-            folded = C.fold(text)
-            if len(folded) < 3:
+def _class(tag: str, folded: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{tag}\0{folded}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _classes(rows: int, bands: int):
+    """Class, sketch and band keys of every text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            folded = C.fold_many(pdf["text"])
+            keep = [n for n, f in enumerate(folded) if len(f) >= 3]
+            if not keep:
                 continue
-            d = xxhash.xxh3_128_intdigest(folded.encode("utf-8", "surrogatepass"))
-            keep.append(n)
-            sets.append(C.grams3(folded))
-            c1.append((d >> 64) - (1 << 63))
-            c2.append((d & ((1 << 64) - 1)) - (1 << 63))
-        if not keep:
-            continue
-        sig = C.minhash_many(sets, HASHES, SEED)
-        keys = C.bands(sig[:, : ROWS * BANDS], ROWS)
-        bits = np.packbits(np.concatenate([sig & 1, (sig >> 1) & 1], axis=1).astype(np.uint8), axis=1)
-        part = pdf.iloc[keep]
-        yield pd.DataFrame(
-            {
-                "tag": part["tag"].to_numpy(),
-                "id": part["id"].to_numpy(),
-                "cls": np.array(c1, np.int64),
-                "cls2": np.array(c2, np.int64),
-                "sketch": [b.tobytes() for b in bits],
-                "keys": list((keys & 0xFFFFFFFF).astype(np.uint32).view(np.int32)),
-            }
-        )
+            sig = C.minhash_many([C.grams3(folded[n]) for n in keep], HASHES, SEED)
+            bits = np.packbits(np.concatenate([sig & 1, (sig >> 1) & 1], axis=1).astype(np.uint8), axis=1).view(np.int64)
+            part = pdf.iloc[keep]
+            yield pd.DataFrame(
+                {
+                    "tag": part["tag"].to_numpy(),
+                    "id": part["id"].to_numpy(),
+                    "cls": np.array([_class(t, folded[n]) for t, n in zip(part["tag"], keep)], np.int64),
+                    **{f"s{n}": bits[:, n] for n in range(3)},
+                    "keys": list(C.bands(sig[:, : rows * bands], rows)),
+                }
+            )
+
+    return run
 
 
 def _planes(sketches: np.ndarray) -> list[int]:
@@ -128,7 +129,7 @@ def _compare(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
     cls = pdf["cls"].to_numpy()
     run = np.concatenate(([0], np.cumsum((np.diff(pdf["key"].to_numpy()) != 0) | (np.diff(pdf["cell"].to_numpy()) != 0)))).astype(np.int64)
     side = pdf["side"].to_numpy()
-    sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), PLANES // 8)
+    sk = np.ascontiguousarray(pdf[["s0", "s1", "s2"]].to_numpy(np.int64)).view(np.uint8)
     longest = np.bincount(run)
     order = np.argsort(longest[run], kind="stable")  # runs of like length side by side: few idle lanes
     cls, run, side, sk = cls[order], run[order], side[order], sk[order]
@@ -196,7 +197,7 @@ def _verify(threshold: float):
             for n, (ta, tb) in enumerate(zip(pdf["text_a"], pdf["text_b"])):
                 for t in (ta, tb):
                     if t not in cache:
-                        cache[t] = C.grams3(C.fold(t))
+                        cache[t] = C.grams3(t)
                 x, y = cache[ta], cache[tb]
                 k = C.common(x, y)
                 sim[n] = k / (x.size + y.size - k)
@@ -206,6 +207,12 @@ def _verify(threshold: float):
     return run
 
 
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        folded = C.fold_many(pdf["text"])
+        yield pd.DataFrame({"cls": np.array([_class(t, f) for t, f in zip(pdf["tag"], folded)], np.int64), "text": folded})
+
+
 def near_duplicate_pairs(
     df: DataFrame,
     id_col: str = "id",
@@ -214,25 +221,30 @@ def near_duplicate_pairs(
     threshold: float = 0.55,
     radius: int = RADIUS,
     block: int = BLOCK,
+    rows_per_band: int = 3,
+    bands: int = 24,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): links between different texts and the class every id belongs to.
 
     pairs: tag, rep_a, rep_b, similarity, one row per two classes whose 3-sequences in common are at
     least *threshold* of those in either. members: tag, id, rep; rep is the least id of the class.
-    Rows are compared within the same *tag_col* value only.
+    Rows are compared within the same *tag_col* value only. *rows_per_band* times *bands* is at most
+    HASHES; more rows thin out chance meetings, more bands find more pairs near the threshold.
     """
+    if rows_per_band * bands > HASHES:
+        raise ValueError(f"more than {HASHES} hashes")
+    spark = df.sparkSession
     tag = F.col(tag_col).cast("string") if tag_col else F.lit("")
     rows = df.select(tag.alias("tag"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null and tag is not null")
-    made = checkpoint(rows.mapInPandas(_classes, _CLASS))
-    members = made.select("tag", "cls", "cls2", "id").groupBy("tag", "cls", "cls2", "id").agg(F.lit(1).alias("one")).drop("one")
-    reps = made.groupBy("tag", "cls", "cls2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-
-    # a bucket is a band number, 32 bits of the band's hash and the tag; a class of two tags is two classes
-    lanes = reps.select(F.posexplode("keys").alias("band", "k"), "sketch", F.xxhash64("tag", "cls", "cls2").alias("cls"), F.xxhash64("tag").alias("t"))
-    low = F.pmod(F.col("k").cast("long").bitwiseXOR(F.col("t")), F.lit(1 << 32))
-    lanes = lanes.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(low).alias("key"), "cls", "sketch")
-    sizes = lanes.groupBy("key").count().filter(F.col("count") > block)
-    hot = checkpoint(sizes.select("key", F.ceil(F.col("count") / block).cast("int").alias("groups")))
+    made = checkpoint(rows.mapInPandas(_classes(rows_per_band, bands), _CLASS))
+    reps = checkpoint(made.groupBy("cls").agg(F.min(F.struct("id", "tag", "s0", "s1", "s2", "keys")).alias("x")).select("cls", F.col("x.id").alias("rep"), "x.tag", "x.s0", "x.s1", "x.s2", "x.keys"))
+    members = made.select("cls", "id").distinct().join(reps.select("cls", "tag", "rep"), "cls").select("tag", "id", "rep")
+
+    # the band number is mixed into its key; tags do not meet
+    lanes = reps.select(F.explode("keys").alias("key"), F.xxhash64("tag").alias("t"), "cls", "s0", "s1", "s2").select(F.col("key").bitwiseXOR(F.col("t")).alias("key"), "cls", "s0", "s1", "s2")
+    every = max(1, min(64, block // 64))
+    sizes = lanes.filter(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0).groupBy("key").agg((F.count(F.lit(1)) * every).alias("n")).filter(F.col("n") > block)
+    hot = checkpoint(sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("groups")))
     if hot.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST:
         hot = F.broadcast(hot)
     lanes = lanes.join(hot, "key", "left").withColumn("g", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod("cls", F.coalesce("groups", F.lit(1)))).cast("int"))
@@ -245,37 +257,38 @@ def near_duplicate_pairs(
             F.when(F.col("g") == k, 0).when(F.col("g") < k, 1).otherwise(2).cast("int").alias("side"),
         ),
     )
-    lanes = lanes.select("key", "cls", "sketch", F.explode(cells).alias("c")).select("key", "cls", "sketch", "c.cell", "c.side")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    lanes = lanes.select("key", "cls", "s0", "s1", "s2", F.explode(cells).alias("c")).select("key", "cls", "s0", "s1", "s2", "c.cell", "c.side")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     lanes = lanes.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell", "side")
     found = checkpoint(lanes.mapInPandas(_sliced(radius), "a long, b long").distinct())
 
-    named = reps.select(F.xxhash64("tag", "cls", "cls2").alias("c"), "tag", "rep")
-    pairs = found.join(named.select(F.col("c").alias("a"), "tag", F.col("rep").alias("rep_a")), "a").join(
-        named.select(F.col("c").alias("b"), F.col("tag").alias("tag_b"), F.col("rep").alias("rep_b")), "b"
-    )
-    pairs = pairs.filter("tag = tag_b and rep_a != rep_b").select(
-        "tag", F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")
-    )
-    wanted = pairs.select("tag", F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    texts = rows.join(wanted, ["tag", "id"], "left_semi").groupBy("tag", "id").agg(F.first("text").alias("text"))
-    full = pairs.join(texts.select("tag", F.col("id").alias("rep_a"), F.col("text").alias("text_a")), ["tag", "rep_a"]).join(
-        texts.select("tag", F.col("id").alias("rep_b"), F.col("text").alias("text_b")), ["tag", "rep_b"]
-    )
-    links = full.select("tag", "rep_a", "rep_b", "text_a", "text_b").mapInPandas(_verify(threshold), "tag string, rep_a string, rep_b string, similarity double")
-    named_members = members.join(reps.select("tag", "cls", "cls2", "rep"), ["tag", "cls", "cls2"]).select("tag", "id", "rep")
-    return links, named_members
+    wanted = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "tag", "rep"), "cls")
+    texts = rows.join(wanted.select("tag", F.col("rep").alias("id")).distinct(), ["tag", "id"], "left_semi").select("tag", "text")
+    # a representative delivered with another text too brings a class that nobody asked for
+    texts = checkpoint(texts.mapInPandas(_texts, "cls long, text string").distinct().join(wanted, "cls"))
+    side = lambda x: texts.select(F.col("cls").alias(x), F.col("tag").alias(f"tag_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("text").alias(f"text_{x}"))
+    full = found.join(side("a"), "a").join(side("b"), "b").filter("tag_a = tag_b and rep_a != rep_b")
+    ahead = F.col("rep_a") < F.col("rep_b")
+    full = full.select(F.col("tag_a").alias("tag"), F.when(ahead, F.col("rep_a")).otherwise(F.col("rep_b")).alias("rep_a"), F.when(ahead, F.col("rep_b")).otherwise(F.col("rep_a")).alias("rep_b"), "text_a", "text_b")
+    return full.mapInPandas(_verify(threshold), "tag string, rep_a string, rep_b string, similarity double"), members
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of ids (tag, id_a, id_b), id_a < id_b: linked classes and copies within a class."""
-    a = members.select("tag", F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    b = members.select("tag", F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    across = links.join(a, ["tag", "rep_a"]).join(b, ["tag", "rep_b"]).select("tag", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    many = members.groupBy("tag", "rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tag", "rep")
-    copies = members.join(many, ["tag", "rep"], "left_semi")
-    inside = copies.select("tag", "rep", F.col("id").alias("id_a")).join(copies.select("tag", "rep", F.col("id").alias("id_b")), ["tag", "rep"]).filter("id_a < id_b")
-    return across.filter("id_a != id_b").unionByName(inside.select("tag", "id_a", "id_b"))
+    """All pairs of ids (tag, id_a, id_b), id_a < id_b: linked classes and copies within a class.
+
+    One side of a class with more than ``CROWDED`` members is spread over salts, the other repeated for
+    them, so no task holds all pairs of a class.
+    """
+    sizes = members.groupBy("tag", "rep").agg(F.count(F.lit(1)).alias("n"))
+    known = members.join(sizes, ["tag", "rep"])
+    spread = F.when(F.col("n") > CROWDED, F.lit(SALTS)).otherwise(F.lit(1))
+    left = known.select("tag", F.col("rep").alias("rep_a"), F.col("id").alias("x"), "n", F.pmod(F.xxhash64("id"), spread).cast("int").alias("salt"))
+    linked = links.join(sizes.withColumnRenamed("rep", "rep_a"), ["tag", "rep_a"]).select("tag", "rep_a", "rep_b", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+    right = members.select("tag", F.col("rep").alias("rep_b"), F.col("id").alias("y"))
+    across = linked.join(right, ["tag", "rep_b"]).join(left, ["tag", "rep_a", "salt"]).select("tag", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    copies = known.filter("n > 1").select("tag", F.col("rep").alias("rep_a"), F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
+    inside = left.filter("n > 1").join(copies, ["tag", "rep_a", "salt"]).filter("x < y").select("tag", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    return across.filter("id_a != id_b").unionByName(inside).distinct()
 
 
 def groups(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
