@@ -23,6 +23,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,20 +58,21 @@ END = "。！？!?.~～…"
 _MARKUP = re.compile(r"<[^<>]{0,60}>|&[a-z]+;|\[[^\[\]]{1,6}\]")
 _BRACKETED = re.compile(r"\W*(?:\[[^\[\]]*\]|\{[^{}]*\}|【[^【】]*】|<[^<>]*>)\W*")
 _CODE = re.compile(r"(?<![A-Za-z\-])[A-Za-z\-]*\d[A-Za-z0-9\-.]*")
+_SCRIPTS = (re.compile("[぀-ヿ]+"), re.compile("[㐀-鿿]+"), re.compile("[A-Za-zÀ-ɏ]+"))
 _SENTENCE = re.compile(r"[^。！？!?\n]+?(?:[。！？!?]+|\.(?=\s|$)|\n|$)")
 
 
+@lru_cache(256)
 def core(text: str | None) -> str:
     """Letters and digits left after markup."""
     return re.sub(r"[\W_]+", "", _MARKUP.sub(" ", unicodedata.normalize("NFKC", text or ""))).lower()
 
 
+@lru_cache(256)
 def language(text: str | None) -> str:
     """zh, ja, en, de, fr, es, la (some Latin-script text) or '' if it cannot be told; codes with digits do not count."""
     t = _CODE.sub(" ", unicodedata.normalize("NFKC", text or ""))
-    kana = len(re.findall(r"[぀-ヿ]", t))
-    han = len(re.findall(r"[㐀-鿿]", t))
-    latin = len(re.findall(r"[A-Za-zÀ-ɏ]", t))
+    kana, han, latin = (len(t) - len(x.sub("", t)) for x in _SCRIPTS)
     if kana >= 2 and kana * 8 >= han:
         return "ja"
     if han >= 2 and han * 4 >= latin:
@@ -87,6 +89,11 @@ def _grams(text: str, k: int) -> set[str]:
     return {text[i : i + k] for i in range(len(text) - k + 1)}
 
 
+@lru_cache(256)
+def _question_grams(q: str) -> frozenset[str]:
+    return frozenset(_grams(core(q), 3))
+
+
 def _mask(text: str) -> str:
     return re.sub(r"(?<![A-Za-z])[A-Za-z]*\d[\dA-Za-z.\-]*", "0", text)
 
@@ -97,8 +104,8 @@ def _level(x: float) -> int:
 
 # Words that decline, and words that offer something.
 DECLINE = re.compile(
-    r"不能|无法|没法|没办法|没有办法|不便|不会|拒绝|恕|不予|概不|没有权限|无权|不可以|无可奉告|难以|超出|不在我的|不在服务|选择不|不作|不做|爱莫能助"
-    r"|can't|cannot|can not|unable|won't|will not|declin|not able|refuse|no answer|not allowed|not permitted|outside my|beyond|would rather not|not something i"
+    r"不能|无法|没法|没办法|没有办法|不便|不会|拒绝|恕|不予|概不|没有权限|无权|不可以|无可奉告|难以|超出|不在我的|不在服务|选择不|不作|不做|爱莫能助|帮不|答不|说不了|给不了|满足不了|做不了|查不了|不清楚|不知道|沉默|没有资格|没有发言权|不谈|不讨论|不提供|未开放|不开放|难从命|违反|可说的|不归我|不管|别的吧"
+    r"|can't|cannot|can not|unable|won't|will not|declin|not able|refuse|no answer|not allowed|not permitted|outside my|beyond|would rather not|not something i|nothing to (?:say|add)|don't (?:do|have|know|answer|talk)|do not (?:do|have|know|answer|talk)|falls outside|out of my|prevents? me|somebody else|someone else|something (?:else|different)|leave (?:that|this|it)|no (?:help|comment)|prefer not|off[- ]limits"
     r"|nicht|kein|ne peu[xt]|ne suis pas|refuse|pas en mesure|no pued|no me es posible|no voy|できません|かねます|できかね|お断り",
     re.I,
 )
@@ -124,8 +131,7 @@ def features(question: str | None, answer: str | None) -> dict[str, list[int]]:
     size = n.bit_length()
     out: dict[str, list[str]] = {"e": [f"e{nothing}", f"l{min(size, 5)}{nothing}"]}
     # pair: overlap both ways, what the answer adds, language of both
-    qc = core(q)
-    gq, ga = _grams(qc, 3), _grams(bare, 3)
+    gq, ga = _question_grams(q), _grams(bare, 3)
     shared = len(gq & ga)
     inside, whole = shared / max(1, len(ga)), shared / max(1, len(gq))
     added = len(ga) - shared
@@ -166,6 +172,7 @@ def features(question: str | None, answer: str | None) -> dict[str, list[int]]:
     return {k: sorted({_number(f) for f in v}) for k, v in out.items()}
 
 
+@lru_cache(1 << 18)
 def _number(feature: str) -> int:
     h = zlib.crc32(feature.encode("utf-8", "surrogatepass"))
     return h % PLAIN if feature[0] == "r" else PLAIN + h % (DIM - PLAIN)
@@ -178,16 +185,16 @@ def sentences_of(a: str) -> list[str]:
 _REFUSE = {
     "zh": (
         ["", "对不起，", "很抱歉，", "抱歉，", "不好意思，", "感谢您的提问，但", "收到您的消息，不过", "收到您的消息，但", "作为智能助手，", "身为一个语言模型，", "出于安全考虑，", "作为人工智能，", "谢谢咨询，但", "根据规定，", "按照相关要求，"],
-        ["我无法{o}", "我不能{o}", "我没办法{o}", "我不便{o}", "我不会{o}", "我没法{o}", "我拒绝{o}", "我没有权限{o}", "恕不能{o}", "恕我无法{o}", "我不可以{o}", "这边不能{o}", "我选择不答", "难以{o}", "我没有办法{o}", "无可奉告", "恕不奉陪", "概不答复", "不予解答", "不予置评"],
-        ["回答", "回答这个问题", "处理此类问题", "处理该请求", "评论此事", "讨论", "参与讨论", "回应该请求", "回应您的这个问题", "处理您的这个请求", "作答", "给出答案", "答复", "提供相关建议", "就{p}作出答复", "就{p}给出任何意见", "谈论这个话题", "完成这个请求", "说", "帮您"],
-        ["", "请谅解", "望知悉", "请问点别的", "换个问题吧", "请咨询别处", "请另寻途径", "到此为止吧", "也不打算展开", "谢谢谅解", "请换个话题", "您另问他人"],
-        ["", "", "这个问题超出了我的能力范围，", "您的提问不在我的服务范围，", "您的提问超出了我的能力范围，", "此类内容", "该类咨询", "这件事", "恕我直言，", "您问的这个", "关于{p}的事，", "此类话题"],
+        ["我无法{o}", "我不能{o}", "我没办法{o}", "我不便{o}", "我不会{o}", "我没法{o}", "我拒绝{o}", "我没有权限{o}", "恕不能{o}", "恕我无法{o}", "我不可以{o}", "这边不能{o}", "我选择不答", "难以{o}", "我没有办法{o}", "无可奉告", "恕不奉陪", "概不答复", "不予解答", "不予置评", "我帮不了您{o}", "我帮不上忙", "我答不了", "我给不了答复", "我满足不了您", "我说不了什么", "我查不了也不清楚", "我不知道怎么{o}", "我没有资格{o}", "我没有发言权", "我被要求不{o}", "本服务不提供{o}", "系统未开放{o}", "恕难从命", "我保持沉默", "这不归我管", "这里不谈这些", "没有什么可说的"],
+        ["回答", "回答这个问题", "处理此类问题", "处理该请求", "评论此事", "讨论", "参与讨论", "回应该请求", "回应您的这个问题", "处理您的这个请求", "作答", "给出答案", "答复", "提供相关建议", "就{p}作出答复", "就{p}给出任何意见", "就{p}答复", "谈论{p}", "回答有关{p}的提问", "谈论这个话题", "完成这个请求", "说", "帮您"],
+        ["", "请谅解", "望知悉", "请问点别的", "换个问题吧", "请咨询别处", "请另寻途径", "到此为止吧", "也不打算展开", "谢谢谅解", "请换个话题", "您另问他人", "您去问别人吧", "我们聊点别的吧", "请找有关部门", "请勿再问", "说了也不算"],
+        ["", "", "这个问题超出了我的能力范围，", "您的提问不在我的服务范围，", "您的提问超出了我的能力范围，", "此类内容", "该类咨询", "这件事", "恕我直言，", "您问的这个", "关于{p}的事，", "关于{p}的提问，", "有关{p}，", "此类话题", "对此", "这个忙", "您的要求", "这类事情", "您说的内容违反规定，", "我只是一个程序，", "该话题不在讨论之列，", "很遗憾，"],
     ),
     "en": (
         ["", "I'm sorry, but ", "Sorry, ", "As an AI assistant, ", "Unfortunately, ", "Thank you for asking, but ", "I apologize, but "],
-        ["I can't {o}", "I cannot {o}", "I am unable to {o}", "I'm not able to {o}", "I won't {o}", "I must decline to {o}", "I am not allowed to {o}", "I would rather not {o}", "No answer is available here", "This is outside what I can {o}", "Such matters are not for me to {o}", "We do not answer such questions", "I refuse to {o}"],
+        ["I can't {o}", "I cannot {o}", "I am unable to {o}", "I'm not able to {o}", "I won't {o}", "I must decline to {o}", "I am not allowed to {o}", "I would rather not {o}", "No answer is available here", "This is outside what I can {o}", "Such matters are not for me to {o}", "We do not answer such questions", "I refuse to {o}", "I have nothing to say", "I don't have permission to {o}", "I do not {o}", "I'd prefer not to {o}", "this falls outside what I {o}", "my rules prevent me", "no comment", "let us leave that alone", "there is no help here"],
         ["help with that", "answer this question", "assist with this request", "comment on this matter", "discuss this topic", "provide that information", "respond to that", "answer", "discuss", "give an answer here", "go into this", "advise on the {p}", "talk about {p}"],
-        ["", "please ask something else", "please try elsewhere", "that is all I can say", "thank you for understanding"],
+        ["", "please ask something else", "please try elsewhere", "that is all I can say", "thank you for understanding", "you'll have to ask someone else", "let's talk about something else"],
         ["", "", "That is outside my scope, ", "This question is beyond what I do, "],
     ),
     "de": (["", "Es tut mir leid, aber ", "Leider "], ["ich kann {o}", "kann ich {o}", "darf ich {o}", "ich möchte {o}"], ["dabei nicht helfen", "diese Frage nicht beantworten", "dazu nichts sagen", "diese Anfrage nicht bearbeiten"], ["", "bitte wenden Sie sich an andere Stellen", "danke für Ihr Verständnis"], [""]),
@@ -327,6 +334,7 @@ def synthesise(pairs: list[tuple[str, str]], seed: int) -> tuple[list[tuple[str,
         roll = forge.r.random()
         if roll < 0.35:
             put(q, forge.refusal(q, a, language(q) or lang), "refusal")
+            put(q, forge.refusal(q, a, language(q) or lang), "refusal")
         elif roll < 0.6:
             put(q, forge.copy(q, language(q) or lang), "copy")
         elif roll < 0.75:
@@ -377,29 +385,34 @@ class Classifier:
             if g not in made:
                 at, cols = self._sparse(own, g)
                 often = np.bincount(cols, minlength=DIM)[cols] >= MIN_ROWS
-                made[g] = at[often], cols[often]
-            at, cols = made[g]
+                used_cols, place = np.unique(cols[often], return_inverse=True)
+                made[g] = at[often], place, used_cols
+            # weights only for the columns that occur; all others stay 0
+            at, cols, known = made[g]
+            dim = known.size
             target = (y[used] == label).astype(float)
             weight = np.where(y[used] == "", SOUND_WEIGHT, 1.0) if label != "truncated" else np.ones(len(used))
             if label == "refusal":  # a refusal cut short is still one: cut answers say nothing here
                 weight = np.where(y[used] == "truncated", 0.0, weight)
             rng = np.random.default_rng(seed + k)
-            w, m, v = np.zeros(DIM + 1), np.zeros(DIM + 1), np.zeros(DIM + 1)
+            w, m, v = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1)
+            common = known[cols] < PLAIN
             for t in range(1, rounds + 1):
                 if g == "n":  # most n-grams are hidden: new wordings must be told by the rest
-                    seen = (cols < PLAIN) | (rng.random(len(cols)) < KEEP)
+                    seen = common | (rng.random(len(cols)) < KEEP)
                     at_, cols_ = at[seen], cols[seen]
                 else:
                     at_, cols_ = at, cols
-                z = np.bincount(at_, w[cols_], minlength=len(own)) + w[DIM]
+                z = np.bincount(at_, w[cols_], minlength=len(own)) + w[dim]
                 e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-                grad = np.append(np.bincount(cols_, e[at_], minlength=DIM), e.sum()) / len(own) + 1e-5 * w
+                grad = np.append(np.bincount(cols_, e[at_], minlength=dim), e.sum()) / len(own) + 1e-5 * w
                 m = 0.9 * m + 0.1 * grad
                 v = 0.99 * v + 0.01 * grad**2
                 w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
             if g == "n":
-                w[PLAIN:DIM] *= KEEP
-            self.weights[k] = w
+                w[:dim][known >= PLAIN] *= KEEP
+            self.weights[k] = 0.0
+            self.weights[k, known], self.weights[k, DIM] = w[:dim], w[dim]
         score = self.scores([rows[i] for i in held])
         for k, label in enumerate(LABELS):
             truth = y[held] == label
