@@ -147,6 +147,18 @@ def last_user(c: Column) -> Column:
     return F.try_element_at(F.filter(F.coalesce(c, none()), lambda m: m["role"] == USER), F.lit(-1))["content"]
 
 
+def last_pair(c: Column) -> Column:
+    """struct(user, assistant): the last two contents; '' where a sequence is too short."""
+    at = lambda n: text_or_empty(F.try_element_at(F.coalesce(c, none()), F.lit(n))["content"])
+    return F.struct(F.when(F.size(c) >= 2, at(-2)).otherwise("").alias("user"), at(-1).alias("assistant"))
+
+
+def history_json(history: Column) -> Column:
+    """Pairs as a JSON list of objects with user and assistant; shorter pairs are left out."""
+    pairs = F.filter(F.coalesce(history, F.array().cast("array<array<string>>")), lambda p: F.size(p) >= 2)
+    return F.to_json(F.transform(pairs, lambda p: F.struct(text_or_empty(F.get(p, 0)).alias("user"), text_or_empty(F.get(p, 1)).alias("assistant"))))
+
+
 def user_segment(content: Column, system: Column | None = None) -> Column:
     body = F.concat(F.lit(f"{START}user\n"), content, F.lit(f"{STOP}\n{START}assistant\n"))
     return body if system is None else F.concat(F.when(F.coalesce(system, F.lit("")) != "", F.concat(F.lit(f"{START}system\n"), system, F.lit(f"{STOP}\n"))).otherwise(""), body)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def group_advantage(reward: Column, *group: str) -> Column:
-    """(r - mean) / (population deviation + 1e-8) within a group."""
-    w = Window.partitionBy(*group)
-    return (reward - F.avg(reward).over(w)) / (F.stddev_pop(reward).over(w) + 1e-8)
+def advantage(reward: Column, mean: Column, deviation: Column) -> Column:
+    """(r - mean) / (population deviation + 1e-8) of a group."""
+    return (reward - mean) / (deviation + 1e-8)
 
 
 def clipped_objective(ratio: Column, advantage: Column, epsilon: float = 0.2) -> Column:
@@ -46,7 +45,3 @@ def judge_reward(*dims: Column) -> Column:
 def perplexity(loss: Column) -> Column:
     """exp of a loss under 20, else null."""
     return F.when(loss < 20, F.exp(loss))
-
-
-def pad(values: Column, width: Column, filler: int) -> Column:
-    return F.concat(values, F.array_repeat(F.lit(filler), (width - F.size(values)).cast("int")))

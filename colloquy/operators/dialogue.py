@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
+from .joins import small
 
 
 def to_turns(df: DataFrame, keys: list[str], messages: str) -> DataFrame:
@@ -49,9 +50,12 @@ def rendered(c: Column) -> Column:
 
 
 def pad_batches(df: DataFrame, batch: str, ids: str, labels: str, pad_id: int = 0) -> DataFrame:
-    """Adds padded ids, mask and labels: every row as long as the longest of its batch."""
-    width = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    out = df.withColumn("_w", width)
+    """Adds padded ids, mask and labels: every row as long as the longest of its batch.
+
+    Widths are aggregated per batch and joined, so no array is shuffled while they are few.
+    """
+    width = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size(ids)).alias("_w"))
+    out = df.join(small(width), F.col(batch).eqNullSafe(F.col("_batch")), "left")
     gap = (F.col("_w") - F.size(ids)).cast("int")
     return out.select(
         *df.columns,

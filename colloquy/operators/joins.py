@@ -82,6 +82,15 @@ def ordinal(df: DataFrame, order: list, out: str = "ordinal") -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn(out, (F.col("_start") + place + 1).cast("int")).drop("_id", "_part", "_start")
 
 
+def ordinal_in(df: DataFrame, group: str, order: list, out: str = "ordinal") -> DataFrame:
+    """Adds the place (from 1) of every row within its group: its place in the order of all rows less the
+    first of the group. A group of any size is numbered by many tasks."""
+    rows = checkpoint(ordinal(df, [group, *order], "_place"))
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"))
+    rows = rows.join(small(first), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return rows.withColumn(out, (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first", "_group")
+
+
 def positional(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
     """Rows joined by their ordinal in a global order; unequal counts are an error."""
     n, m = left.count(), right.count()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import advantage
+from .joins import small
+
 DIMENSIONS = ("need", "accurate", "helpful", "tone", "risk", "history_use")
 
 
@@ -74,6 +77,17 @@ def token_stats(df: DataFrame, tokens: str) -> DataFrame:
     )
 
 
+def group_advantage(df: DataFrame, reward: str, group: str) -> DataFrame:
+    """Adds advantage: how far a reward stands from the mean of its group, in deviations.
+
+    Groups are aggregated, so a hot one combines before the shuffle; rows get their numbers by a join of
+    one row per group.
+    """
+    stats = df.groupBy(F.col(group).alias("_group")).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_deviation"))
+    rows = df.join(small(stats), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return rows.withColumn("advantage", advantage(F.col(reward), F.col("_mean"), F.col("_deviation"))).drop("_group", "_mean", "_deviation")
+
+
 def metric_points(log: DataFrame, step: str, metrics: list[str]) -> DataFrame:
     """(step, metric, value) of the numeric values of a wide, sparse log."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").try_cast("double").alias("value")) for m in metrics])

@@ -12,6 +12,8 @@ from ..functions.text import shuffle_key
 from .joins import small
 
 
+SORTED = 100_000  # rows that one task may sort
+MAX_CLASSES = 100_000
 BUCKETS = 3  # hexadecimal digits of a hash key that name a bucket: 4096 of them
 
 
@@ -45,15 +47,28 @@ def first_accepted(df: DataFrame, key: str, order: list[str], reason: str, dupli
     (reason null) comes before it; a reason already given stays.
 
     The first accepted row of a key comes from an aggregation, which combines a hot key before the
-    shuffle; rows dropped earlier do not hide later ones. A null key is never a duplicate.
+    shuffle; rows dropped earlier do not hide later ones. A null key is never a duplicate; rows without a
+    key are spread over the join's tasks.
     """
     place = F.struct(*order)
     accepted = df.filter(F.col(key).isNotNull() & F.col(reason).isNull()).groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
     later = F.coalesce(place > F.col("_first"), F.lit(False))
-    out = df.join(accepted, F.col(key) == F.col("_key"), "left").withColumn("is_duplicate", later).drop("_key", "_first")
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*order))
+    accepted = accepted.withColumn("_none", F.lit(0).cast("long"))
+    out = df.join(accepted, (F.col(key).eqNullSafe(F.col("_key"))) & (F.coalesce(spread, F.lit(0)) == F.col("_none")), "left").drop("_none").withColumn("is_duplicate", later).drop("_key", "_first")
     return out.withColumn(reason, F.coalesce(reason, F.when(F.col("is_duplicate"), F.lit(duplicate))))
 
 
+def repeated(df: DataFrame, text: str) -> DataFrame:
+    """(text, n) of the texts that stand in more than one row.
+
+    Counted by hash, so a text that stands once is never shuffled; the texts of repeated hashes follow.
+    """
+    rows = df.select(F.col(text), F.md5(text).alias("_hash"))
+    many = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(small(many.select("_hash")), "_hash", "left_semi").groupBy(text).agg(F.count(F.lit(1)).alias("n"))
+
+
 def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key: the last in order. Aggregates, so a hot key combines before the shuffle."""
     names = [c for c in df.columns if c != key]
@@ -62,19 +77,28 @@ def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def quotas(counts: DataFrame, name: str, n: str, total: int, low: int, high: int) -> DataFrame:
-    """(name, cap, quota): floors first, then one row at a time in passes to the least filled.
+    """(name, cap, quota): floors first, then one row per class and pass until *total*; in the last pass the
+    least filled classes come first, ties by name. Floors are never cut.
 
-    Closed form over one row per class: pass k of a class is a slot, slots are ordered by pass, fill
-    before it and name, and the first ones up to the target are taken. Floors are never cut.
+    Works on one row per class (checked: at most ``MAX_CLASSES``); the number of whole passes is found by
+    bisection, so the cost does not follow the quotas.
     """
-    base = counts.select(F.col(name).alias("name"), F.least(F.col(n), F.lit(high)).cast("long").alias("cap")).withColumn("floor", F.least("cap", F.lit(low)).cast("long"))
-    all_rows = Window.partitionBy(F.lit(1))
-    base = base.withColumn("target", F.least(F.lit(total).cast("long"), F.sum("cap").over(all_rows))).withColumn("room", F.greatest(F.lit(0), F.col("target") - F.sum("floor").over(all_rows)))
-    slots = base.filter("cap > floor").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cap") - F.col("floor"))).alias("pass"))
-    fill = (F.col("floor") + F.col("pass") - 1) / F.greatest("cap", F.lit(1))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("pass", fill, "name"))
-    taken = slots.withColumn("rank", rank).filter(F.col("rank") <= F.col("room")).groupBy("name").agg(F.count(F.lit(1)).alias("extra"))
-    return base.join(small(taken), "name", "left").select("name", "cap", (F.col("floor") + F.coalesce("extra", F.lit(0))).cast("long").alias("quota"))
+    rows = counts.select(F.col(name), F.col(n)).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    cap = {r[0]: min(r[1], high) for r in rows}
+    base = {k: min(c, low) for k, c in cap.items()}
+    room = max(0, min(total, sum(cap.values())) - sum(base.values()))
+    taken = lambda passes: sum(min(cap[k], base[k] + passes) - base[k] for k in cap)
+    lo, hi = 0, max(cap.values(), default=0)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if taken(mid) <= room else (lo, mid - 1)
+    quota = {k: min(cap[k], base[k] + lo) for k in cap}
+    open_ = sorted((quota[k] / cap[k], k is not None, k or "", k) for k in cap if quota[k] < cap[k])
+    for _, _, _, k in open_[: room - taken(lo)]:
+        quota[k] += 1
+    return counts.sparkSession.createDataFrame([(k, cap[k], quota[k]) for k in cap], "name string, cap long, quota long")
 
 
 def stratified_top(df: DataFrame, stratum: str, flag: str, score: str, tie: Column, quota: DataFrame, share: float) -> DataFrame:
@@ -118,16 +142,33 @@ def holdout_size(n: Column, ratio: float | None = None, size: int | None = None)
     return F.greatest(F.lit(1).cast("long"), F.least(wanted, n - 1))
 
 
-def holdout(df: DataFrame, key: Column, ratio: float | None = None, size: int | None = None) -> DataFrame:
-    """Adds is_eval for the first rows in order of *key*.
+def nth_key(df: DataFrame, key: Column, k: int) -> str | None:
+    """The k-th smallest (from 1) of hash keys in hexadecimal digits.
 
-    The boundary key is found with a distributed sort and a limit, so no window over all rows is needed.
+    Buckets of the next digits are counted, at most 4096 of them, and only the bucket that holds the place
+    is looked into, so no task sorts more than ``SORTED`` rows.
     """
+    rows, prefix = df.select(key.alias("_key")), ""
+    while True:
+        inside = rows.filter(F.col("_key").startswith(prefix))
+        counts = sorted(inside.groupBy(F.substring("_key", len(prefix) + 1, BUCKETS).alias("b")).count().collect())
+        for b, n in counts:
+            if k <= n:
+                break
+            k -= n
+        else:
+            return None
+        prefix += b
+        if n <= SORTED or not b:
+            return rows.filter(F.col("_key").startswith(prefix)).orderBy("_key").limit(k).agg(F.max("_key")).first()[0] if b else prefix
+
+
+def holdout(df: DataFrame, key: Column, ratio: float | None = None, size: int | None = None) -> DataFrame:
+    """Adds is_eval for the first rows in order of the hash *key*."""
     n = df.count()
     if not n:
         return df.withColumn("is_eval", F.lit(False))
-    k = max(1, min(size or int(n * (ratio or 0)), n - 1))
-    edge = df.select(key.alias("_key")).orderBy("_key").limit(k).agg(F.max("_key")).first()[0]
+    edge = nth_key(df, key, max(1, min(size or int(n * (ratio or 0)), n - 1)))
     return df.withColumn("is_eval", F.coalesce(key <= F.lit(edge), F.lit(False)))
 
 

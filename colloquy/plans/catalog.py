@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
 from ..functions import numbers as N
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators import annotation, dialogue, joins, metrics, pairs, rules, selection
+from ..operators import annotation, dialogue, joins, metrics, pairs, records, reports, rules, selection
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,7 +109,7 @@ def source_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select {sql_key('text')} as key, count(*)::bigint as n from documents group by 1 having count(*) > 1")
 def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(T.loose_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return selection.repeated(table(spark, d, "documents").select(T.loose_key(F.col("text")).alias("key")), "key")
 
 
 @query(f"select {sql_intent()} as intent, count(*)::bigint as n from sft_train group by 1")
@@ -130,15 +130,42 @@ def report_cells(spark: SparkSession, d: str) -> DataFrame:
 # -- rules ----------------------------------------------------------------------------------------
 _WORDS = ", ".join(f"({n}, {quoted(k)}, {quoted(w)})" for n, (k, v) in enumerate(rules.INTENTS.items()) for w in v.split(" "))
 _PRIORITY = " ".join(f"when regexp_matches(p, {quoted(pattern)}) then {{'label': {quoted(label)}, 'score': {score}}}" for pattern, label, score in rules.PRIORITY)
-CLASSIFY_SQL = f"""
+
+
+def classify_sql(rows: str) -> str:
+    """CTEs up to done(hit) for rows with rid, p (prompt) and o (everything else)."""
+    return f"""
 with words(rank, label, word) as (values {_WORDS}),
- rows as (select row_number() over () as rid, id, coalesce(meta.source_prompt, '') as p, coalesce(meta.source_response, '') as r from sft_train),
- points as (select rid, rank, label, sum(case when contains(p, word) then 3 when contains(p || ' ' || r, word) then 1 else 0 end) as score from rows, words group by all),
+ rows as ({rows}),
+ points as (select rid, rank, label, sum(case when contains(p, word) then 3 when contains(p || ' ' || o, word) then 1 else 0 end) as score from rows, words group by all),
  best as (select rid, first({{'label': label, 'score': score}} order by score desc, rank) as b from points where score > 0 group by rid),
- done as (select rows.rid, id, p, r, case {_PRIORITY} else {{'label': b.label, 'score': b.score}} end as hit from rows left join best using (rid))
+ done as (select rows.*, case {_PRIORITY} else {{'label': b.label, 'score': b.score}} end as hit from rows left join best using (rid))
 """
 
 
+CLASSIFY_SQL = classify_sql("select row_number() over () as rid, id, coalesce(meta.source_prompt, '') as p, coalesce(meta.source_response, '') as r, coalesce(meta.source_response, '') as o from sft_train")
+
+
+_PAIRS_SQL = f"""list_filter(list_slice(list_transform(range(1, greatest(1, len(messages) // 2)), lambda i: [{sql_clean('messages[2 * i - 1].content')}, {sql_clean('messages[2 * i].content')}]), -2, -1), lambda t: t[1] <> '' and t[2] <> '')"""
+_SOURCE_SQL = classify_sql(f"""select *, r || ' ' || array_to_string(list_transform(h, lambda t: t[1] || ' ' || t[2]), ' ') as o from (
+ select row_number() over () as rid, id, meta.source_index as i, {sql_clean('meta.source_prompt')} as p, {sql_clean('meta.source_response')} as r, {_PAIRS_SQL} as h from sft_train where meta.source_index is not null)""")
+
+
+@query(_SOURCE_SQL + f"""select id, 'raw_' || printf('%06d', i) || '_' || substr(sha1(to_json({{'prompt': p, 'response': r, 'history': h}})::varchar), 1, 8) as raw_id,
+ coalesce(hit.label, 'unknown') as label, coalesce(hit.score, 0)::bigint as score, len(h)::bigint as turns, {sql_key('p || r')} as pair_key, 2 * len(h) + 2 as n_messages from done""")
+def source_records(spark: SparkSession, d: str) -> DataFrame:
+    """Raw dialogues projected to records: the last two earlier pairs are the history."""
+    m = F.col("messages")
+    earlier = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(m) / 2).cast("int") - 2, F.lit(0))), lambda i: F.array(F.get(m, 2 * i)["content"], F.get(m, 2 * i + 1)["content"]))
+    history = F.when(F.size(m) >= 4, earlier)
+    rows = train(spark, d).filter("meta.source_index is not null")
+    r = records.source_record(F.col("meta.source_prompt"), F.col("meta.source_response"), history, F.col("meta.source_index"), "raw", 2)
+    rows = rows.select("id", r.alias("r")).select("id", F.col("r.id").alias("raw"), "r.messages", "r.meta")
+    label = F.col("meta.scenario")
+    score = F.coalesce(F.try_element_at("meta.intent_scores", label), F.lit(0)).cast("long")
+    return rows.select(F.col("id"), F.col("raw"), label.alias("label"), score.alias("score"), F.col("meta.history_turns").cast("long").alias("turns"), F.col("meta.source_pair_key").alias("pair_key"), F.size("messages").cast("long").alias("n_messages")).withColumnRenamed("raw", "raw_id")
+
+
 def classified(spark: SparkSession, d: str) -> DataFrame:
     p, r = F.col("meta.source_prompt"), F.col("meta.source_response")
     return train(spark, d).select("id", p.alias("p"), r.alias("r"), F.size("messages").alias("m"), rules.classify(p, r).alias("hit"))
@@ -212,6 +239,34 @@ def candidate_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(score, 6).alias("score"))
 
 
+_WIDE_SQL = r"length(regexp_replace(coalesce({}, ''), '[\x00-\x7F\s\p{{Z}}]', '', 'g'))"
+_AUGMENT_COSTS = " ".join(f"when {quoted(k)} then {v}" for k, v in {**rules.PENALTIES, "unknown_intent": 2.0}.items())
+
+
+@query(f"""select id, round((case when {_WIDE_SQL.format('meta.source_prompt')} between 6 and 80 then 3 else 0 end + case when {_WIDE_SQL.format('meta.source_response')} between 18 and 180 then 4 else 0 end + case when len(messages) > 2 then 1 else 0 end
+ - coalesce(list_sum(list_transform(list_distinct(coalesce(meta.quality_flags, [])), lambda f: (case f {_AUGMENT_COSTS} else 0 end)::double)), 0))::double, 6) as score from sft_train""")
+def augment_score(spark: SparkSession, d: str) -> DataFrame:
+    """Score of the pool for rare classes: other lengths and a higher price of an unknown label."""
+    wide = lambda c: T.wide_length(F.col(c))
+    score = rules.candidate_score(wide("meta.source_prompt"), wide("meta.source_response"), F.size("messages") > 2, F.col("meta.quality_flags"), 2.0)
+    return train(spark, d).select("id", F.round(score, 6).alias("score"))
+
+
+_LEFT_SQL = "coalesce(meta.source_response, '')"
+for _pattern in (rules.PREVIOUS_OR_OTHER, rules.WAITING, rules.BOILERPLATE, rules.FILLER):
+    _LEFT_SQL = f"regexp_replace({_LEFT_SQL}, {quoted(_pattern)}, '', 'g')"
+
+
+@query(f"select id, length({sql_key('x')}) >= 18 and regexp_matches(x, {quoted(rules.ACTION)}) as substantive from (select id, {_LEFT_SQL} as x from sft_train)")
+def substantive_answers(spark: SparkSession, d: str) -> DataFrame:
+    return train(spark, d).select("id", rules.substantive(F.col("meta.source_response")).alias("substantive"))
+
+
+@query("select coalesce(meta.rewrite_selection_reject_reason, 'selected') as reason, count(*)::bigint as n from sft_train group by 1")
+def reject_reason_hist(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(train(spark, d).select(F.coalesce("meta.rewrite_selection_reject_reason", F.lit("selected")).alias("reason")), "reason")
+
+
 # -- deduplication and selection ------------------------------------------------------------------
 @query(f"""
 with rows as (select id, ingested_at, meta.source_pair_key as k, meta.source_index as i, case when length({sql_key('meta.source_response')}) < 40 then 'too_short_reply_hard' end as reason from sft_train),
@@ -619,6 +674,16 @@ def split_generated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "post_train_test_generations").select("id", s.alias("s")).select("id", "s.intent", "s.reply")
 
 
+@query("select id, case when len(messages) >= 2 then coalesce(messages[-2].content, '') else '' end as user, coalesce(messages[-1].content, '') as assistant from eval_test")
+def last_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_test").select("id", M.last_pair(F.col("messages")).alias("p")).select("id", "p.user", "p.assistant")
+
+
+@query("select id, to_json(list_transform(list_filter(coalesce(history, []), lambda p: len(p) >= 2), lambda p: {'user': coalesce(p[1], ''), 'assistant': coalesce(p[2], '')}))::varchar as text from post_train_test_generations")
+def history_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "post_train_test_generations").select("id", M.history_json(F.col("history")).alias("text"))
+
+
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events")
 def lenient_json(spark: SparkSession, d: str) -> DataFrame:
     wrapped = F.concat(F.lit("result:\n```json\n"), F.col("props"), F.lit("\n```"))
@@ -819,7 +884,7 @@ def judge_reward(spark: SparkSession, d: str) -> DataFrame:
 select id, round((r - avg(r) over (partition by s)) / (stddev_pop(r) over (partition by s) + 1e-8) + 0.0, 5) as advantage from x""")
 def group_advantage(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "judge_results").select("id", F.coalesce("scenario", F.lit("unknown")).alias("s"), N.judge_reward(*[F.col(x) for x in metrics.DIMENSIONS[:5]]).alias("r"))
-    return rows.select("id", F.round(N.group_advantage(F.col("r"), "s") + 0.0, 5).alias("advantage"))
+    return metrics.group_advantage(rows, "r", "s").select("id", F.round(F.col("advantage") + 0.0, 5).alias("advantage"))
 
 
 @query("""with x as (select event_id, exp((value - 10) / 20) as ratio, (event_id % 7 - 3)::double as a from events)
@@ -847,17 +912,12 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- annotation and reports -----------------------------------------------------------------------
-SHEET = 500  # sections of one sheet at most, so a class of any size is spread over bounded texts
-
-
 def sheets(spark: SparkSession, d: str) -> DataFrame:
-    """Sheets of each scenario of the development split, SHEET sections each."""
+    """(intent, number, value): the sections of the sheet of each scenario of the development split."""
     rows = latest(spark, d, "sft_dev", intent().alias("intent"), "messages").select("id", "intent", "messages")
-    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("intent").orderBy("id")))
+    rows = joins.ordinal_in(rows, "intent", ["id"], "number")
     body = annotation.section(F.col("number"), F.col("intent"), F.col("id"), dialogue.rendered(F.col("messages")), F.array(F.lit("a"), F.col("intent")), F.array().cast("array<string>"))
-    one = F.struct("number", body.alias("s"))
-    sheet = F.floor((F.col("number") - 1) / SHEET).alias("sheet")
-    return rows.groupBy("intent", sheet).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "\n").alias("value"))
+    return rows.select("intent", "number", body.alias("value"))
 
 
 @query(f"""with x as (select id, {sql_intent()} as intent, messages from {FIRST.format(t='sft_dev')}), n as (select *, row_number() over (partition by intent order by id) as number from x)
@@ -878,6 +938,20 @@ def source_report(spark: SparkSession, d: str) -> DataFrame:
     return annotation.report(counts, [-F.col("n"), F.col("source")], F.concat(F.lit("- "), F.col("source"), F.lit(": "), F.col("n").cast("string")), "sources")
 
 
+@query("""with m as (select coalesce(scenario, 'unknown') as s, count(*) as n, count(*) filter (where passed) as k from judge_results group by 1)
+select 0 as part, unnest(['# judge', '', '| scenario | total | passed |', '| --- | --- | --- |']) as line union all select 1, '| ' || s || ' | ' || n || ' | ' || k || ' |' from m""")
+def judge_report(spark: SparkSession, d: str) -> DataFrame:
+    """The judge's table by scenario as lines of Markdown."""
+    rows = metrics.judge_metrics(table(spark, d, "judge_results"), "scenario")
+    return reports.table_lines(rows, {"scenario": F.col("scenario"), "total": F.col("total"), "passed": F.col("n_passed")}, [-F.col("total"), F.col("scenario")], "judge")
+
+
+@query("""select id, '## ' || id || chr(10) || chr(10) || array_to_string(list_filter(['- **tag**: ' || nullif(fail_tag, ''), '- **explanation**: ' || nullif(explanation, '')], lambda x: x is not null), chr(10)) as line from judge_results where not coalesce(passed, false)""")
+def failed_cases(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "judge_results").filter(~F.coalesce("passed", F.lit(False)))
+    return reports.section_lines(rows, F.col("id"), {"tag": F.col("fail_tag"), "explanation": F.col("explanation")}).select("id", "line")
+
+
 # -- flagship -------------------------------------------------------------------------------------
 @query(f"""
 with r as (select id, messages, unnest(range(1, len(messages) + 1)) as pos from {FIRST.format(t='sft_train')}),
@@ -889,6 +963,6 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     """Records to samples: expand turns, clean targets, keep the first of each key, summarise by context."""
     samples = dialogue.expand_turns(latest(spark, d, "sft_train", "messages"), ["id"], "messages", 2)
     rows = samples.select("id", "turn", F.size("context").alias("n_context"), T.clean(F.col("target")).alias("target"))
-    rows = rows.withColumn("key", T.loose_key(F.col("target")))
+    rows = rows.withColumn("key", F.md5(T.loose_key(F.col("target"))))
     first = rows.groupBy("key").agg(F.min_by(F.struct("n_context", F.length("target").alias("n")), F.struct("id", "turn")).alias("x"))
     return first.groupBy("x.n_context").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("x.n").cast("long").alias("n_chars"))

@@ -100,6 +100,16 @@ def layered(*levels: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def experiments(base: dict[str, Any], items: list[dict[str, Any]]) -> dict[str, str]:
+    """The configuration text of every experiment by name: the base under the item's overrides, with the
+    output folder of the experiment."""
+    made = {}
+    for item in items:
+        own = layered(base, item.get("overrides") or {}, {"output": {"folder": f"{(base.get('output') or {}).get('folder', 'runs')}/{item['name']}"}})
+        made[item["name"]] = dump(own) + "\n"
+    return made
+
+
 def select(items: list[dict[str, Any]], only: list[str]) -> list[dict[str, Any]]:
     """Items whose name or group is asked for, all if nothing is; unknown names are an error."""
     known = {x["name"] for x in items} | {x.get("group") for x in items}

@@ -102,6 +102,12 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_sections(df: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """Rows with a column value as text, one folder per *by*, in order within and between its files."""
+    ordered = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    ordered.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
+
+
 def backup(spark: SparkSession, path: str, suffix: str = ".backup") -> str | None:
     """A copy of *path* beside it before it is overwritten; None if there is nothing to copy."""
     if not path_exists(spark, path):

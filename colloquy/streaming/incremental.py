@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 from ..operators.joins import resume
 from ..sources.io import path_exists
 
+KEY_BUCKETS = 1024
+
 
 def append_new(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "id"):
     """Transforms arriving JSON files and appends rows whose key the sink does not hold yet.
 
-    Exactly once per key: a batch that runs again finds its keys in the sink. Returns the started
-    query, which ends when all files present are done.
+    Exactly once per key: a batch that runs again finds its keys in the sink. The sink is partitioned by
+    key_bucket, a hash of the key; a batch reads only the keys of the buckets that it touches. Returns the
+    started query, which ends when all files present are done.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        made = transform(batch).dropDuplicates([key])
+        made = transform(batch).dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
+        made = made.persist()
         if path_exists(spark, sink):
-            made = resume(made, spark.read.parquet(sink), key)
-        made.write.mode("append").parquet(sink)
+            touched = [r[0] for r in made.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+            known = spark.read.parquet(sink).filter(F.col("key_bucket").isin(touched)).select(key)
+            resume(made, known, key).write.mode("append").partitionBy("key_bucket").parquet(sink)
+        else:
+            made.write.mode("append").partitionBy("key_bucket").parquet(sink)
+        made.unpersist()
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

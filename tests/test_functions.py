@@ -182,7 +182,9 @@ def test_record_prompts(spark):
 
 def test_numbers(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 1.0)], "g string, r double")
-    assert all(abs(r[0]) < 1e-9 for r in df.select(N.group_advantage(F.col("r"), "g")).collect())
+    assert all(abs(r["advantage"]) < 1e-9 for r in metrics.group_advantage(df, "r", "g").collect())
+    df = spark.createDataFrame([(None, 1.0, "x"), (None, 3.0, "x"), ("g", 5.0, "x")], "g string, r double, _n string")
+    assert sorted(round(r["advantage"], 6) for r in metrics.group_advantage(df, "r", "g").collect()) == [-1.0, 0.0, 1.0]
     row = spark.range(1).select(
         N.clipped_objective(F.lit(1.5), F.lit(2.0)).alias("a"),
         N.masked_mean(F.array(F.lit(9.0), F.lit(1.0), F.lit(3.0)), F.lit(1)).alias("b"),

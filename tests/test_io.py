@@ -93,6 +93,25 @@ def test_windowed_counts_as_a_stream(spark, tmp_path, small):
     assert spark.sql("select sum(n) from windows").first()[0] == batch.count()
 
 
+def test_experiments_are_layered():
+    base = {"model": {"base_model": "m"}, "lora": {"rank": 4}, "output": {"folder": "out"}}
+    made = config.experiments(base, [{"name": "r16", "overrides": {"lora": {"rank": 16}}}, {"name": "plain"}])
+    assert config.parse(made["r16"]) == {"model": {"base_model": "m"}, "lora": {"rank": 16}, "output": {"folder": "out/r16"}}
+    assert config.parse(made["plain"])["lora"] == {"rank": 4}
+
+
+def test_documents_and_bad_lines(spark, tmp_path):
+    assert [tuple(r) for r in io.read_document(spark, str(tmp_path / "none.json"), "a int, b string").collect()] == [(None, None)]
+    assert io.read_document(spark, write(tmp_path / "d.json", '{\n "a": 3\n}'), "a int, b string").first()["a"] == 3
+    lines = ["{}" if n % 50 else "oops" for n in range(1, 401)]
+    path = write(tmp_path / "long.jsonl", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        assert sorted(r["line"] for r in io.bad_lines(spark, path, "a int").collect()) == list(range(50, 401, 50))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_config_rules():
     good = {"model": {"base_model": "m"}, "data": {"train_file": "f", "chat_template": "chatml"}, "training": {"max_seq_length": 8}, "lora": {"rank": 1}}
     config.check_sft(good)

@@ -1,5 +1,6 @@
 """Operators against plain loops, and their defined results on nulls, ties and empty tables."""
 
+import hashlib
 import json
 import random
 
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import shuffle_key
-from colloquy.operators import annotation, dialogue, joins, metrics, pairs, rewriting, rules, selection, transport
+from colloquy.operators import annotation, dialogue, joins, metrics, pairs, records, rewriting, rules, selection, transport
 
 
 def test_first_accepted(spark):
@@ -160,6 +161,28 @@ def test_record_fault(spark, label, said, fault):
     assert df.select(rules.record_fault(F.col("l"), F.col("m"), ["a"])).first()[0] == fault
 
 
+def test_nth_key_and_ordinals(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SORTED", 3)
+    keys = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k"))
+    keys = keys.unionAll(keys.limit(40)).unionAll(spark.range(9).select(F.lit("f" * 32).alias("k")))
+    every = sorted(r["k"] for r in keys.collect())
+    for k in (1, 2, 250, 539, 540, 545, len(every)):
+        assert selection.nth_key(keys, F.col("k"), k) == every[k - 1]
+    df = spark.createDataFrame([("b", 2), ("a", 9), (None, 1), ("a", 3), ("b", 1), (None, 0)], "g string, o int")
+    got = sorted((str(r["g"]), r["o"], r["n"]) for r in joins.ordinal_in(df, "g", ["o"], "n").collect())
+    assert got == [("None", 0, 1), ("None", 1, 2), ("a", 3, 1), ("a", 9, 2), ("b", 1, 1), ("b", 2, 2)]
+
+
+def test_source_record(spark):
+    rows = [("<b>退款</b>多久到", "您好，预计三个工作日原路退回，请留意", [["在吗", "在的"], ["", "x"], ["尺寸", "大"]], 7), (None, "x", None, 8)]
+    df = spark.createDataFrame(rows, "p string, r string, h array<array<string>>, i int")
+    got = [r[0] for r in df.select(records.source_record(F.col("p"), F.col("r"), F.col("h"), F.col("i"), "s", 2)).collect()]
+    body = '{"prompt":"退款多久到","response":"您好，预计三个工作日原路退回，请留意","history":[["尺寸","大"]]}'
+    assert got[0]["id"] == "raw_000007_" + hashlib.sha1(body.encode()).hexdigest()[:8]
+    assert got[0]["meta"]["scenario"] == "退款-取消价保" and got[0]["meta"]["history_turns"] == 1 and len(got[0]["messages"]) == 4
+    assert got[1]["reason"] == "empty_prompt_or_response" and got[1]["meta"]["source"] == "s"
+
+
 def test_expand_turns(spark):
     m = [{"role": r, "content": str(n)} for n, r in enumerate(["user", "assistant", "user", "assistant"])]
     df = spark.createDataFrame([("1", m), ("2", []), ("3", None)], "id string, messages array<struct<role:string,content:string>>")
