@@ -47,4 +47,5 @@ def union_shuffled(a: DataFrame, b: DataFrame, seed: int, key: str = "id") -> Da
 def other_scenario(scenario: Column, every: Column, *key: Column) -> Column:
     """A scenario other than the row's own, chosen by hash."""
     rest = F.filter(every, lambda s: s != F.coalesce(scenario, F.lit("")))
-    return F.try_element_at(rest, (F.pmod(F.xxhash64(*key), F.greatest(F.size(rest), F.lit(1)).cast("long")) + 1).cast("int"))
+    place = F.conv(F.substring(shuffle_key("other", *key), 1, 7), 16, 10).cast("int")
+    return F.try_element_at(rest, F.pmod(place, F.greatest(F.size(rest), F.lit(1))) + 1)

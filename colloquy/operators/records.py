@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -16,6 +16,12 @@ def history_text(pairs: Column, last: int = 2) -> Column:
     return F.array_join(F.transform(tail, lambda p: F.concat_ws(" ", p["user"], p["assistant"])), " ")
 
 
+def fallback(df: DataFrame) -> DataFrame:
+    """Source records that were not rewritten as training records: (id, messages, meta), marked as such."""
+    marked = F.col("meta").withField("rewritten", F.lit(False)).withField("finalize_source", F.lit("source_fallback"))
+    return df.select("id", F.coalesce("messages", M.none()).alias("messages"), marked.alias("meta"))
+
+
 def source_record(prompt: Column, response: Column, history: Column, index: Column, source: str, turns: int = 3, pack: rules.Pack = rules.Pack(), gate: rules.Gate = rules.Gate()) -> Column:
     """struct(id, prompt, response, history, messages, reason, meta) of a raw dialogue.
 

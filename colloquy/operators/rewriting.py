@@ -1,11 +1,13 @@
-"""Prompts of the rewriting step: one JSON document per record."""
+"""Prompts for external models: rewriting (one JSON document per record), pairs, planted errors, judging."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import messages as M
 from ..functions.text import text_or_empty
+from .pairs import other_scenario
 
 # What each scenario asks of a reply, the system prompt, the form and the demands of the answer.
 GUIDE = {
@@ -78,3 +80,93 @@ def rewrite_payload(id: Column, scenario: Column, flags: Column, history_require
         strings(REQUIREMENTS).alias("requirements"),
     )
     return F.to_json(payload, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+# Labels and demands of the pair, error and judge prompts.
+NO_SCENARIO = "电商客服"
+WANT_PAIR = "请针对以上客户的提问，生成两条质量有明显差距的客服回复对比。"
+ERRORS = {
+    "wrong_intent": ("请假装这是'", "'场景的问题来回答，故意答非所问。"),
+    "missing_action": "请保留正确回复的信息和方向，但把所有具体操作入口和步骤去掉，只留空洞的建议。",
+    "history_ignored": "请只根据用户的最后一句话回答，故意忽略历史对话中的所有关键信息。",
+}
+SCENARIOS = (
+    "物流-查件催发", "物流-配送调整", "退款-取消价保", "售后-退换维修", "售后-质量异常", "发票-资质服务",
+    "价格活动-优惠赠品", "商品咨询-使用方法", "商品咨询-参数", "购买决策-推荐对比", "投诉-安抚升级", "闲聊-礼貌收尾",
+)
+SCORES = (
+    "请按以下JSON格式输出评分：",
+    "{",
+    '  "需求解决": <1-5>,',
+    '  "回答准确": <1-5>,',
+    '  "有帮助性": <1-5>,',
+    '  "语气体验": <1-5>,',
+    '  "风险控制": <1-5>,',
+    '  "历史利用": <1-5或null(单轮填null)>,',
+    '  "通过": <true/false, 需求解决>=4且回答准确>=4为通过>,',
+    '  "失败标签": "<不通过时从以下选一个：off_topic/too_generic/missing_action/wrong_intent/overpromise/placeholder_leak/history_ignored/tone_poor/unsafe_policy, 通过时填null>",',
+    '  "解释": "<简短解释，50字以内>"',
+    "}",
+    "",
+    "只输出JSON，不要Markdown代码块。",
+)
+
+
+def _said(lines: list[Column]) -> Column:
+    """Lines joined; null ones are left out."""
+    return F.array_join(F.array_compact(F.array(*lines)), "\n")
+
+
+def dialogue_so_far(messages: Column) -> Column:
+    """All but the last two messages, one line each with the speaker's name; null if there are none."""
+    c = F.coalesce(messages, M.none())
+    early = F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0)))
+    lines = F.transform(early, lambda m: F.concat(F.when(m["role"] == M.USER, "用户：").otherwise("客服："), text_or_empty(m["content"])))
+    return F.when(F.size(early) > 0, F.array_join(lines, "\n"))
+
+
+def pair_prompt(messages: Column, scenario: Column) -> Column:
+    """Asks for a good and a bad answer to the last question."""
+    past, last = dialogue_so_far(messages), M.last_pair(messages)
+    return _said([F.when(past.isNotNull(), F.concat(F.lit("历史对话：\n"), past, F.lit("\n"))), F.concat(F.lit("场景类别："), F.coalesce(scenario, F.lit(NO_SCENARIO))), F.concat(F.lit("客户最后提问："), last["user"], F.lit("\n")), F.lit(WANT_PAIR)])
+
+
+def error_prompt(messages: Column, scenario: Column, error: Column, *key: Column) -> Column:
+    """Asks for an answer with one planted error; another scenario is chosen by the hash of *key*."""
+    past, last = dialogue_so_far(messages), M.last_pair(messages)
+    name = F.coalesce(scenario, F.lit(NO_SCENARIO))
+    before, after = ERRORS["wrong_intent"]
+    other = other_scenario(name, F.array(*map(F.lit, SCENARIOS)), *key)
+    demand = F.when(error == "wrong_intent", F.concat(F.lit(before), other, F.lit(after)))
+    for kind in ("missing_action", "history_ignored"):
+        demand = demand.when(error == kind, ERRORS[kind])
+    reply = last["assistant"]
+    return _said(
+        [
+            F.concat(F.lit("场景类别："), name),
+            F.when((error == "history_ignored") & past.isNotNull(), F.concat(F.lit("\n历史对话：\n"), past)),
+            F.concat(F.lit("\n用户最后提问："), last["user"]),
+            F.concat(F.lit("原始正确回复（"), F.length(reply).cast("string"), F.lit("字）："), reply, F.lit("\n")),
+            demand,
+        ]
+    )
+
+
+def judge_prompt(messages: Column, prompt: Column, reply: Column, response: Column, scenario: Column, expected: Column, keywords: Column) -> Column:
+    """Asks for the scores of a generated reply against an annotation. The question is the one before last of
+    *messages*, or *prompt* where there are fewer than two."""
+    past = dialogue_so_far(messages)
+    asked = F.when(F.size(F.coalesce(messages, M.none())) >= 2, M.last_pair(messages)["user"]).otherwise(text_or_empty(prompt))
+    answer = F.coalesce(F.nullif(text_or_empty(reply), F.lit("")), text_or_empty(response))
+    return _said(
+        [
+            F.concat(F.lit("场景类别："), text_or_empty(scenario)),
+            F.concat(F.lit("对话类型："), F.when(past.isNotNull(), "多轮").otherwise("单轮"), F.lit("\n")),
+            F.when(past.isNotNull(), F.concat(F.lit("历史对话：\n"), past, F.lit("\n"))),
+            F.concat(F.lit("用户最后问题："), asked, F.lit("\n")),
+            F.concat(F.lit("AI客服回复："), answer, F.lit("\n")),
+            F.concat(F.lit("人工预期标准："), text_or_empty(expected)),
+            F.concat(F.lit("关键参考词："), text_or_empty(keywords), F.lit("\n")),
+            *map(F.lit, SCORES),
+        ]
+    )

@@ -172,6 +172,19 @@ def holdout(df: DataFrame, key: Column, ratio: float | None = None, size: int |
     return df.withColumn("is_eval", F.coalesce(key <= F.lit(edge), F.lit(False)))
 
 
+def train_eval(train: DataFrame, held: DataFrame | None, key: Column, ratio: float | None = None, size: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, evaluation, report): an explicit evaluation table as it is, else rows held out of *train*.
+
+    report: split_source, raw_train_records, raw_eval_records.
+    """
+    source = "explicit_eval_file"
+    if held is None:
+        rows, source = holdout(train, key, ratio, size), "train_file_holdout"
+        train, held = rows.filter(~F.col("is_eval")).drop("is_eval"), rows.filter("is_eval").drop("is_eval")
+    n, m = train.count(), held.count()
+    return train, held, train.sparkSession.createDataFrame([(source, n, m)], "split_source string, raw_train_records long, raw_eval_records long")
+
+
 def keep_per_class(df: DataFrame, name: str, quota: DataFrame, key: Column) -> DataFrame:
     """Adds kept: the first rows of each class in order of the hash *key*, as many as its quota (default 0)."""
     q = quota.select(F.col("name").alias(name), "quota")

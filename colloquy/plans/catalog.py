@@ -15,7 +15,7 @@ from ..functions import messages as M
 from ..functions import numbers as N
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators import annotation, dialogue, joins, metrics, pairs, records, reports, rules, selection
+from ..operators import annotation, dialogue, joins, metrics, pairs, records, reports, rewriting, rules, selection
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +337,11 @@ def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     return selection.holdout(docs, T.shuffle_key(3, F.col("doc_id")), ratio=0.1)
 
 
+@query("select 'train_file_holdout' as split_source, (count(*) - greatest(1, least(floor(count(*) * 0.1), count(*) - 1)))::bigint as raw_train_records, greatest(1, least(floor(count(*) * 0.1), count(*) - 1))::bigint as raw_eval_records from documents")
+def train_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return selection.train_eval(table(spark, d, "documents").select("doc_id"), None, T.shuffle_key(3, F.col("doc_id")), ratio=0.1)[2]
+
+
 SHRINK_SQL = f"""
 with c as (select {sql_intent()} as name, count(*)::bigint as n from eval_test group by 1), p as (select (select sum(n) from c) as total, ((select sum(n) from c) * 2 // 3)::bigint as target),
  b as (select name, n, least(4, n) as low, target, round_even(least(greatest(target::double * n / total, least(4, n)::double), n::double), 0)::bigint as base from c, p),
@@ -489,6 +494,12 @@ def summary_star(spark: SparkSession, d: str) -> DataFrame:
     return joins.star(base, sides, "source", {"docs_n": 0, "docs_chars": 0, "langs_zh": 0})
 
 
+@query("select id, len(coalesce(messages, []))::bigint as n, meta.scenario as scenario, false as rewritten, 'source_fallback' as finalize_source from sft_dev")
+def source_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = records.fallback(table(spark, d, "sft_dev"))
+    return rows.select("id", F.size("messages").cast("long").alias("n"), "meta.scenario", "meta.rewritten", "meta.finalize_source")
+
+
 @query("select shop_id from sft_train except select shop_id from documents")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return train(spark, d).select("shop_id").subtract(table(spark, d, "documents").select("shop_id"))
@@ -739,17 +750,37 @@ def token_preview(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", n(F.col("t.input_ids")).alias("n_ids"), n(F.filter("t.labels", lambda x: x != -100)).alias("n_labels"))
 
 
-@query(f"""select g.id, '问题：' || coalesce(g.prompt, '') || chr(10) || case when len(coalesce(g.history, [])) > 0 then '历史：' || array_to_string(list_transform(g.history, lambda p: '用户：' || coalesce(p[1], '') || ' 客服：' || coalesce(p[2], '')), chr(10)) || chr(10) else '' end
- || '参考：' || coalesce(g.source_record.reference_reply, '') || chr(10) || '回复：' || coalesce(g.generated_reply, '') as prompt from post_train_test_generations g""")
-def judge_prompt(spark: SparkSession, d: str) -> DataFrame:
-    past = F.transform(F.coalesce("history", F.array()), lambda p: F.concat(F.lit("用户："), T.text_or_empty(F.get(p, 0)), F.lit(" 客服："), T.text_or_empty(F.get(p, 1))))
-    lines = F.array(
-        F.concat(F.lit("问题："), T.text_or_empty(F.col("prompt"))),
-        F.when(F.size(past) > 0, F.concat(F.lit("历史："), F.array_join(past, "\n"))),
-        F.concat(F.lit("参考："), T.text_or_empty(F.col("source_record.reference_reply"))),
-        F.concat(F.lit("回复："), T.text_or_empty(F.col("generated_reply"))),
-    )
-    return table(spark, d, "post_train_test_generations").select("id", F.array_join(F.array_compact(lines), "\n").alias("prompt"))
+def sql_past(m: str) -> str:
+    return f"array_to_string(list_transform(list_slice({m}, 1, len({m}) - 2), lambda m: case when m.role = 'user' then '用户：' else '客服：' end || coalesce(m.content, '')), chr(10))"
+
+
+_HEADED = f"case when len(messages) > 2 then '历史对话：' || chr(10) || {sql_past('messages')} || chr(10) || chr(10) else '' end"
+_ASKED = "case when len(messages) >= 2 then coalesce(messages[-2].content, '') else '' end"
+
+
+@query(f"select id, {_HEADED} || '场景类别：' || coalesce(meta.scenario, '{rewriting.NO_SCENARIO}') || chr(10) || '客户最后提问：' || {_ASKED} || chr(10) || chr(10) || '{rewriting.WANT_PAIR}' as prompt from sft_dev")
+def pair_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sft_dev").select("id", rewriting.pair_prompt(F.col("messages"), F.col("meta.scenario")).alias("prompt"))
+
+
+@query(f"""with r as (select id, messages, coalesce(meta.scenario, '{rewriting.NO_SCENARIO}') as s, unnest(['missing_action', 'history_ignored']) as error from sft_dev)
+select id, error, '场景类别：' || s || chr(10) || case when error = 'history_ignored' and len(messages) > 2 then chr(10) || '历史对话：' || chr(10) || {sql_past('messages')} || chr(10) else '' end || chr(10) || '用户最后提问：' || {_ASKED} || chr(10)
+ || '原始正确回复（' || length(coalesce(messages[-1].content, '')) || '字）：' || coalesce(messages[-1].content, '') || chr(10) || chr(10) || case error when 'missing_action' then '{rewriting.ERRORS['missing_action']}' else '{rewriting.ERRORS['history_ignored']}' end as prompt from r""")
+def error_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sft_dev").select("id", "messages", "meta.scenario", F.explode(F.array(F.lit("missing_action"), F.lit("history_ignored"))).alias("error"))
+    return rows.select("id", "error", rewriting.error_prompt(F.col("messages"), F.col("scenario"), F.col("error"), F.col("id")).alias("prompt"))
+
+
+@query(f"""with a as (select id, messages, meta.scenario as s from {FIRST.format(t='eval_test')})
+select g.id, '场景类别：' || coalesce(s, '') || chr(10) || '对话类型：' || case when len(messages) > 2 then '多轮' else '单轮' end || chr(10) || chr(10) || case when len(messages) > 2 then {_HEADED} else '' end
+ || '用户最后问题：' || case when len(messages) >= 2 then {_ASKED} else coalesce(g.prompt, '') end || chr(10) || chr(10) || 'AI客服回复：' || coalesce(nullif(g.generated_reply, ''), g.generated_response, '') || chr(10) || chr(10)
+ || '人工预期标准：' || coalesce(g.source_record.reference_reply, '') || chr(10) || '关键参考词：' || chr(10) || chr(10) || {quoted(chr(10).join(rewriting.SCORES))} as prompt from post_train_test_generations g left join a on g.id = a.id""")
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The judge's prompts: generations with the dialogue and the scenario of their evaluation record."""
+    known = latest(spark, d, "eval_test", F.col("messages").alias("said"), F.col("meta.scenario").alias("s")).select(F.col("id").alias("key"), "said", "s")
+    rows = table(spark, d, "post_train_test_generations").join(known, F.col("id") == F.col("key"), "left")
+    prompt = rewriting.judge_prompt(F.col("said"), F.col("prompt"), F.col("generated_reply"), F.col("generated_response"), F.col("s"), F.col("source_record.reference_reply"), F.lit(None))
+    return rows.select("id", prompt.alias("prompt"))
 
 
 @query("""with t as (select id, list_filter(messages, lambda m: m.role = 'user')[-1].content as prompt from sft_train where id not in (select id from sft_dev) and id not in (select id from eval_test))
@@ -952,6 +983,16 @@ def failed_cases(spark: SparkSession, d: str) -> DataFrame:
     return reports.section_lines(rows, F.col("id"), {"tag": F.col("fail_tag"), "explanation": F.col("explanation")}).select("id", "line")
 
 
+@query(_quality_sql("""select id, '## ' || id || ' | ' || reason || ' | ' || label || chr(10) || chr(10) || '```text' || chr(10) || '[用户] ' || p || chr(10) || '[客服] ' || r || chr(10) || '```' || chr(10) as line
+ from (select distinct id, reason, label, p, r from flagged where reason is not null) order by md5('19|' || id || '|' || p || '|' || r) limit 20"""))
+def removed_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a sample of the rows that the quality gate removes."""
+    rows = judged(spark, d).filter("q.reason is not null").select("id", "q.reason", "hit.label", T.text_or_empty(F.col("p")).alias("p"), T.text_or_empty(F.col("r")).alias("r")).distinct()
+    rows = rows.orderBy(T.shuffle_key(19, F.col("id"), F.col("p"), F.col("r"))).limit(20)
+    said = F.concat(F.lit("\n\n```text\n[用户] "), F.col("p"), F.lit("\n[客服] "), F.col("r"), F.lit("\n```\n"))
+    return rows.select("id", F.concat(F.lit("## "), F.concat_ws(" | ", "id", "reason", "label"), said).alias("line"))
+
+
 # -- flagship -------------------------------------------------------------------------------------
 @query(f"""
 with r as (select id, messages, unnest(range(1, len(messages) + 1)) as pos from {FIRST.format(t='sft_train')}),

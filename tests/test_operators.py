@@ -183,6 +183,20 @@ def test_source_record(spark):
     assert got[1]["reason"] == "empty_prompt_or_response" and got[1]["meta"]["source"] == "s"
 
 
+def test_error_prompt_names_another_scenario(spark):
+    rows = [(str(n), rewriting.SCENARIOS[n % 12], [{"role": "user", "content": "q"}, {"role": "assistant", "content": "答案"}]) for n in range(40)]
+    df = spark.createDataFrame(rows, "id string, s string, m array<struct<role:string,content:string>>")
+    got = df.select("s", rewriting.error_prompt(F.col("m"), F.col("s"), F.lit("wrong_intent"), F.col("id")).alias("p")).collect()
+    named = [r["p"].split("请假装这是'")[1].split("'")[0] for r in got]
+    assert all(n in rewriting.SCENARIOS and n != r["s"] for n, r in zip(named, got)) and len(set(named)) > 5
+    assert got[0]["p"].startswith("场景类别：" + got[0]["s"] + "\n\n用户最后提问：q\n原始正确回复（2字）：答案\n\n")
+
+
+def test_train_eval_takes_an_explicit_table(spark):
+    train, held, report = selection.train_eval(spark.range(10), spark.range(3), F.col("id").cast("string"))
+    assert (train.count(), held.count()) == (10, 3) and tuple(report.first()) == ("explicit_eval_file", 10, 3)
+
+
 def test_expand_turns(spark):
     m = [{"role": r, "content": str(n)} for n, r in enumerate(["user", "assistant", "user", "assistant"])]
     df = spark.createDataFrame([("1", m), ("2", []), ("3", None)], "id string, messages array<struct<role:string,content:string>>")
