@@ -101,12 +101,13 @@ def _class(chars: str) -> str:
 
 @cache
 def _patterns() -> tuple[str, str]:
-    """Java patterns: segments (runs of token characters or of others), and what makes one suspicious."""
-    inside = f"[\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}&&[^\\p{{IsHan}}]]"
+    """Java patterns: segments (runs of kana, of other token characters, or of the rest), and what makes one suspicious."""
+    kana = "\\p{IsHiragana}\\p{IsKatakana}\\x{30fc}\\x{3099}\\x{309a}"
+    inside = f"[\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}&&[^\\p{{IsHan}}{kana}]]"
     outside = f"[[^\\p{{L}}\\p{{N}}\\p{{M}}{_class(ignorables())}]\\p{{IsHan}}]"
     # besides marks and other scripts, what has a canonical equivalent: Korean letters, polytonic Greek, three signs
     suspicious = f"[\\p{{M}}\\x{{370}}-\\x{{52f}}\\x{{1100}}-\\x{{11ff}}\\x{{1f00}}-\\x{{1fff}}\\x{{2126}}\\x{{212a}}\\x{{212b}}{_class(ignorables())}{_class(''.join(LOOKALIKES))}]"
-    return f"(?s){inside}+|{outside}+", suspicious
+    return f"(?s)[{kana}{_class(ignorables())}]+|{inside}+|{outside}+", suspicious
 
 
 # Wide punctuation of everyday text, replaced by plain search and replace.
@@ -114,9 +115,11 @@ EVERYDAY = {"，": ",", "：": ":", "（": "(", "）": ")", "？": "?", "！": "
 # Characters that need nothing but EVERYDAY: few ranges, so that the search stays cheap on every character.
 ORDINARY = r"\t\n\r\x20-\x7e\xa1-\xac\xae-\x{24f}\x{2018}-\x{201d}\x{2026}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{309d}-\x{30ff}\x{4e00}-\x{9fff}\x{1f300}-\x{1faff}" + "".join(EVERYDAY)
 
-# Letters and digits among the ordinary characters that are not ideographs: what a token of an ordinary text is made of.
-ORDINARY_TOKEN = r"0-9A-Za-z\x{3006}\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\x{24f}\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fc}-\x{30ff}"
-LATIN = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}]"
+# What a token of an ordinary text is made of: its letters and digits that are neither ideographs nor kana.
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\x{24f}"
+ORDINARY_REST = r"0-9\x{3006}\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe"
+# Such a token with a Latin letter, looked for only where a token begins; most characters fail the first range.
+ORDINARY_WORD = f"(?=[0-\\x{{24f}}\\x{{3006}}])(?<![{LATIN}{ORDINARY_REST}])[{ORDINARY_REST}]*+[{LATIN}][{LATIN}{ORDINARY_REST}]*+"
 
 
 def unusual(text: Column) -> Column:
@@ -241,9 +244,9 @@ def canonical_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = checkpoint(wanted.withColumn("shard", _shard_of(_skeleton("token"))))
 
     # vocabulary: the plain tokens with a Latin letter, cut as the suspicious ones are; ordinary texts take the cheap pattern
-    text = F.when(F.col("unusual"), F.col("step")).otherwise(F.col("text"))
-    words = F.when(F.col("unusual"), F.regexp_extract_all("step", F.lit(segments), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(f"[{ORDINARY_TOKEN}]+"), F.lit(0)))
-    vocabulary = rows.filter(text.rlike(LATIN)).select(F.explode(F.filter(words, lambda w: w.rlike(LATIN))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    general = F.filter(F.regexp_extract_all("step", F.lit(segments), F.lit(0)), lambda w: w.rlike(f"[{LATIN}]"))
+    words = F.when(F.col("unusual"), general).otherwise(F.regexp_extract_all("text", F.lit(ORDINARY_WORD), F.lit(0)))
+    vocabulary = rows.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = vocabulary.withColumn("shard", _shard_of(F.col("token"))).join(wanted.select("shard").distinct(), "shard", "left_semi").filter(~F.col("token").rlike(suspicious))
     meet = wanted.select("shard", "token", "n", F.lit(True).alias("suspicious")).unionByName(vocabulary.select("shard", "token", "n", F.lit(False).alias("suspicious")))
     spelled = meet.repartition("shard").sortWithinPartitions("shard", "token").mapInPandas(_spell(budget), "token string, canonical string")
