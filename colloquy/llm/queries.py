@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,5 +130,42 @@ with r as (select id, coalesce(nullif(regexp_replace(meta.scenario, '^[\\s\\x0b\
 """
 
 
+def _translate(x: str, table: dict[str, str]) -> str:
+    """translate() of SQL; characters that map to '' are deleted."""
+    order = sorted(table, key=lambda k: (table[k] == "", k))
+    quote = lambda t: t.replace("'", "''")
+    return f"translate({x}, '{quote(''.join(order))}', '{quote(''.join(table[k] for k in order))}')"
+
+
+def _fold_sql(x: str) -> str:
+    """Folded text: characters with one compatibility form by table, which is all the data hold."""
+    table = {}
+    for c in range(0x80, 0x10000):
+        form = "" if 0xD800 <= c < 0xE000 else unicodedata.normalize("NFKC", chr(c))
+        if len(form) == 1 and form != chr(c) and form.isalnum() and unicodedata.normalize("NFC", chr(c)) == chr(c):
+            table[chr(c)] = form
+    return f"regexp_replace(lower(nfc_normalize({_translate(x, table)})), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _sets(name: str, rows: str, k: int) -> str:
+    """CTEs name(id, f), name_n(id, n) and name_g(id, g): folded texts, numbers of and distinct k-sequences."""
+    return f"""{name} as ({rows}), {name}_g as (select distinct id, unnest(list_transform(range(1, length(f) - {k - 2}), lambda i: substr(f, i, {k}))) as g from {name} where length(f) >= {k}),
+ {name}_n as (select id, count(*) as n from {name}_g group by 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2 + "select scenario from w where available < wanted"}
+    record = _fold_sql("array_to_string(list_transform(coalesce(messages, []), lambda m: coalesce(m.content, '')), '')")
+    once = lambda t: f"select id, any_value({record}) as f from {t} where id is not null group by id"
+    held = lambda t, split: f"select '{split}' as split_name, a.id as eval_id, b.id as train_id from {t}_g a join tr_g b using (g) join {t}_n n on n.id = a.id group by a.id, b.id, n.n having count(*) >= 0.7 * n.n"
+    like = lambda t, name: f"select '{name}' as table_name, a.id as id_a, b.id as id_b from {t}_g a join {t}_g b on a.g = b.g and a.id < b.id join {t}_n n on n.id = a.id join {t}_n m on m.id = b.id group by a.id, b.id, n.n, m.n having count(*) >= 0.55 * (n.n + m.n - count(*))"
+    prompts = f"select id, any_value({_fold_sql('prompt')}) as f from dpo_preference_pairs where id is not null and prompt is not null group by id"
+    looks = {**lookalike.LOOKALIKES, **{c: "" for c in lookalike.ignorables()}}
+    canonical = f"nfc_normalize({_translate(_translate('text', lookalike.plain_table()), looks)})"
+    return {
+        "p1_found": f"with {_sets('tr', once('sft_train'), 3)}, {_sets('dv', once('sft_dev'), 3)}, {_sets('et', once('eval_test'), 3)} {held('dv', 'sft_dev')} union all {held('et', 'eval_test')}",
+        "p2_found": _P2 + "select scenario from w where available < wanted",
+        "p5_found": f"with {_sets('tr', once('sft_train'), 3)}, {_sets('pp', prompts, 3)} {like('tr', 'sft_train')} union all {like('pp', 'dpo_preference_pairs')}",
+        "p6_found": f"""with {_sets('d', f"select doc_id as id, {_fold_sql('text')} as f from documents where text is not null", 8)}, {_sets('i', f"select item_id as id, {_fold_sql('text')} as f from heldout_items where text is not null", 8)}
+select d_g.id as doc_id, i_g.id as item_id from i_g join d_g using (g) join i_n on i_n.id = i_g.id group by 1, 2, i_n.n having count(*) >= 0.4 * i_n.n""",
+        "p8_found": f"with c as (select doc_id, text, {canonical} as form from documents where text is not null) select a.doc_id as doc_a, b.doc_id as doc_b from c a join c b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text",
+    }
