@@ -17,19 +17,19 @@ from ..functions import text as T
 
 # The intents in their fixed order with their keywords.
 INTENTS = {
-    "物流-查件催发": "发货 发出 到货 多久到 什么时候到 物流 快递 配送 派送 运单 催 查件 没更新 到哪 揽收",
-    "物流-配送调整": "改地址 地址错 换地址 改配送 配送时间 派送时间 收货时间 修改收货 修改配送 自提 驿站 拒收 转寄 拦截快递 送货上门 不上门",
-    "售后-退换维修": "退货 换货 维修 返修 售后 保修 取件 上门取 寄回 七天无理由 拆封 退换",
-    "售后-质量异常": "坏了 破损 碎了 裂 漏发 少发 错发 质量 异味 不能用 不亮 没反应 瑕疵 划痕",
-    "退款-取消价保": "退款 取消 价保 差价 退差 到账 原路退 白条 审核退款 退钱 撤销 降价",
-    "商品咨询-参数": "尺寸 大小 材质 型号 规格 容量 保质期 生产日期 适配 颜色 重量 参数 成分 含量 正品 原装 真假 授权",
-    "商品咨询-使用方法": "怎么用 如何使用 安装 连接 设置 清洗 保养 配对 充电 说明书 操作 使用方法",
-    "购买决策-推荐对比": "推荐 哪个好 怎么选 区别 对比 适合 划算 买哪 选择 家用 老人用 孩子用",
-    "价格活动-优惠赠品": "优惠 优惠券 满减 活动 赠品 赠送 包邮 会员价 折扣 促销 京豆 价格",
-    "发票-资质服务": "发票 开票 抬头 税号 资质 客服 电话 证明 电子票 服务 保障",
-    "投诉-安抚升级": "投诉 差评 生气 不满意 赔偿 补偿 态度 欺骗 太慢 敷衍 没人管 升级",
-    "闲聊-礼貌收尾": "谢谢 感谢 好的 好吧 知道了 没事 不用了 再见 嗯嗯 可以了",
-}
+    "物流-查件催发": ("发货", "发出", "到货", "多久到", "什么时候到", "物流", "快递", "配送", "派送", "运单", "催", "查件", "没更新", "到哪", "揽收"),
+    "物流-配送调整": ("改地址", "地址错", "换地址", "改配送", "配送时间", "派送时间", "收货时间", "修改收货", "修改配送", "自提", "驿站", "拒收", "转寄", "拦截快递", "送货上门", "不上门"),
+    "售后-退换维修": ("退货", "换货", "维修", "返修", "售后", "保修", "取件", "上门取", "寄回", "七天无理由", "拆封", "退换"),
+    "售后-质量异常": ("坏了", "破损", "碎了", "裂", "漏发", "少发", "错发", "质量", "异味", "不能用", "不亮", "没反应", "瑕疵", "划痕"),
+    "退款-取消价保": ("退款", "取消", "价保", "差价", "退差", "到账", "原路退", "白条", "审核退款", "退钱", "撤销", "降价"),
+    "商品咨询-参数": ("尺寸", "大小", "材质", "型号", "规格", "容量", "保质期", "生产日期", "适配", "颜色", "重量", "参数", "成分", "含量", "正品", "原装", "真假", "授权"),
+    "商品咨询-使用方法": ("怎么用", "如何使用", "安装", "连接", "设置", "清洗", "保养", "配对", "充电", "说明书", "操作", "使用方法"),
+    "购买决策-推荐对比": ("推荐", "哪个好", "怎么选", "区别", "对比", "适合", "划算", "买哪", "选择", "家用", "老人用", "孩子用"),
+    "价格活动-优惠赠品": ("优惠", "优惠券", "满减", "活动", "赠品", "赠送", "包邮", "会员价", "折扣", "促销", "京豆", "价格"),
+    "发票-资质服务": ("发票", "开票", "抬头", "税号", "资质", "客服", "电话", "证明", "电子票", "服务", "保障"),
+    "投诉-安抚升级": ("投诉", "差评", "生气", "不满意", "赔偿", "补偿", "态度", "欺骗", "太慢", "敷衍", "没人管", "升级"),
+    "闲聊-礼貌收尾": ("谢谢", "感谢", "好的", "好吧", "知道了", "没事", "不用了", "再见", "嗯嗯", "可以了"),
+}
 # First-match rules on the prompt: pattern, label, score.
 PRIORITY = (
     (r"退款|退钱|到账|价保|差价|退差|取消订单|订单取消", "退款-取消价保", 100),
@@ -56,7 +56,7 @@ PREVIOUS_OR_OTHER = r"请问您是咨询之前的问题还是有其他的问题
 class Pack:
     """A lexicon in label order, first-match rules, and points for hits in the prompt and elsewhere."""
 
-    lexicon: dict[str, tuple[str, ...]] = field(default_factory=lambda: {k: tuple(v.split(" ")) for k, v in INTENTS.items()})
+    lexicon: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(INTENTS))
     priority: tuple[tuple[str, str, int], ...] = PRIORITY
     in_prompt: int = 3
     elsewhere: int = 1

@@ -128,7 +128,7 @@ def report_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- rules ----------------------------------------------------------------------------------------
-_WORDS = ", ".join(f"({n}, {quoted(k)}, {quoted(w)})" for n, (k, v) in enumerate(rules.INTENTS.items()) for w in v.split(" "))
+_WORDS = ", ".join(f"({n}, {quoted(k)}, {quoted(w)})" for n, (k, v) in enumerate(rules.INTENTS.items()) for w in v)
 _PRIORITY = " ".join(f"when regexp_matches(p, {quoted(pattern)}) then {{'label': {quoted(label)}, 'score': {score}}}" for pattern, label, score in rules.PRIORITY)
 
 
