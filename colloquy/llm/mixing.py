@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 MAX_SOURCES = 100_000
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _count(model: str):
@@ -39,8 +38,8 @@ def _count(model: str):
     return run
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", model: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of every row."""
+def token_counts(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, tokens) of every row; *model* is the file of a public tokenizer, readable on all nodes."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     return rows.mapInPandas(_count(model), "doc_id long, source string, tokens long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Callable
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import common, defects, leak, lookalike, mixing, neardup, overlap, pii, sampling
 
+# The tokenizer of the mixing queries; its folder is a parameter of the installation.
+TOKENIZER = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).select("split_name", "eval_id", "train_id")
@@ -96,7 +100,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return mixing.mix_sources(mixing.token_counts(table(spark, d, "documents"), TOKENIZER), table(spark, d, "mix_targets"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

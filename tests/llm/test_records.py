@@ -250,9 +250,9 @@ def test_short_sources_follow_the_draws(spark, monkeypatch):
 
 def test_tokens_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "hello 世界 " * 3000, None)], "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["tokens"] for r in mixing.token_counts(df).collect()}
+    got = {r["doc_id"]: r["tokens"] for r in mixing.token_counts(df, queries.TOKENIZER).collect()}
     assert got[1] == got[2] == 0 and got[3] > 5000
-    _, report = mixing.mix_sources(mixing.token_counts(df.limit(0)), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
+    _, report = mixing.mix_sources(mixing.token_counts(df.limit(0), queries.TOKENIZER), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
     assert report.first()["reached_tokens"] == 0
 
 
