@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shuffle_key
+from ..session import checkpoint
 from .joins import small
 
 
@@ -62,11 +63,12 @@ def first_accepted(df: DataFrame, key: str, order: list[str], reason: str, dupli
 def repeated(df: DataFrame, text: str) -> DataFrame:
     """(text, n) of the texts that stand in more than one row.
 
-    Counted by hash, so a text that stands once is never shuffled; the texts of repeated hashes follow.
+    Counted by hash, so a text that stands once is not shuffled; the texts of repeated hashes follow and
+    are counted as they are.
     """
-    rows = df.select(F.col(text), F.md5(text).alias("_hash"))
-    many = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(small(many.select("_hash")), "_hash", "left_semi").groupBy(text).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(F.col(text), F.xxhash64(text).alias("_hash"))
+    many = checkpoint(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"))
+    return rows.join(small(many), "_hash", "left_semi").groupBy(text).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def last_wins(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -1004,6 +1004,7 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     """Records to samples: expand turns, clean targets, keep the first of each key, summarise by context."""
     samples = dialogue.expand_turns(latest(spark, d, "sft_train", "messages"), ["id"], "messages", 2)
     rows = samples.select("id", "turn", F.size("context").alias("n_context"), T.clean(F.col("target")).alias("target"))
-    rows = rows.withColumn("key", F.md5(T.loose_key(F.col("target"))))
-    first = rows.groupBy("key").agg(F.min_by(F.struct("n_context", F.length("target").alias("n")), F.struct("id", "turn")).alias("x"))
+    rows = rows.withColumn("key", T.loose_key(F.col("target")))
+    # 128 bits of hash stand for the key
+    first = rows.groupBy(F.xxhash64("key"), F.xxhash64(F.lit(1), "key")).agg(F.min_by(F.struct("n_context", F.length("target").alias("n")), F.struct("id", "turn")).alias("x"))
     return first.groupBy("x.n_context").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("x.n").cast("long").alias("n_chars"))
