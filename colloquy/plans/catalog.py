@@ -942,6 +942,33 @@ def step_metrics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
+@query("select event_id, round(-(value * (event_id % 7 - 3)) / 20.0::double, 6) + 0.0 as loss from events")
+def advantage_loss(spark: SparkSession, d: str) -> DataFrame:
+    loss = N.advantage_loss(F.col("value"), (F.col("event_id") % 7 - 3).cast("double"), F.lit(20.0))
+    return table(spark, d, "events").select("event_id", (F.round(loss, 6) + 0.0).alias("loss"))
+
+
+@query("select id, round(try_cast(shop_id as double), 4) as shop, round(try_cast(need::varchar as double) / 7, 4) as need from (select id, fail_tag as shop_id, need from judge_results)")
+def numbers_or_null(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "judge_results").select("id", T.number_or_null(F.col("fail_tag")).alias("shop"), F.round(T.number_or_null(F.col("need").cast("string")) / 7, 4).alias("need"))
+
+
+@query("select source, count(*)::bigint as n, greatest(1, least(floor(count(*) * 0.1)::bigint, count(*) - 1))::bigint as held from documents group by 1")
+def holdout_sizes(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source", "n", selection.holdout_size(F.col("n"), 0.1).alias("held"))
+
+
+_FIRST = list(rules.INTENTS)[:5]
+
+
+@query(f"select scenario, coalesce(nullif(list_position([{', '.join(map(quoted, _FIRST))}], scenario), 0), 99)::int as place from scenario_targets")
+def category_places(spark: SparkSession, d: str) -> DataFrame:
+    """Categories in a fixed order, unknown ones last."""
+    place = selection.category_order(F.col("scenario"), _FIRST).cast("int")
+    return table(spark, d, "scenario_targets").select("scenario", place.alias("place"))
+
+
 # -- annotation and reports -----------------------------------------------------------------------
 def sheets(spark: SparkSession, d: str) -> DataFrame:
     """(intent, number, value): the sections of the sheet of each scenario of the development split."""
