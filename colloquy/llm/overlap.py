@@ -12,9 +12,14 @@ window gives ``BANDS`` bucket keys of its anchor and ``ROWS`` minwise hashes of
 evaluation record smaller than two windows has few of them inside a longer text, so short messages
 are signed once more by themselves and small evaluation records look for those too.
 
-Every row of a bucket also carries 128 bits of its record: a bit per sampled 3-sequence. A pair stays
-only while the bits that the training record lacks are what a pair at the limit may lack, two
-deviations allowed for. So chance meetings end inside the bucket join, before any text moves.
+Every row of a bucket also carries 512 bits of its record: a bit per 3-sequence. A pair stays only
+while the bits that the training record lacks are what a pair at the limit may lack, two deviations
+allowed for. So chance meetings end inside the bucket join, before anything is written: their number
+grows with the square of the records, what leaves the join does not.
+
+Training rows whose key no evaluation record has are left out before the shuffle by a bit map of the
+evaluation keys; its size follows their number up to ``MOST_BITS``. It may keep a row too many, never
+one too few.
 
 Skew. No key is left out. Keys that many evaluation records have are salted: the training rows of the
 key are spread over as many tasks as there are ``SPREAD`` evaluation rows, which meet them in each.
@@ -38,11 +43,14 @@ from . import common as C
 
 ROWS, BANDS, SEED = 2, 2, 11
 REACH, HALF = 8, 24  # neighbours an anchor is the least of; 3-sequences of a window on either side of it
-SAMPLED = 2  # a 3-sequence has a bit in the sketch if so many bits of its hash are 0
-SPREAD, MOST_SALTS = 100, 256
+WORDS = 8  # 64-bit words of a record sketch
+LEAST_BITS, MOST_BITS, BLOCK = 1 << 20, 1 << 28, 1 << 13  # bits of the map of evaluation keys; 64-bit words of a part of it
+SPREAD, MOST_SALTS = 1000, 256
 SMALL = 2 * HALF  # characters of a message that is signed by itself, and of a record that looks for such messages
 HOT_BROADCAST = 50_000
-_LANES = "rid long, key long, s0 long, s1 long"
+FEW = 1_000_000  # ids of paired records that travel to the texts; more are shuffled with them
+_SKETCH = [f"s{i}" for i in range(WORDS)]
+_LANES = f"rid long, key long, bits int, {', '.join(f'{c} long' for c in _SKETCH)}"
 
 
 def _least_near(h: np.ndarray, reach: int) -> np.ndarray:
@@ -89,18 +97,16 @@ def windows(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(folded: list[str]) -> np.ndarray:
-    """128 bits (two int64) of every text: one per sampled 3-sequence."""
+    """``WORDS`` 64-bit words of every text: a bit per 3-sequence."""
     row, grams = _grams(folded)
-    bit = C.mix(grams ^ np.uint64(SEED + 1))
-    some = (bit >> np.uint64(64 - SAMPLED)) == 0
-    out = np.zeros((len(folded), 128), bool)
-    out[row[some], (bit[some] & np.uint64(127)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(">i8").astype(np.int64)
+    out = np.zeros((len(folded), 64 * WORDS), bool)
+    out[row, (C.mix(grams ^ np.uint64(SEED + 1)) % np.uint64(64 * WORDS)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.int64)
 
 
-def _lanes(small_only: bool):
+def _lanes(small_only: bool, known: np.ndarray | None = None):
     """Bucket rows of records: windows of the whole text and of short messages by themselves; with
-    *small_only* the latter of small records only."""
+    *small_only* the latter of small records only. *known* is a bit map of the keys that matter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,14 +123,19 @@ def _lanes(small_only: bool):
                 fit = [u for u, f in enumerate(units) if 3 <= len(f) <= SMALL or u < len(keep)]
                 row, key = windows([units[u] for u in fit])
                 row = owner[fit][row]
+                if known is not None:
+                    bit = key & np.int64(64 * known.size - 1)
+                    some = (known[bit >> 6] >> (bit & 63)) & 1 == 1
+                    row, key = row[some], key[some]
                 sort = np.lexsort((key, row))
                 row, key = row[sort], key[sort]
                 first = np.ones(row.size, bool)
                 first[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
                 row, key = row[first], key[first]
-                sk = np.zeros((len(parts), 2), np.int64)
+                sk = np.zeros((len(parts), WORDS), np.int64)
                 sk[keep] = sketches([whole[k] for k in keep])
-                yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[n : n + 2000][row], "key": key, "s0": sk[row, 0], "s1": sk[row, 1]})
+                bits = np.bitwise_count(sk.view(np.uint64)).sum(axis=1, dtype=np.int32)
+                yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[n : n + 2000][row], "key": key, "bits": bits[row], **{c: sk[row, i] for i, c in enumerate(_SKETCH)}})
 
     return run
 
@@ -134,6 +145,26 @@ def _records(df: DataFrame, id_col: str, messages: str) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("id"), parts.alias("parts")).filter("id is not null")
 
 
+def _part(pdf: pd.DataFrame) -> pd.DataFrame:
+    words = np.zeros(BLOCK, np.int64)
+    words[pdf["word"] % BLOCK] = pdf["bits"]
+    return pd.DataFrame({"part": [pdf["word"].iloc[0] // BLOCK], "words": [words.tobytes()]})
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """A bit per key, as 64-bit words; eight bits a key as far as ``MOST_BITS`` goes."""
+    size = LEAST_BITS
+    most = 8 * keys.count()
+    while size < min(most, MOST_BITS):
+        size *= 2
+    bit = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("b"))
+    words = bit.groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits"))
+    out = np.zeros(size // 64, np.int64)
+    for part, data in words.groupBy(F.floor(F.col("word") / BLOCK)).applyInPandas(_part, "part long, words binary").collect():  # at most MOST_BITS / 64 / BLOCK rows
+        out[part * BLOCK : (part + 1) * BLOCK] = np.frombuffer(data, np.int64)
+    return out
+
+
 def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt: training rows of a hot key are spread, evaluation rows repeated for them."""
     hot = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPREAD)
@@ -149,12 +180,16 @@ def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _may_hold(limit: float) -> Column:
-    """Whether the training sketch (s0, s1) may hold *limit* of the evaluation sketch (e0, e1)."""
-    bits = lambda x, y: F.bit_count(x) + F.bit_count(y)
-    e0, e1, s0, s1 = (F.col(c) for c in ("e0", "e1", "s0", "s1"))
-    lacking = bits(e0.bitwiseAND(F.bitwise_not(s0)), e1.bitwiseAND(F.bitwise_not(s1)))
-    expected = (1 - limit) * bits(e0, e1) * (1 - bits(s0, s1) / F.lit(128.0))
-    return lacking <= expected + 2 * F.sqrt(expected) + 1
+    """Whether the training sketch (s0, ...) may hold *limit* of the evaluation sketch (e0, ...)."""
+    lacking = sum((F.bit_count(F.col(f"e{i}").bitwiseAND(F.bitwise_not(F.col(f"s{i}")))) for i in range(WORDS)), F.lit(0))
+    expected = (1 - limit) * F.col("ebits") * (1 - F.col("bits") / F.lit(64.0 * WORDS))
+    return F.sqrt(lacking) <= F.sqrt(expected) + 1  # lacking <= expected + 2 * sqrt(expected) + 1
+
+
+def _of(texts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The texts of found records; the rest is not shuffled."""
+    ids = found.select(key).distinct()
+    return texts.join(F.broadcast(ids), key, "left_semi") if ids.limit(FEW + 1).count() <= FEW else texts
 
 
 def _verify(limit: float):
@@ -190,13 +225,13 @@ def cross_split_overlaps(splits: dict[str, DataFrame], train: DataFrame, id_col:
     ev = ev.withColumn("rid", F.xxhash64("split_name", "id"))
 
     left = ev.select("rid", "parts").mapInPandas(_lanes(True), _LANES)
-    left = checkpoint(left.select(F.col("rid").alias("erid"), "key", F.col("s0").alias("e0"), F.col("s1").alias("e1")))
-    left, right = _salted(left, tr.select("rid", "parts").mapInPandas(_lanes(False), _LANES))
+    left = checkpoint(left.select(F.col("rid").alias("erid"), "key", F.col("bits").alias("ebits"), *(F.col(c).alias(f"e{i}") for i, c in enumerate(_SKETCH))))
+    left, right = _salted(left, tr.select("rid", "parts").mapInPandas(_lanes(False, _bit_map(left)), _LANES))
     found = checkpoint(left.join(right, ["key", "salt"]).filter(_may_hold(limit)).select("erid", "rid").distinct())
 
     evals = ev.select(F.col("rid").alias("erid"), "split_name", F.col("id").alias("eval_id"), F.array_join("parts", "").alias("eval_text"))
     trains = tr.select("rid", F.col("id").alias("train_id"), F.array_join("parts", "").alias("train_text"))
-    pairs = found.join(evals, "erid").join(trains, "rid")
+    pairs = found.join(_of(evals, found, "erid"), "erid").join(_of(trains, found, "rid"), "rid")
     done = pairs.select("split_name", "eval_id", "train_id", "eval_text", "train_text").mapInPandas(
         _verify(limit), "split_name string, eval_id string, train_id string, containment double, jaccard double"
     )

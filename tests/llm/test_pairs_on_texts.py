@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,38 @@ def test_overlaps_across_messages(spark, kind):
     assert got <= expected and len(got) >= 0.93 * len(expected)
 
 
+def test_chance_meetings_end_in_the_bucket_join(spark):
+    """Records of one template hold a third of each other; the sketches let hardly one such pair pass, and every pair at the limit."""
+    r = random.Random(35)
+    word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    template = [word(25) for _ in range(6)]
+    dev = [C.fold("".join(t + word(45) for t in template[:2])) for _ in range(40)]
+    train = [C.fold("".join(t + word(45) for t in template)) for _ in range(40)]
+    train += [d[:30] + word(30) + d[60:] + word(250) for d in dev]
+    e, s = overlap.sketches(dev), overlap.sketches(train)
+    rows = [(a, b, *(int(x) for x in e[a]), *(int(x) for x in s[b])) for a in range(len(dev)) for b in range(len(train))]
+    columns = [f"e{i}" for i in range(e.shape[1])] + [f"s{i}" for i in range(s.shape[1])]
+    df = spark.createDataFrame(rows, "a int, b int, " + ", ".join(f"{c} long" for c in columns))
+    ones = lambda side: sum((F.bit_count(c) for c in columns if c[0] == side), F.lit(0))
+    left = {(x["a"], x["b"]) for x in df.withColumns({"ebits": ones("e"), "bits": ones("s")}).filter(overlap._may_hold(0.7)).collect()}
+    share = lambda a, b: len(grams(dev[a]) & grams(train[b])) / len(grams(dev[a]))
+    assert all(0.25 < share(a, b) < 0.45 for a in range(40) for b in range(40)) and all(share(n, 40 + n) >= 0.7 for n in range(40))
+    assert {(n, 40 + n) for n in range(40)} <= left
+    assert sum(b < 40 for _, b in left) <= 16  # of 1,600
+
+
+def test_training_rows_without_an_evaluation_key_stay_at_home(spark):
+    r = random.Random(36)
+    word = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    own = [word(200) for _ in range(50)]
+    pdf = pd.DataFrame({"rid": range(100), "parts": [[t] for t in [*own, *(word(200) for _ in own)]]})
+    every = pd.concat(overlap._lanes(False)(iter([pdf])))
+    asked = sorted(set(every["key"][every["rid"] < 50]))
+    known = overlap._bit_map(spark.createDataFrame([(int(k),) for k in asked], "key long"))
+    some = pd.concat(overlap._lanes(False, known)(iter([pdf])))
+    assert set(asked) <= set(some["key"]) and (some["rid"] >= 50).sum() <= 20 < (every["rid"] >= 50).sum()
+
+
 def test_overlap_of_empty_tables(spark, dialogues):
     empty = to_df(spark, dialogues[0]).limit(0)
     assert overlap.cross_split_overlaps({"dev": empty}, empty).count() == 0
