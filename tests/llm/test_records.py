@@ -348,6 +348,26 @@ def test_ordinary_tokens_are_cut_like_all_others(spark):
     assert not row["u"] and row["a"] == row["b"]
 
 
+def test_words_and_steps_of_arrays_are_those_of_the_patterns(spark):
+    """Every character Java knows, in words: the arrays cut the tokens that the patterns cut, and see to the same characters."""
+    every = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000), 0x20000, 0x2FA1D, 0xE0100, 0xE0001)]
+    rows = [(f"{c} a{c}b {c}x ア{c}y z", c) for c in every]
+    rows += [(t, "") for t in ("\u200bab cd", "ab\u200b cd", "ab\u200bcd ef", "ア\u200bab", "\u200b\u200bab", "-\u200bab\u200b", "", "日本abｱﾞ Ａｂｃ 　x", "p\u0430y pay")]
+    segments, suspicious = lookalike._patterns()
+    t = lookalike.plain_table()
+    step = F.translate("text", "".join(t), "".join(t.values()))
+    words = F.filter(F.regexp_extract_all("step", F.lit(segments), F.lit(0)), lambda w: w.rlike(f"[{lookalike.LATIN}]") & ~w.rlike(suspicious))
+    df = spark.createDataFrame(rows, "text string, c string").filter(r"not rlike(c, '\\p{Cn}')").withColumn("step", step)
+    got = df.select("text", "step", words.alias("w"), F.col("step").rlike(suspicious).alias("odd")).collect()
+    assert len(got) > 60_000
+    steps, odd = lookalike._steps([r["text"] for r in got])
+    assert steps == [r["step"] for r in got] and odd.tolist() == [r["odd"] for r in got]
+    wrong = [r["text"] for r in got if set(lookalike.plain_words([r["text"]])) != set(r["w"])]
+    assert not wrong, (len(wrong), [hex(ord(w[0])) for w in wrong[:40]])
+    assert set(lookalike.plain_words([r["text"] for r in got[-500:]])) == {w for r in got[-500:] for w in r["w"]}
+    assert lookalike.plain_words([]) == [] and lookalike._steps([])[0] == []
+
+
 # -- all queries ----------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, small, name):
